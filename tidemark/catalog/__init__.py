@@ -4,6 +4,7 @@ from tidemark.catalog.registry import ORACLES, QUERIES
 from tidemark.catalog import (  # noqa: F401
     asof,
     factors,
+    validation,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

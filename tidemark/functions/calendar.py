@@ -108,12 +108,12 @@ def target_dates(signals: DataFrame, horizons: list[int], calendar: DataFrame) -
     The signal day itself may be closed.
     """
     days = dense_days(calendar, ["upto"]).withColumnRenamed("day", "trade_date")
-    steps = ", ".join(str(h) for h in horizons)
+    steps = ", ".join(f"{h}L" for h in horizons)
     wanted = (
         signals.select("trade_date")
         .distinct()
         .join(days, "trade_date")
-        .selectExpr("trade_date", "upto", f"CAST(explode(array({steps})) AS BIGINT) AS horizon")
+        .selectExpr("trade_date", "upto", f"explode(array({steps})) AS horizon")
         .selectExpr("trade_date", "horizon", "upto + horizon AS ord")
     )
     return wanted.join(ordinals(calendar, "target_date"), "ord").select("trade_date", "horizon", "target_date")
