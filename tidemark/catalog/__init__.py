@@ -5,6 +5,9 @@ from tidemark.catalog import (  # noqa: F401
     asof,
     factors,
     validation,
+    universe,
+    events,
+    selection,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

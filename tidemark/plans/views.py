@@ -244,3 +244,26 @@ class Tables:
             "CAST(l_quantity AS BIGINT) AS row_count",
             "to_date(l_shipdate) AS created_at",
         )
+
+    @cached_property
+    def parsed_results(self) -> DataFrame:
+        """One extraction result per announcement."""
+        tag = (
+            "CASE WHEN announcement_id % 7 = 0 THEN NULL WHEN announcement_id % 13 = 0 THEN 'other' ELSE source_tag END"
+        )
+        items = "CASE WHEN announcement_id % {0} = 0 THEN array('item') ELSE CAST(array() AS ARRAY<STRING>) END"
+        return self.announcements.selectExpr(
+            "sha1(concat_ws('|', 'run', coalesce(source_tag, ''), announcement_id)) AS parse_id",
+            "announcement_id",
+            "entity",
+            "source",
+            f"{tag} AS source_tag",
+            "CASE WHEN announcement_id % 9 = 0 THEN 'schema_invalid' ELSE 'success' END AS status",
+            "element_at(array('positive', 'negative', 'neutral', 'mixed'), CAST(announcement_id % 4 AS INT) + 1) "
+            "AS sentiment",
+            "0.5D + (announcement_id % 50) / 100 AS confidence",
+            "concat('Summary ', announcement_id) AS summary",
+            "date_add(publish_time, CAST(announcement_id % 5 AS INT)) AS created_at",
+            f"CASE WHEN announcement_id % 17 = 0 THEN '{{bad' ELSE to_json(named_struct('risks', {items.format(3)}, "
+            f"'catalysts', {items.format(8)})) END AS parsed_json",
+        )
