@@ -8,6 +8,7 @@ from tidemark.catalog import (  # noqa: F401
     universe,
     events,
     selection,
+    scoring,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
