@@ -39,7 +39,7 @@ def ordinals(calendar: DataFrame, day: str = "trade_date", ord: str = "ord") ->
     """1-based ordinals of the open days."""
     return open_days(calendar).selectExpr(
         f"trade_date AS {day}", f"CAST(row_number() OVER (ORDER BY trade_date) AS BIGINT) AS {ord}"
-    )
+    ).cache()
 
 
 def dense_days(calendar: DataFrame, wanted: Sequence[str] = ("upto", "prev_open", "next_open")) -> DataFrame:
@@ -60,9 +60,10 @@ def dense_days(calendar: DataFrame, wanted: Sequence[str] = ("upto", "prev_open"
         "prev_open": "max(open_date) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "next_open": "min(open_date) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     }
+    # Cached: bounded by the day span, and looked up several times by most plans.
     return days.join(opens, F.expr("day = open_date"), "left").selectExpr(
         "day", *[f"{shapes[name]} AS {name}" for name in wanted]
-    )
+    ).cache()
 
 
 def next_open(facts: DataFrame, day: str, calendar: DataFrame, out: str) -> DataFrame:

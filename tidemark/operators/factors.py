@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ranks import first_per_key, with_average_rank
 from tidemark.operators.asof import DELISTED_FROM, intervals_on_dates, latest_revisions, on_dates
 from tidemark.params import FACTOR_ORDER, FACTOR_PARAMS
+from tidemark.session import materialize
 
 PRICE_FACTORS = [
     "return_20d", "return_60d", "above_ma60", "volatility_20d", "max_drawdown_60d", "amount_cv_20d", "low_liquidity",
@@ -139,7 +140,8 @@ def industry_percentile(
     valuations: DataFrame, industries: DataFrame, dates: DataFrame, params: dict = FACTOR_PARAMS
 ) -> DataFrame:
     """Average-rank percentile of positive pe inside an industry on each date."""
-    base = (
+    # Written once: the sliced rank reads its input in several branches.
+    base = materialize(
         valuations.filter("pe_ttm > 0")
         .select("entity", "trade_date", "pe_ttm")
         .join(industry_on_dates(industries, dates), ["entity", "trade_date"])
@@ -237,6 +239,9 @@ def all_factors(
     universe = calculation_universe(
         tables.members, tables.securities, dates, index_code or INDEX_CODE, include_delisted
     )
+    if len(names) > 2:
+        # Read by up to three branches; far smaller than the panel it restricts.
+        universe = materialize(universe)
 
     def pick(family: Sequence[str]) -> list[str]:
         return [n for n in family if n in names]

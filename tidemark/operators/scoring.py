@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import correlation, row_numbers, value_positions, with_average_rank
 from tidemark.params import FACTORS, HARD_FILTERS, SCORING, VALIDATION_GATE, config_rows
+from tidemark.session import materialize
 
 KEY = ["entity", "trade_date"]
 
@@ -372,37 +373,54 @@ def _scenario(key: str, kind: str, direction: str, config: dict, warning: str) -
 
 
 def scenario_totals(wide: DataFrame, scoring: dict = SCORING) -> DataFrame:
-    """Total score under every scenario: one pass, one output row per scenario and entity."""
+    """Total score under every scenario: one output row per scenario and entity.
+
+    The scenarios travel as a literal array of weights, so every row fans out to
+    a fixed number of rows and one expression serves them all.
+    """
     cases = [("baseline", scoring)] + [(s["name"], s["config"]) for s in scenarios(scoring)]
-    cells = []
+    groups = list(_enabled(scoring))
+    factors = [n for g in groups for n in scoring["groups"][g]["factors"]]
+    structs = []
     for name, config in cases:
-        named = {}
-        floor = config["min_available_factor_weight"]
-        for group, spec in _enabled(config).items():
-            avail, total = _weighted(spec["factors"])
-            ratio = f"CASE WHEN {avail} >= {floor}D AND {avail} > 0 THEN {total} / {avail} END"
-            named[group] = clamp(f"({ratio})", 0, 100)
-        weights = {g: spec["weight"] for g, spec in _enabled(config).items()}
-        avail = " + ".join(f"CASE WHEN {named[g]} IS NOT NULL THEN {w!r}D ELSE 0.0D END" for g, w in weights.items())
-        total = " + ".join(f"coalesce({named[g]} * {w!r}D, 0.0D)" for g, w in weights.items())
-        value = f"CASE WHEN ({avail}) > 0 THEN ({total}) / ({avail}) - ({risk_penalty_sql(config)}) END"
-        cells.append(f"'{name}', {clamp(f'({value})', 0, 100)}")
-    return wide.selectExpr(*KEY, f"stack({len(cells)}, {', '.join(cells)}) AS (scenario_name, total_score)").filter(
-        "total_score IS NOT NULL"
+        gw = [f"{config['groups'][g]['weight']!r}D AS g_{g}" for g in groups]
+        fw = [f"{w!r}D AS f_{n}" for g in groups for n, w in config["groups"][g]["factors"].items()]
+        structs.append(f"struct('{name}' AS name, {', '.join(gw + fw)})")
+    fanned = wide.selectExpr(
+        *KEY, *factors, f"({risk_penalty_sql(scoring)}) AS _penalty", f"explode(array({', '.join(structs)})) AS s"
+    )
+    floor = scoring["min_available_factor_weight"]
+    sums = []
+    for g in groups:
+        names = list(scoring["groups"][g]["factors"])
+        avail = " + ".join(f"CASE WHEN {n} IS NOT NULL THEN s.f_{n} ELSE 0.0D END" for n in names)
+        total = " + ".join(f"coalesce({n} * s.f_{n}, 0.0D)" for n in names)
+        sums += [f"{avail} AS {g}_a", f"{total} AS {g}_t"]
+    scores = [
+        clamp(f"(CASE WHEN {g}_a >= {floor}D AND {g}_a > 0 THEN {g}_t / {g}_a END)", 0, 100) + f" AS {g}_s" for g in groups
+    ]
+    avail = " + ".join(f"CASE WHEN {g}_s IS NOT NULL THEN s.g_{g} ELSE 0.0D END" for g in groups)
+    total = " + ".join(f"coalesce({g}_s * s.g_{g}, 0.0D)" for g in groups)
+    return (
+        fanned.selectExpr(*KEY, "_penalty", "s", *sums)
+        .selectExpr(*KEY, "_penalty", "s", *scores)
+        .selectExpr(*KEY, "_penalty", "s.name AS scenario_name", f"{avail} AS _a", f"{total} AS _t")
+        .filter("_a > 0")
+        .selectExpr(*KEY, "scenario_name", f"{clamp('(_t / _a - _penalty)', 0, 100)} AS total_score")
     )
 
 
 def weight_sensitivity(totals_by_scenario: DataFrame, top_n: int, scoring: dict = SCORING) -> DataFrame:
     """Rank correlation, top-N overlap and score change of each scenario per date."""
     keys = ["scenario_name", "trade_date"]
-    placed = ranked(totals_by_scenario, keys)
+    placed = materialize(ranked(totals_by_scenario, keys))
     base = placed.filter("scenario_name = 'baseline'").selectExpr(*KEY, "rank AS base_rank", "total_score AS base_score")
     base_n = base.groupBy("trade_date").agg(F.expr("count(*) AS baseline_candidate_count"))
     other = placed.filter("scenario_name <> 'baseline'")
     other_n = other.groupBy(*keys).agg(F.expr("count(*) AS scenario_candidate_count"))
-    joined = other.join(base, KEY).selectExpr(
+    joined = materialize(other.join(base, KEY).selectExpr(
         *keys, "entity", "rank AS scen_rank", "total_score AS scen_score", "base_rank", "base_score"
-    )
+    ))
     # Ranks inside the joined set: unique keys, so a row number is the average rank.
     joined = row_numbers(joined, keys, ["scen_rank"], "_x", "_n").drop("_n")
     joined = row_numbers(joined, keys, ["base_rank"], "_y", "_n").drop("_n")
