@@ -9,6 +9,9 @@ from tidemark.catalog import (  # noqa: F401
     events,
     selection,
     scoring,
+    portfolio,
+    scalars,
+    quality,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
