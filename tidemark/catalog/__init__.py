@@ -12,6 +12,8 @@ from tidemark.catalog import (  # noqa: F401
     portfolio,
     scalars,
     quality,
+    extraction,
+    runlog,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
