@@ -14,6 +14,7 @@ from tidemark.catalog import (  # noqa: F401
     quality,
     extraction,
     runlog,
+    reports,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

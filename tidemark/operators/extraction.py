@@ -94,26 +94,24 @@ def classify(df: DataFrame, provider: str, title: str, whitelist: Sequence[str]
         *df.columns, "lower(_p) AS _p", "lower(_t) AS _t"
     )
 
-    def first_keyword(words: Sequence[str], text: str) -> str:
-        hits = f"filter(array({_quoted(words)}), w -> contains({text}, lower(w)))"
-        return f"try_element_at({hits}, 1)"
-
-    branches = []
-    for kind, words in RULES:
-        for source, text in (("provider_type", "_p"), ("title", "_t")):
-            cells = (
-                f"named_struct('announcement_type', '{kind}', 'rule_name', '{kind}_keyword', "
-                f"'matched_text', {first_keyword(words, text)}, 'reason', '{source} matched {kind}_keyword', "
-                f"'selected', {str(kind in whitelist).lower()})"
-            )
-            any_hit = " OR ".join(f"contains({text}, '{w.lower()}')" for w in words)
-            branches.append(f"WHEN {any_hit} THEN {cells}")
-    other = (
-        "named_struct('announcement_type', 'other', 'rule_name', 'default_other', 'matched_text', '', "
-        "'reason', 'no whitelist rule matched', 'selected', false)"
-    )
-    return norm.selectExpr(*df.columns, f"CASE {' '.join(branches)} ELSE {other} END AS _m").selectExpr(
-        *df.columns, "_m.*"
+    # One small number per row decides everything else: 2 * rule + source.
+    branches, lists = [], []
+    for i, (_, words) in enumerate(RULES):
+        pattern = "|".join(w.lower() for w in words)
+        branches += [f"WHEN _p RLIKE '{pattern}' THEN {2 * i}", f"WHEN _t RLIKE '{pattern}' THEN {2 * i + 1}"]
+        lists.append(f"array({_quoted(words)})")
+    found = norm.selectExpr("*", f"CASE {' '.join(branches)} ELSE -1 END AS _i")
+    wanted = f"element_at(array({_quoted(TYPES)}), CAST(_i div 2 + 1 AS INT))"
+    text = "CASE WHEN _i % 2 = 0 THEN _p ELSE _t END"
+    word = f"element_at(filter(element_at(array({', '.join(lists)}), CAST(_i div 2 + 1 AS INT)), w -> contains({text}, lower(w))), 1)"
+    source = "CASE WHEN _i % 2 = 0 THEN 'provider_type' ELSE 'title' END"
+    return found.selectExpr(
+        *df.columns,
+        f"CASE WHEN _i < 0 THEN 'other' ELSE {wanted} END AS announcement_type",
+        f"CASE WHEN _i < 0 THEN 'default_other' ELSE concat({wanted}, '_keyword') END AS rule_name",
+        f"CASE WHEN _i < 0 THEN '' ELSE {word} END AS matched_text",
+        f"CASE WHEN _i < 0 THEN 'no whitelist rule matched' ELSE concat({source}, ' matched ', {wanted}, '_keyword') END AS reason",
+        f"CASE WHEN _i < 0 THEN false ELSE {wanted} IN ({_quoted(list(whitelist) or ['-'])}) END AS selected",
     )
 
 
