@@ -15,6 +15,7 @@ from tidemark.catalog import (  # noqa: F401
     extraction,
     runlog,
     reports,
+    ingest,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
