@@ -221,14 +221,12 @@ def rebalance_summary(ledger: DataFrame, nav: float) -> DataFrame:
 def lock_dates(calendar: DataFrame, signals: DataFrame, start: str) -> DataFrame:
     """For every open day the signal whose basket applies."""
     marks = signals.selectExpr("signal_date AS trade_date", "true AS is_open")
-    back = dense_days(marks, ["prev_open"]).selectExpr("day AS _d", "prev_open AS _last")
-    first = marks.agg(F.expr(f"least(min(trade_date), DATE'{start}') AS _first"))
+    # Seen from the next day: the last signal up to today, or the first one still ahead.
+    near = dense_days(marks, ["prev_open", "next_open"]).selectExpr("date_sub(day, 1) AS _d", "prev_open", "next_open", "day")
+    near = near.selectExpr("_d", "prev_open", "CASE WHEN prev_open IS NULL THEN next_open END AS ahead")
     days = open_days(calendar).filter(f"trade_date >= DATE'{start}'")
-    # ``first`` is one row; the join only attaches that value.
-    return (
-        days.join(back, F.expr(f"{day_key('date_add(trade_date, 1)')} = _d"), "left")
-        .join(first, F.expr("true"))
-        .selectExpr("trade_date", "coalesce(_last, _first) AS lock_date")
+    return days.join(near, F.expr(f"{day_key('trade_date')} = _d"), "left").selectExpr(
+        "trade_date", f"coalesce(prev_open, least(ahead, DATE'{start}')) AS lock_date"
     )
 
 
@@ -268,7 +266,6 @@ def daily_returns(prices: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def basket_returns(locks: DataFrame, weights: DataFrame, returns: DataFrame, weight: str) -> DataFrame:
     """Basket return and coverage per day; the first day is 0 with coverage 1."""
-    first = locks.agg(F.expr("min(trade_date) AS _start"))
     daily = (
         locks.join(weights.selectExpr("lock_date", "entity", f"{weight} AS w"), "lock_date")
         .join(returns, ["entity", "trade_date"], "left")
@@ -279,10 +276,10 @@ def basket_returns(locks: DataFrame, weights: DataFrame, returns: DataFrame, wei
             F.expr("count(*) AS member_count"),
         )
     )
+    # One row per day: the unpartitioned minimum is bounded by the calendar.
     return (
-        locks.select("trade_date")
+        locks.selectExpr("trade_date", "min(trade_date) OVER () AS _start")
         .join(daily, "trade_date", "left")
-        .join(first, F.expr("true"))
         .selectExpr(
             "trade_date",
             "CASE WHEN trade_date = _start THEN 0.0D ELSE coalesce(r, 0.0D) END AS portfolio_return",
@@ -377,8 +374,11 @@ def metrics(
         F.expr("CAST(count_if(order_status = 'rejected') AS DOUBLE) AS rejected_order_count"),
     )
     x = exits.agg(F.expr("count(*) AS forced"))
-    # Five single-row aggregates side by side.
-    one = c.join(b, F.expr("true")).join(r, F.expr("true")).join(led, F.expr("true")).join(x, F.expr("true"))
+    # Five single-row aggregates, stacked and folded into one row.
+    parts = c
+    for other in (b, r, led, x):
+        parts = parts.unionByName(other, allowMissingColumns=True)
+    one = parts.agg(*[F.max(name).alias(name) for name in parts.columns])
     net = f"final_nav / {initial}D - 1"
     gross = f"(final_nav + total_cost) / {initial}D - 1"
     annual = f"CASE WHEN final_nav <= 0 THEN -1.0D ELSE pow(final_nav / {initial}D, {year}D / days) - 1 END"

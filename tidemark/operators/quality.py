@@ -136,6 +136,11 @@ def pit_issues(members: DataFrame) -> DataFrame:
 # ---- profiles -------------------------------------------------------------
 
 
+def _size(df: DataFrame):
+    """Row count as a scalar subquery."""
+    return df.agg(F.expr("count(*)")).scalar()
+
+
 def dataset_summary(
     df: DataFrame, dataset: str, keys: Sequence[str], date_column: str, symbols: DataFrame | None = None, days: DataFrame | None = None
 ) -> DataFrame:
@@ -156,15 +161,13 @@ def dataset_summary(
     # The report lists source names: take the first twenty distinct ones.
     names = (
         df.selectExpr(f"{source} AS s").filter("s IS NOT NULL").distinct().orderBy("s").limit(20)
-        .agg(F.expr("array_join(array_sort(collect_list(s)), ',') AS source_values"))
+        .agg(F.expr("array_join(array_sort(collect_list(s)), ',')"))
     )
-    out = base.join(names, F.expr("true"))
+    out = base.select("*", names.scalar().alias("source_values"))
     if symbols is None or days is None:
         return out.selectExpr("*", "CAST(NULL AS DOUBLE) AS coverage_rate")
-    cells = symbols.agg(F.expr("count(*) AS _s")).join(days.agg(F.expr("count(*) AS _d")), F.expr("true"))
-    return out.join(cells, F.expr("true")).selectExpr(
-        *out.columns, "try_divide(row_count, _s * _d) AS coverage_rate"
-    )
+    sizes = out.select("*", _size(symbols).alias("_s"), _size(days).alias("_d"))
+    return sizes.selectExpr(*out.columns, "try_divide(row_count, _s * _d) AS coverage_rate")
 
 
 def field_summary(df: DataFrame, dataset: str, fields: Sequence[str]) -> DataFrame:
@@ -238,7 +241,7 @@ def coverage_gate(covered: DataFrame, universe: DataFrame, check: str, minimum:
 def factor_gate(rows: DataFrame, universe: DataFrame, minimum: float) -> DataFrame:
     counts = rows.agg(
         F.expr("count(*) AS r"), F.expr("count(DISTINCT entity) AS s"), F.expr("count(DISTINCT factor_name) AS f")
-    ).join(universe.select("entity").distinct().agg(F.expr("count(*) AS n")), F.expr("true"))
+    ).select("*", _size(universe.select("entity").distinct()).alias("n"))
     return gate_row(
         counts, "factor_values_source_run", f"r > 0 AND coalesce(try_divide(s, n), 0.0D) >= {minimum}D", "'blocking'",
         "concat('rows=', r, '; stocks=', s, '/', n, '; factors=', f)", f"'rows > 0 and stock coverage >= {minimum:.2%}'",

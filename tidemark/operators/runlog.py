@@ -93,9 +93,9 @@ def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
         # Source names, not rows: the first twenty distinct ones.
         names = (
             df.filter(f"{c} IS NOT NULL").select(c).distinct().orderBy(c).limit(20)
-            .agg(F.expr(f"array_join(array_sort(collect_list({c})), ',') AS {c}_values"))
+            .agg(F.expr(f"array_join(array_sort(collect_list({c})), ',')"))
         )
-        out = out.join(names, F.expr("true"))
+        out = out.select("*", names.scalar().alias(f"{c}_values"))
     cells = [f"coalesce(CAST({c} AS STRING), '')" for c in out.columns]
     material = f"concat_ws('|', '{table}', {', '.join(cells)})"
     return out.selectExpr(f"'{table}' AS table_name", "row_count", f"{material} AS material").selectExpr(

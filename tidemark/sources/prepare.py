@@ -93,15 +93,16 @@ def complete_members(members: DataFrame, calendar: DataFrame, index_code: str, s
     )
     filled = fill_effective(base, "in_effective", "in_publish", "in_date", calendar)
     filled = fill_effective(filled, "out_effective", "out_publish", "out_date", calendar)
-    # Decided over all rows before the index filter; one row joined to every member.
+    # Decided over all rows before the index filter; a scalar subquery for every member.
     kind = base.agg(
         F.expr(
             f"CASE WHEN count(*) = 0 THEN 'empty' WHEN min(in_date) = max(in_date) AND min(in_date) = DATE'{as_of}' "
-            "THEN 'current_snapshot' ELSE 'historical_pit' END AS universe_kind"
+            "THEN 'current_snapshot' ELSE 'historical_pit' END"
         )
     )
-    return filled.filter(F.col("index_code") == index_code).join(kind, F.expr("true")).selectExpr(
-        *filled.columns, f"'{source_tag}' AS source", f"'{source_tag}' AS source_tag", "universe_kind"
+    return filled.filter(F.col("index_code") == index_code).select(
+        *filled.columns, F.lit(source_tag).alias("source"), F.lit(source_tag).alias("source_tag"),
+        kind.scalar().alias("universe_kind"),
     )
 
 

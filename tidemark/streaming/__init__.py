@@ -1 +1 @@
-
+"""No streaming operators: every operator of this engine is a batch query."""
