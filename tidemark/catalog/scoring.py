@@ -345,7 +345,7 @@ cte(
                          avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic <= 0 THEN 0.0 END) AS positive_rank_ic_rate
                   FROM (SELECT trade_date, horizon, count(*) AS n,
                                CASE WHEN count(*) >= 2 AND max(x) > min(x) AND max(y) > min(y)
-                                    THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS ic,
+                                    THEN round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 12) END AS ic,
                                CASE WHEN count(*) >= 2 THEN avg(CASE WHEN rn > n0 - greatest(1, n0 // 5) THEN forward_return END)
                                  - avg(CASE WHEN rn <= greatest(1, n0 // 5) THEN forward_return END) END AS spread
                         FROM (SELECT *, rank() OVER (PARTITION BY trade_date, horizon ORDER BY total_score)

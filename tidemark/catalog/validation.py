@@ -46,7 +46,7 @@ cte(
     SELECT factor_name, trade_date, horizon, valid_n, rank_ic, rank_ic * {SIGN} AS oriented_rank_ic
     FROM (SELECT factor_name, trade_date, horizon, count(*) AS valid_n,
                  CASE WHEN count(*) >= 3 AND max(x) > min(x) AND max(y) > min(y)
-                      THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS rank_ic
+                      THEN round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 12) END AS rank_ic
           FROM (SELECT factor_name, trade_date, horizon,
                        rank() OVER (PARTITION BY factor_name, trade_date, horizon ORDER BY factor_value)
                          + (count(*) OVER (PARTITION BY factor_name, trade_date, horizon, factor_value) - 1) / 2.0 AS x,

@@ -105,10 +105,14 @@ def with_average_rank(
 
 
 def correlation(x: str, y: str) -> str:
-    """SQL for Pearson correlation by moments; NULL when either side is constant."""
+    """SQL for Pearson correlation by moments; NULL when either side is constant.
+
+    Rounded to twelve decimals, so that a zero correlation has no sign from the
+    order in which partial sums were merged.
+    """
     return (
         f"CASE WHEN max({x}) > min({x}) AND max({y}) > min({y}) "
-        f"THEN try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})) END"
+        f"THEN round(try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})), 12) END"
     )
 
 

@@ -135,8 +135,10 @@ def on_dates(df: DataFrame, start: str, until: str | None, dates: DataFrame, out
     first = days.selectExpr("day AS _d1", "upto AS _before")
     last = days.selectExpr("day AS _d2", "upto AS _last")
     end = f"coalesce({until}, DATE'2100-12-31')" if until else "DATE'2100-12-31'"
+    # Generated columns stay opaque to constant folding: a table whose intervals
+    # all start on one day still meets the calendar in a hash join.
     placed = (
-        df.selectExpr("*", f"{start} AS _from", f"{end} AS _until")
+        df.selectExpr("*", f"inline(array(struct({start} AS _from, {end} AS _until)))")
         .join(first, F.expr(f"{day_key('date_sub(_from, 1)')} = _d1"))
         .join(last, F.expr(f"{day_key('date_sub(_until, 1)')} = _d2"))
         .filter("_last > _before")

@@ -63,8 +63,9 @@ def readback(stored: dict[str, DataFrame], expected: dict[str, DataFrame]) -> Da
     """Expected against stored row counts per dataset."""
     out = None
     for name in expected:
-        e = expected[name].agg(F.expr(f"'{name}' AS dataset"), F.expr("count(*) AS expected_rows"))
-        s = stored[name].agg(F.expr(f"'{name}' AS dataset"), F.expr("count(*) AS stored_rows"))
-        row = e.join(s, "dataset")
+        count = stored[name].agg(F.expr("count(*)")).scalar()
+        row = expected[name].agg(F.expr(f"'{name}' AS dataset"), F.expr("count(*) AS expected_rows")).select(
+            "*", count.alias("stored_rows")
+        )
         out = row if out is None else out.unionByName(row)
     return out.selectExpr("*", "expected_rows = stored_rows AS matches")
