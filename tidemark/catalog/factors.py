@@ -10,7 +10,7 @@ from tidemark.functions.calendar import open_days
 from tidemark.operators import factors as fx
 from tidemark.params import FACTOR_ORDER, FACTOR_PARAMS
 
-# View P has weekly amounts around 100,000; the reference threshold is for daily markets.
+# The weekly panel has amounts around 100,000; the default threshold is meant for daily markets.
 PARAMS = {**FACTOR_PARAMS, "min_avg_amount": 50_000.0}
 
 cte(
