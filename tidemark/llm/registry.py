@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, simhash
+from tidemark.llm import chat, line_dedup, merkle, packing, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_chat": chat.op3_chat,
+    "op4_merkle": merkle.op4_merkle,
+    "op7_packing": packing.op7_packing,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_chat": chat.ORACLE,
+    "op4_merkle": merkle.ORACLE,
 }
