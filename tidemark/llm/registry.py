@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, line_dedup, merkle, packing, simhash
+from tidemark.llm import chat, decontaminate, language, licenses, line_dedup, merkle, packing, simhash
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat": chat.op3_chat,
     "op4_merkle": merkle.op4_merkle,
     "op7_packing": packing.op7_packing,
+    "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
+    "op10_language": language.op10_language,
 }
 
 ORACLES = {
