@@ -4,36 +4,66 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.simhash import simhash_components
-from tidemark.session import shared_dir
+from tidemark.llm import decontaminate, language, line_dedup, packing, simhash
+from tidemark.llm.common import NO_ID, within
+from tidemark.session import materialize, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# SQL cannot express language identification and SimHash, so the tests hold the stages against brute force.
+# SQL cannot express language identification, SimHash and tokenisation; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _id() -> Column:
+    return F.coalesce("doc_id", F.lit(NO_ID))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification does not reject."""
+    model = language.fit(docs.filter(~language.held_out()))
+    return language.identify(docs, model, COLUMNS).filter("NOT rejected").select(*COLUMNS)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds; ``n_chars`` follows the text."""
-    kept = dedup_lines(docs).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(kept, rest["doc_id"].eqNullSafe(kept["_id"])).select(
-        "doc_id", F.col("_kept").alias("text"), "lang", "source", F.char_length("_kept").cast("long").alias("n_chars")
+    return line_dedup.dedup_lines(docs, keep=["lang", "source"]).select(
+        "doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars")
     )
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group."""
-    heads = simhash_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(heads, docs["doc_id"] == heads["_id"], "left_semi").select(*COLUMNS)
+    heads = (
+        simhash.simhash_components(docs)
+        .filter("doc_id <=> component_id")
+        .select(_id().alias("_id"))
+        .distinct()
+    )
+    keyed = docs.select(*COLUMNS, _id().alias("_id"))
+    return keyed.join(heads, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, neither word by word nor with other numbers or names."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = materialize(decontaminate.contaminated(docs, benchmark).select(F.col("id").alias("_id")).distinct())
+    keyed = docs.select(*COLUMNS, _id().alias("_id"))
+    return keyed.join(within(leaks), "_id", "left_anti").select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
+    ("language_id", keep_known_languages),
     ("line_dedup", drop_repeated_lines),
     ("near_dedup", keep_one_of_each_group),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
 ]
 
 

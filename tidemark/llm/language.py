@@ -8,7 +8,7 @@ chosen by a hash of doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,8 +131,8 @@ def fit(
     )
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score, rejected`` for every row of ``docs(doc_id, text)``.
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and ``lang_pred, score, rejected`` for every row; ``docs`` needs ``text``.
 
     ``lang_pred`` is the nearest centroid's language (ties: the first by name), or ``und`` for texts without a
     letter, null texts and a model without languages, which are rejected with score 0.  ``score`` is the cosine.  A
@@ -144,21 +144,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                x = vectors(part.column(1).to_pylist(), model.idf, letters)
+                x = vectors(part.column(0).to_pylist(), model.idf, letters)
                 known = x.any(axis=1) & bool(model.langs)
                 cosines = x @ model.centroids.T if model.langs else np.zeros((len(x), 1), np.float32)
                 best = cosines.argmax(axis=1)
                 score = np.where(known, np.clip(cosines.max(axis=1), 0, 1), 0).astype(float)
                 langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 rejected = ~known | (score < (model.lowest[best] if model.langs else 1))
+                found = [pa.array(langs, pa.string()), pa.array(score.round(6)), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(langs, pa.string()), pa.array(score.round(6)), pa.array(rejected)],
-                    names=["doc_id", "lang_pred", "score", "rejected"],
+                    [*part.columns[1:], *found], names=[*keep, "lang_pred", "score", "rejected"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, rejected boolean"
-    )
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string, score double, rejected boolean"])
+    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ already holds belongs to an earlier document.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,11 +114,15 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, store: LineStore | None = None
+    docs: DataFrame,
+    batches: int = BATCHES,
+    min_chars: int = MIN_CHARS,
+    store: LineStore | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept``: each text without the lines that an earlier document holds.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are not read.  A line's key is the line without
+    ``docs`` needs ``doc_id`` and ``text``; of other columns those in ``keep`` stay, the rest is not read.  A line's key is the line without
     ASCII white space at its ends and with A-Z lower-cased.  Keys shorter than ``min_chars`` stay.  Null text
     is the empty text, which is one empty line.  Rows with equal doc_id (told apart by a hash of their text) are one document: none of them drops a
     line for the sake of another.  Rows without doc_id are one document after all others.  An empty table gives no rows.
@@ -127,6 +132,7 @@ def dedup_lines(
         "doc_id",
         F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("_"), *keep).alias("carried"),
     ).withColumn("row", F.xxhash64("text"))
     store = store or LineStore(spark)
     # Borders of the batches: a few quantiles of doc_id.
@@ -148,13 +154,14 @@ def dedup_lines(
     )
     return (
         source.join(gone, ["id", "row"], "left")
-        .select("doc_id", "text", "gone", F.split("text", "\n", -1).alias("lines"))
+        .select("doc_id", "text", "gone", "carried", F.split("text", "\n", -1).alias("lines"))
         .withColumn("n_lines", F.size("lines"))
         .select(
             "doc_id",
             F.col("n_lines").cast("long").alias("n_lines"),
             F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+            *[F.col(f"carried.{c}") for c in keep],
         )
     )
 

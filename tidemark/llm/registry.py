@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, html_extract, language, licenses, line_dedup, merkle, packing, simhash
+from tidemark.llm import chat, decontaminate, html_extract, language, licenses, line_dedup, merkle, packing, pii, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat": chat.op3_chat,
     "op4_merkle": merkle.op4_merkle,
+    "op5_pii": pii.op5_pii,
     "op6_html": html_extract.op6_html,
     "op7_packing": packing.op7_packing,
     "op8_licenses": licenses.op8_licenses,
