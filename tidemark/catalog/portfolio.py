@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.catalog.factors import factor_rows
-from tidemark.catalog.registry import cte, query
+from tidemark.catalog.registry import CTES, cte, query
 from tidemark.functions.calendar import month_ends
 from tidemark.operators import asof
 from tidemark.operators import portfolio as pf
@@ -17,12 +17,31 @@ SORT, TOP_N = "return_20d", 10
 _IN = f"trade_date BETWEEN DATE '{START}' AND DATE '{END}'"
 
 
-def targets(t):
-    """Month-end top-N targets inside the replay range, written once."""
+NAMES = [SORT, *HARD_FILTERS]
+
+
+def replay_rows(t):
+    """Factor rows on the month ends of the replay range, shared by all replay queries."""
     days = month_ends(t.calendar, START, END).selectExpr("signal_date AS trade_date")
-    names = [SORT, *HARD_FILTERS]
-    wide = se.to_wide(factor_rows(t, names, days), names)
-    return materialize(se.equal_weight_targets(wide, SORT, TOP_N))
+    return t.stored("replay_rows", lambda: factor_rows(t, NAMES, days))
+
+
+def targets(t):
+    """Month-end top-N targets inside the replay range."""
+    return t.stored("replay_targets", lambda: se.equal_weight_targets(se.to_wide(replay_rows(t), NAMES), SORT, TOP_N))
+
+
+def executable(t):
+    """Scheduled signals that can be executed: factor rows are there, and a next open day inside the range."""
+    return pf.schedule(t.calendar, START, END, replay_rows(t).select("trade_date")).filter("skip_reason = ''")
+
+
+# A month whose selection is empty, and weeks of a total and a more than total loss.
+EMPTY = "signal_date BETWEEN DATE'1998-02-01' AND DATE'1998-02-28'"
+
+
+def gapped(t):
+    return targets(t).filter(f"NOT ({EMPTY})")
 
 
 def signals(t):
@@ -43,13 +62,15 @@ cte(
                 QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY {SORT} DESC, entity) <= {TOP_N}))""",
     ["km", *[f"f_{n}" for n in [SORT, *HARD_FILTERS]]],
 )
+_WITH_ROWS = " UNION ALL ".join(f"SELECT trade_date FROM f_{n}" for n in [SORT, *HARD_FILTERS])
 cte(
     "ks",
-    """SELECT signal_date, execution_date, lead(execution_date) OVER (ORDER BY signal_date) AS next_execution,
+    f"""SELECT signal_date, execution_date, lead(execution_date) OVER (ORDER BY signal_date) AS next_execution,
               row_number() OVER (ORDER BY signal_date) AS k
        FROM (SELECT signal_date, (SELECT min(trade_date) FROM cal WHERE trade_date > signal_date) AS execution_date
-             FROM (SELECT DISTINCT signal_date FROM kt))""",
-    ["kt", "cal"],
+             FROM (SELECT signal_date FROM km WHERE signal_date IN ({_WITH_ROWS})))
+       WHERE execution_date <= DATE '{END}'""",
+    ["km", "cal", *[f"f_{n}" for n in [SORT, *HARD_FILTERS]]],
 )
 cte("kh", "SELECT kt.*, execution_date, next_execution, k FROM kt JOIN ks USING (signal_date) WHERE execution_date IS NOT NULL", ["kt", "ks"])
 cte(
@@ -99,6 +120,9 @@ cte(
                             held_notional / nullif(open, 0) AS held FROM kc))))""",
     ["kc"],
 )
+cte("kth", f"SELECT * FROM kh WHERE NOT ({EMPTY})", ["kh"])
+cte("kog", CTES["ko"][1].replace("kh ", "kth "), ["kth", "ks"])
+cte("kcg", CTES["kc"][1].replace("ko o", "kog o"), ["kog", "panel", "securities"])
 cte("kld", "SELECT *, commission + stamp_tax + slippage_cost AS total_cost FROM kl", ["kl"])
 cte(
     "kx",
@@ -111,7 +135,7 @@ cte(
 )
 cte(
     "kd",
-    """SELECT h.entity, h.signal_date, h.target_weight, c.trade_date FROM kh h
+    """SELECT h.entity, h.signal_date, h.execution_date, h.target_weight, c.trade_date FROM kh h
        JOIN cal c ON c.trade_date >= h.execution_date AND (h.next_execution IS NULL OR c.trade_date < h.next_execution)""",
     ["kh", "cal"],
 )
@@ -251,7 +275,8 @@ def _(t):
 
 
 def classified(t, tg=None):
-    return pf.classify_orders(pf.orders(targets(t) if tg is None else tg, t.calendar, NAV), t.prices, t.securities)
+    rows = pf.orders(targets(t) if tg is None else tg, t.calendar, NAV, executable(t))
+    return pf.classify_orders(rows, t.prices, t.securities)
 
 
 @query(
@@ -264,9 +289,19 @@ def _(t):
     return classified(t)
 
 
+@query(
+    "k5_order_feasibility_empty_month",
+    "SELECT * FROM kcg",
+    ["kcg"],
+    doubles="old_weight new_weight intended_notional held_notional open",
+)
+def _(t):
+    return classified(t, gapped(t))
+
+
 @query("k6_forced_delist_exits", "SELECT * FROM kx", ["kx"], doubles="target_weight")
 def _(t):
-    return pf.forced_exits(targets(t), t.securities, t.calendar)
+    return pf.forced_exits(targets(t), t.securities, t.calendar, executable(t))
 
 
 @query(
@@ -281,17 +316,18 @@ def _(t):
 
 @query(
     "k8_mark_to_market",
-    """SELECT signal_date, trade_date, entity, target_weight * 1000 AS shares, coalesce(lc, 0) AS close,
-               target_weight * 1000 * coalesce(lc, 0) AS market_value,
+    """SELECT signal_date, trade_date, entity, coalesce(target_weight * 1000 / paid, 0) AS shares, coalesce(lc, 0) AS close,
+               coalesce(target_weight * 1000 / paid, 0) * coalesce(lc, 0) AS market_value,
                CASE WHEN px IS NULL THEN 'last_visible_close' ELSE 'daily_close' END AS price_source
-        FROM (SELECT h.*, p.close AS px, last_value(p.close IGNORE NULLS) OVER (PARTITION BY h.entity ORDER BY h.trade_date
+        FROM (SELECT h.*, p.close AS px, x.open AS paid, last_value(p.close IGNORE NULLS) OVER (PARTITION BY h.entity ORDER BY h.trade_date
                      ROWS UNBOUNDED PRECEDING) AS lc
-              FROM kd h LEFT JOIN panel p ON p.entity = h.entity AND p.trade_date = h.trade_date AND p.close > 0)""",
+              FROM kd h LEFT JOIN panel p ON p.entity = h.entity AND p.trade_date = h.trade_date AND p.close > 0
+              LEFT JOIN panel x ON x.entity = h.entity AND x.trade_date = h.execution_date AND x.open > 0)""",
     ["kd", "panel"],
     doubles="shares close market_value",
 )
 def _(t):
-    return pf.mark_to_market(pf.holdings(targets(t), t.calendar), t.prices, 1000.0)
+    return pf.mark_to_market(pf.holdings(targets(t), t.calendar, executable(t)), t.prices, 1000.0)
 
 
 _RB_DOUBLES = (
@@ -363,9 +399,26 @@ def _(t):
     )
 
 
+_LOSSES = "CASE WHEN trade_date = DATE'1999-03-01' THEN -1.5D WHEN trade_date = DATE'2000-05-01' THEN -1.0D ELSE portfolio_return END"
+
+
+@query(
+    "k13_nav_with_losses",
+    f"""SELECT trade_date, portfolio_return, {slog('nav')} AS log_nav
+        FROM (SELECT *, product(1 + portfolio_return) OVER (ORDER BY trade_date) AS nav FROM (
+          SELECT trade_date, CASE WHEN trade_date = DATE '1999-03-01' THEN -1.5 WHEN trade_date = DATE '2000-05-01' THEN -1.0
+                             ELSE portfolio_return END AS portfolio_return FROM kb_equal))""",
+    ["kb_equal"],
+    doubles="portfolio_return log_nav",
+)
+def _(t):
+    daily = basket(t, "equal_weight").selectExpr("trade_date", f"{_LOSSES} AS portfolio_return")
+    return pf.with_nav(daily).selectExpr("trade_date", "portfolio_return", f"{slog('nav')} AS log_nav")
+
+
 def portfolio(t, tg=None):
     returns = pf.daily_returns(t.prices, t.calendar)
-    return pf.target_portfolio(targets(t) if tg is None else tg, t.calendar, returns, START)
+    return pf.target_portfolio(targets(t) if tg is None else tg, t.calendar, returns, START, signals=executable(t))
 
 
 def curve(t, tg=None):
@@ -427,7 +480,7 @@ def metrics(t):
     tg = targets(t)
     ledger = materialize(pf.execute_orders(classified(t, tg)))
     return pf.metrics(
-        curve(t, tg), benchmark_nav(t), pf.rebalance_summary(ledger, NAV), ledger, pf.forced_exits(tg, t.securities, t.calendar)
+        curve(t, tg), benchmark_nav(t), pf.rebalance_summary(ledger, NAV), ledger, pf.forced_exits(tg, t.securities, t.calendar, executable(t))
     )
 
 

@@ -11,19 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The dense day table spans these days; dates outside are clamped to its ends.
-FIRST_DAY = date(1950, 1, 1)
-LAST_DAY = date(2100, 12, 31)
-
-
-def day_key(expression: str) -> str:
-    """SQL for the date to look up in :func:`dense_days`; NULL stays NULL."""
-    d = f"to_date({expression})"
-    return f"CASE WHEN {d} IS NOT NULL THEN least(greatest({d}, DATE'{FIRST_DAY}'), DATE'{LAST_DAY}') END"
-
 
 def open_days(calendar: DataFrame, start: date | str | None = None, end: date | str | None = None) -> DataFrame:
     """Open trading dates, optionally inside a closed range."""
@@ -39,20 +29,35 @@ def ordinals(calendar: DataFrame, day: str = "trade_date", ord: str = "ord") ->
     """1-based ordinals of the open days."""
     return open_days(calendar).selectExpr(
         f"trade_date AS {day}", f"CAST(row_number() OVER (ORDER BY trade_date) AS BIGINT) AS {ord}"
-    ).cache()
+    )
+
+
+def _span(calendar: DataFrame) -> DataFrame:
+    """One row: the day before the first and the day after the last open day."""
+    return open_days(calendar).agg(
+        F.expr("date_sub(min(trade_date), 1) AS lo"), F.expr("date_add(max(trade_date), 1) AS hi")
+    )
+
+
+def day_key(day: str, calendar: DataFrame) -> Column:
+    """The day to look up in :func:`dense_days` of ``calendar``; NULL stays NULL.
+
+    All days before the first open day have the same neighbours, and so have all days after the last one,
+    so a day outside the table is looked up at its ends.
+    """
+    d, span = F.expr(f"to_date({day})"), _span(calendar)
+    inside = F.least(F.greatest(d, span.select("lo").scalar()), span.select("hi").scalar())
+    return F.when(d.isNotNull(), inside)
 
 
 def dense_days(calendar: DataFrame, wanted: Sequence[str] = ("upto", "prev_open", "next_open")) -> DataFrame:
-    """One row per calendar day: open days up to it, previous and next open day.
+    """One row per day from before the first to after the last open day, with its open neighbours.
 
     ``upto`` counts open days <= day; ``prev_open`` and ``next_open`` are
     strictly before and after it.
     """
     opens = open_days(calendar).selectExpr("trade_date AS open_date")
-    span = (LAST_DAY - FIRST_DAY).days + 1
-    days = calendar.sparkSession.range(0, span, 1, 1).selectExpr(
-        f"date_add(DATE'{FIRST_DAY}', CAST(id AS INT)) AS day"
-    )
+    days = _span(calendar).selectExpr("explode(sequence(lo, hi)) AS day")
     # Looking forward is written as looking back over the reversed order: a frame
     # that ends at the last row would rescan the rest of the table for every row.
     shapes = {
@@ -60,16 +65,16 @@ def dense_days(calendar: DataFrame, wanted: Sequence[str] = ("upto", "prev_open"
         "prev_open": "max(open_date) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "next_open": "min(open_date) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     }
-    # Cached: bounded by the day span, and looked up several times by most plans.
     return days.join(opens, F.expr("day = open_date"), "left").selectExpr(
         "day", *[f"{shapes[name]} AS {name}" for name in wanted]
-    ).cache()
+    )
 
 
 def next_open(facts: DataFrame, day: str, calendar: DataFrame, out: str) -> DataFrame:
     """Add the first open day strictly after ``day`` (NULL when there is none)."""
     lookup = dense_days(calendar, ["next_open"]).selectExpr("day AS _day", f"next_open AS {out}")
-    return facts.join(lookup, F.expr(f"{day_key(day)} = _day"), "left").drop("_day")
+    key = facts.withColumn("_key", day_key(day, calendar))
+    return key.join(lookup, F.expr("_key = _day"), "left").drop("_key", "_day")
 
 
 def fill_effective(
@@ -108,12 +113,13 @@ def target_dates(signals: DataFrame, horizons: list[int], calendar: DataFrame) -
 
     The signal day itself may be closed.
     """
-    days = dense_days(calendar, ["upto"]).withColumnRenamed("day", "trade_date")
+    days = dense_days(calendar, ["upto"])
     steps = ", ".join(f"{h}L" for h in horizons)
     wanted = (
         signals.select("trade_date")
         .distinct()
-        .join(days, "trade_date")
+        .withColumn("_key", day_key("trade_date", calendar))
+        .join(days, F.expr("_key = day"))
         .selectExpr("trade_date", "upto", f"explode(array({steps})) AS horizon")
         .selectExpr("trade_date", "horizon", "upto + horizon AS ord")
     )

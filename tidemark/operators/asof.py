@@ -130,17 +130,18 @@ def on_dates(df: DataFrame, start: str, until: str | None, dates: DataFrame, out
     nothing but the result is produced.  ``start`` and ``until`` are SQL text;
     a NULL ``until`` means still open.
     """
-    wanted = dates.selectExpr(f"{dates.columns[0]} AS trade_date", "true AS is_open")
+    wanted = dates.selectExpr(f"{dates.columns[0]} AS trade_date", "true AS is_open").filter("trade_date IS NOT NULL").distinct()
     days = dense_days(wanted, ["upto"])
     first = days.selectExpr("day AS _d1", "upto AS _before")
     last = days.selectExpr("day AS _d2", "upto AS _last")
-    end = f"coalesce({until}, DATE'2100-12-31')" if until else "DATE'2100-12-31'"
-    # Generated columns stay opaque to constant folding: a table whose intervals
-    # all start on one day still meets the calendar in a hash join.
+    keyed = df.selectExpr("*", f"{start} AS _from", f"{until or 'CAST(NULL AS DATE)'} AS _until").withColumns(
+        {"_k1": day_key("date_sub(_from, 1)", wanted), "_k2": day_key("date_sub(_until, 1)", wanted)}
+    )
+    # An open end reaches to the last requested position.
     placed = (
-        df.selectExpr("*", f"inline(array(struct({start} AS _from, {end} AS _until)))")
-        .join(first, F.expr(f"{day_key('date_sub(_from, 1)')} = _d1"))
-        .join(last, F.expr(f"{day_key('date_sub(_until, 1)')} = _d2"))
+        keyed.join(first, F.expr("_k1 = _d1"))
+        .join(last, F.expr("_k2 = _d2"), "left")
+        .withColumn("_last", F.when(F.col("_until").isNull(), wanted.agg(F.expr("count(*)")).scalar()).otherwise(F.col("_last")))
         .filter("_last > _before")
         .selectExpr(*df.columns, "explode(sequence(_before + 1, _last)) AS _ord")
     )

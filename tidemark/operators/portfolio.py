@@ -39,26 +39,35 @@ def target_notional(targets: DataFrame, nav: float) -> DataFrame:
     return targets.selectExpr("*", f"greatest(target_weight * {nav}D, 0.0D) AS target_notional")
 
 
-def holding_periods(targets: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Targets with execution day and the execution day of the following signal."""
+def executions(targets: DataFrame, calendar: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Every signal with its execution day, the next one and its number.
+
+    ``signals`` is the executable schedule; a signal without any target is a rebalance that sells everything.
+    Without a schedule only signals with targets count.
+    """
     # One row per signal date: bounded by the calendar.
-    signals = next_open(targets.select("signal_date").distinct(), "signal_date", calendar, "execution_date").selectExpr(
+    days = (targets if signals is None else signals).select("signal_date").distinct()
+    return next_open(days, "signal_date", calendar, "execution_date").filter("execution_date IS NOT NULL").selectExpr(
         "signal_date",
         "execution_date",
         "lead(execution_date) OVER (ORDER BY signal_date) AS next_execution",
         "row_number() OVER (ORDER BY signal_date) AS k",
     )
-    return targets.join(signals.filter("execution_date IS NOT NULL"), "signal_date")
 
 
-def orders(targets: DataFrame, calendar: DataFrame, nav: float) -> DataFrame:
+def holding_periods(targets: DataFrame, calendar: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Targets with execution day and the execution day of the following signal."""
+    return targets.join(executions(targets, calendar, signals), "signal_date")
+
+
+def orders(targets: DataFrame, calendar: DataFrame, nav: float, signals: DataFrame | None = None) -> DataFrame:
     """Weight changes at each execution day against the previous target set.
 
     Each target counts for its own signal and, as the old weight, for the next
     one, so the comparison is one aggregation instead of a self-join.
     """
-    held = holding_periods(targets, calendar)
-    signals = held.select("k", "signal_date", "execution_date").distinct()
+    held = holding_periods(targets, calendar, signals)
+    signals = executions(targets, calendar, signals).select("k", "signal_date", "execution_date")
     moves = held.selectExpr(
         "entity",
         "explode(array(named_struct('k', k, 'new', target_weight, 'old', 0.0D), "
@@ -164,10 +173,12 @@ def execute_orders(classified: DataFrame, rules: dict = TRADING) -> DataFrame:
     ).selectExpr("*", "commission + stamp_tax + slippage_cost AS total_cost")
 
 
-def forced_exits(targets: DataFrame, securities: DataFrame, calendar: DataFrame) -> DataFrame:
+def forced_exits(
+    targets: DataFrame, securities: DataFrame, calendar: DataFrame, signals: DataFrame | None = None
+) -> DataFrame:
     """First open day on which a held entity is known to be delisted."""
     gone = securities.filter("delist_date IS NOT NULL").selectExpr("entity", f"{DELISTED_FROM} AS _gone")
-    due = holding_periods(targets, calendar).join(gone, "entity").selectExpr(
+    due = holding_periods(targets, calendar, signals).join(gone, "entity").selectExpr(
         "entity", "signal_date", "execution_date", "next_execution", "target_weight",
         "date_sub(greatest(_gone, execution_date), 1) AS _before",
     )
@@ -177,24 +188,30 @@ def forced_exits(targets: DataFrame, securities: DataFrame, calendar: DataFrame)
     )
 
 
-def holdings(targets: DataFrame, calendar: DataFrame) -> DataFrame:
+def holdings(targets: DataFrame, calendar: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     """Held weights on every open day from execution up to the next execution."""
-    held = holding_periods(targets, calendar).select(
+    held = holding_periods(targets, calendar, signals).select(
         "entity", "signal_date", "execution_date", "next_execution", "target_weight"
     )
     return on_dates(held, "execution_date", "next_execution", open_days(calendar))
 
 
 def mark_to_market(held: DataFrame, prices: DataFrame, nav: float) -> DataFrame:
-    """Close or the last visible close while held, with the source of the price."""
+    """Shares bought for the target at the execution day's open, and their value at the close or last visible close.
+
+    Without a valid open on the execution day nothing is held.
+    """
+    bought = prices.filter("open > 0").selectExpr("entity", "trade_date AS execution_date", "open AS _paid")
+    held = held.join(bought, ["entity", "execution_date"], "left").withColumn(
+        "shares", F.expr(f"coalesce(target_weight * {nav}D / _paid, 0.0D)")
+    )
     px = prices.filter("close > 0").selectExpr("entity", "trade_date", "close AS _close", "open AS _open")
     last = "last(_close, true) OVER (PARTITION BY entity ORDER BY trade_date ROWS UNBOUNDED PRECEDING)"
     return (
         held.join(px, ["entity", "trade_date"], "left")
         .selectExpr("*", f"coalesce({last}, 0.0D) AS close")
         .selectExpr(
-            "signal_date", "trade_date", "entity", f"target_weight * {nav}D AS shares", "close",
-            f"target_weight * {nav}D * close AS market_value",
+            "signal_date", "trade_date", "entity", "shares", "close", "shares * close AS market_value",
             "CASE WHEN _close IS NULL THEN 'last_visible_close' ELSE 'daily_close' END AS price_source",
         )
     )
@@ -222,10 +239,10 @@ def lock_dates(calendar: DataFrame, signals: DataFrame, start: str) -> DataFrame
     """For every open day the signal whose basket applies."""
     marks = signals.selectExpr("signal_date AS trade_date", "true AS is_open")
     # Seen from the next day: the last signal up to today, or the first one still ahead.
-    near = dense_days(marks, ["prev_open", "next_open"]).selectExpr("date_sub(day, 1) AS _d", "prev_open", "next_open", "day")
-    near = near.selectExpr("_d", "prev_open", "CASE WHEN prev_open IS NULL THEN next_open END AS ahead")
+    near = dense_days(marks, ["prev_open", "next_open"])
+    near = near.selectExpr("day", "prev_open", "CASE WHEN prev_open IS NULL THEN next_open END AS ahead")
     days = open_days(calendar).filter(f"trade_date >= DATE'{start}'")
-    return days.join(near, F.expr(f"{day_key('trade_date')} = _d"), "left").selectExpr(
+    return days.withColumn("_key", day_key("date_add(trade_date, 1)", marks)).join(near, F.expr("_key = day"), "left").selectExpr(
         "trade_date", f"coalesce(prev_open, least(ahead, DATE'{start}')) AS lock_date"
     )
 
@@ -290,8 +307,17 @@ def basket_returns(locks: DataFrame, weights: DataFrame, returns: DataFrame, wei
 
 
 def with_nav(daily: DataFrame, column: str = "portfolio_return", initial: float = 1.0, out: str = "nav") -> DataFrame:
-    """Compounded NAV; one row per day, so the window is bounded by the calendar."""
-    growth = f"exp(sum(ln(1 + {column})) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING))"
+    """Compounded NAV: the exact running product of ``1 + return``; a null return leaves the NAV as it is.
+
+    Size, sign and total losses run in windows of their own: a return of -1 ends at zero for good, one below -1 turns
+    the sign.  One row per day, so the windows are bounded by the calendar.
+    """
+    so_far = "OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)"
+    growth = (
+        f"CASE WHEN count_if(1 + {column} = 0) {so_far} > 0 THEN 0.0D "
+        f"ELSE (1 - 2 * (count_if(1 + {column} < 0) {so_far} % 2)) "
+        f"* exp(coalesce(sum(ln(nullif(abs(1 + {column}), 0.0D))) {so_far}, 0.0D)) END"
+    )
     return daily.selectExpr("*", f"{initial}D * {growth} AS {out}")
 
 
@@ -301,7 +327,12 @@ def with_drawdown(curve: DataFrame, initial: float) -> DataFrame:
 
 
 def target_portfolio(
-    targets: DataFrame, calendar: DataFrame, returns: DataFrame, start: str, rules: dict = TRADING
+    targets: DataFrame,
+    calendar: DataFrame,
+    returns: DataFrame,
+    start: str,
+    rules: dict = TRADING,
+    signals: DataFrame | None = None,
 ) -> DataFrame:
     """Daily gross and net return of held target weights with a turnover cost drag.
 
@@ -310,7 +341,7 @@ def target_portfolio(
     """
     from tidemark.functions.calendar import ordinals
 
-    held = holdings(targets, calendar).select("entity", "trade_date", "target_weight")
+    held = holdings(targets, calendar, signals).select("entity", "trade_date", "target_weight")
     place = ordinals(calendar)
     later = place.selectExpr("trade_date AS next_date", "ord - 1 AS ord")
     carried = (
@@ -321,7 +352,7 @@ def target_portfolio(
         .groupBy("trade_date")
         .agg(F.expr("sum(target_weight * coalesce(ret, 0.0D)) AS gross_return"))
     )
-    changes = orders(targets, calendar, 1.0).groupBy(F.expr("execution_date AS trade_date")).agg(
+    changes = orders(targets, calendar, 1.0, signals).groupBy(F.expr("execution_date AS trade_date")).agg(
         F.expr("sum(intended_notional) AS turnover"),
         F.expr("coalesce(sum(intended_notional) FILTER (WHERE side = 'sell'), 0.0D) AS sold"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import dense_days, open_days
+from tidemark.functions.calendar import day_key, dense_days, open_days
 from tidemark.functions.ranks import correlation, row_numbers, with_average_rank
 from tidemark.operators.factors import ADJUSTED_CLOSE
 from tidemark.params import FACTORS
@@ -39,9 +39,10 @@ def forward_labels(prices: DataFrame, calendar: DataFrame, horizons: Sequence[in
     days = (
         dense_days(calendar, ["upto"])
         .join(opens, F.expr("day = open_date"), "left")
-        .selectExpr("day AS trade_date", "2 * upto + CAST(open_date IS NULL AS INT) AS pos")
+        .selectExpr("day", "2 * upto + CAST(open_date IS NULL AS INT) AS pos")
     )
-    base = prices.selectExpr("entity", "trade_date", f"{ADJUSTED_CLOSE} AS adj").join(days, "trade_date")
+    keyed = prices.selectExpr("entity", "trade_date", f"{ADJUSTED_CLOSE} AS adj").withColumn("_key", day_key("trade_date", calendar))
+    base = keyed.join(days, F.expr("_key = day")).drop("_key", "day")
 
     def ahead(n: int) -> str:
         # Positions are even for open days, so a closed day never matches as a target.

@@ -1,12 +1,13 @@
 """Panel views derived from the star-schema tables.
 
-Every view is a lazy plan over whole tables.  ``Tables`` only memoises the
-DataFrame objects, never data.  Expressions are SQL text: one round trip to the
-JVM per select, however many columns it has.
+Views are lazy plans over whole tables, except those that most queries share: the weekly panel, its calendar and the
+facts summed up from the largest table are stored once per run and data folder (see :func:`tidemark.session.stored`), the panel
+bucketed by entity.  Expressions are SQL text: one round trip to the JVM per select, however many columns it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import next_open
 from tidemark.schemas import INPUT_SCHEMAS
+from tidemark.session import stored
 
 INDEX_CODE = "X"
 WEEK = "date_sub(to_date({0}), weekday(to_date({0})))"
@@ -28,10 +30,17 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(INPUT_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
+        """A table shared by all queries of this run over this data folder."""
+        return stored(self.spark, f"{self.sf_dir}|{name}", build, bucket_by)
+
     # ---- weekly panel -------------------------------------------------
     @cached_property
     def panel(self) -> DataFrame:
-        """Prices and valuations of one entity and week, in one aggregation."""
+        """Prices and valuations of one entity and week, aggregated once."""
+        return self.stored("panel", self._panel, "entity")
+
+    def _panel(self) -> DataFrame:
         weekly = (
             self.raw("lineitem")
             .groupBy(F.expr("l_suppkey AS entity"), F.expr(f"{WEEK.format('l_shipdate')} AS trade_date"))
@@ -75,17 +84,9 @@ class Tables:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        """All weeks with shipments; every one is open.
-
-        Cached: a few hundred rows that many plans look up, against one column
-        scan of the largest table for each use.
-        """
-        return (
-            self.raw("lineitem")
-            .selectExpr(f"{WEEK.format('l_shipdate')} AS trade_date")
-            .distinct()
-            .selectExpr("trade_date", "true AS is_open")
-            .cache()
+        """All weeks with shipments; every one is open."""
+        return self.stored(
+            "calendar", lambda: self.panel.select("trade_date").distinct().selectExpr("trade_date", "true AS is_open")
         )
 
     @cached_property
@@ -163,6 +164,9 @@ class Tables:
     @cached_property
     def fundamentals(self) -> DataFrame:
         """Quarterly facts with a later revision for every third entity."""
+        return self.stored("fundamentals", self._fundamentals)
+
+    def _fundamentals(self) -> DataFrame:
         ship = "to_date(l_shipdate)"
         quarterly = (
             self.raw("lineitem")
@@ -190,6 +194,9 @@ class Tables:
 
     @cached_property
     def orders_with_entities(self) -> DataFrame:
+        return self.stored("orders_with_entities", self._orders_with_entities)
+
+    def _orders_with_entities(self) -> DataFrame:
         entities = self.raw("lineitem").groupBy("l_orderkey").agg(
             F.expr("min(l_suppkey) AS first_entity"), F.expr("max(l_suppkey) AS last_entity")
         )

@@ -1,13 +1,19 @@
-"""Session defaults and the one place where an intermediate table is written."""
+"""Session defaults and the places where intermediate tables are written."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Used by build_session only, and only where the configuration names no folder.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+# Application id -> this run's folder below the shared one, and tables stored once per run by key.
+_FOLDERS: dict[str, str] = {}
+_STORED: dict[tuple[str, str], Callable[[], DataFrame]] = {}
+
 
 def build_session(app: str = "tidemark", master: str | None = None, cores: int | None = None) -> SparkSession:
     """Session for tests and the benchmark; a cluster job brings its own session."""
@@ -26,32 +32,34 @@ def build_session(app: str = "tidemark", master: str | None = None, cores: int |
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not _checkpoint_dir(spark):
+        spark.sparkContext._conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
     return spark
 
 
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's ``spark.checkpoint.dir``.
+    """This run's folder for intermediate tables, below the session's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would be invisible to the other executors.
+    The setting must be there: a machine-local folder would be invisible to other executors.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    configured = _checkpoint_dir(spark)
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    run = spark.sparkContext.applicationId
+    if run not in _FOLDERS:
+        _FOLDERS[run] = f"{configured.rstrip('/')}/tidemark-{run}-{uuid.uuid4().hex[:8]}"
+    return _FOLDERS[run]
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Used where several branches of one plan read the same costly intermediate
-    (the factor store, for example).  The table is durable, so a lost executor
+    This runs a job at once, while the caller's plan is still being built.  Used where several branches of one plan
+    read the same costly intermediate.  The table is durable, so a lost executor
     costs a re-read and not a recomputation, and the scan that follows prunes
     columns and knows its size, which lets Spark choose its join strategy.
     """
@@ -59,3 +67,37 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
+    """The table of ``key``, built and written at its first use in this run and read by every later query.
+
+    ``key`` must name the data folder and all parameters.  With ``bucket_by`` the table is bucketed and sorted by that
+    column, so that joins, aggregations and windows over it need no shuffle.
+    """
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _STORED:
+        if bucket_by is None:
+            df = materialize(build())
+            _STORED[at] = lambda: df
+        else:
+            name, df = f"stored_{uuid.uuid4().hex}", build()
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            writer = df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+            writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+            _STORED[at] = lambda: spark.table(name)
+    return _STORED[at]()
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete everything this run has written to the shared folder; frames that read it become invalid."""
+    run = spark.sparkContext.applicationId
+    for at in [at for at in _STORED if at[0] == run]:
+        del _STORED[at]
+    for table in spark.catalog.listTables():
+        if table.name.startswith("stored_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    folder = _FOLDERS.pop(run, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
