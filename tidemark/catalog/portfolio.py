@@ -341,16 +341,19 @@ def _(t):
 
 
 def locks(t):
-    return pf.lock_dates(t.calendar_gaps, signals(t), START)
+    return t.stored("basket_locks", lambda: pf.lock_dates(t.calendar_gaps, signals(t), START))
 
 
 def weights(t):
     lock_days = locks(t).selectExpr("lock_date AS trade_date").distinct()
-    return pf.basket_weights(asof.intervals_on_dates(t.members, lock_days), t.valuations)
+    return t.stored(
+        "basket_weights", lambda: pf.basket_weights(asof.intervals_on_dates(t.members, lock_days), t.valuations)
+    )
 
 
 def basket(t, weight):
-    return pf.basket_returns(locks(t), weights(t), pf.daily_returns(t.prices, t.calendar_gaps), weight)
+    returns = t.stored("basket_day_returns", lambda: pf.daily_returns(t.prices, t.calendar_gaps))
+    return pf.basket_returns(locks(t), weights(t), returns, weight)
 
 
 def benchmark_nav(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.factors import factor_rows
 from tidemark.catalog.asof import interval_sql
+from tidemark.catalog.universe import names_sql
 from tidemark.catalog.registry import cte, query
 from tidemark.functions.calendar import is_open_on, open_days
 from tidemark.operators import asof
@@ -170,8 +171,7 @@ _KEY = "source_run_id, entity, trade_date, as_of_date, factor_name"
 @query(
     "c10_duplicate_factor_keys",
     f"""SELECT {_KEY}, count(*) AS row_count FROM (SELECT *, 'run_a' AS source_run_id FROM f_return_60d
-        UNION ALL SELECT *, 'run_a' FROM f_return_60d WHERE entity % 10 = 4) GROUP BY {_KEY} HAVING count(*) > 1
-        ORDER BY {_KEY} LIMIT 5""",
+        UNION ALL SELECT *, 'run_a' FROM f_return_60d WHERE entity % 10 = 4) GROUP BY {_KEY} HAVING count(*) > 1""",
     ["f_return_60d"],
 )
 def _(t):
@@ -205,10 +205,16 @@ def _(t):
 # ---- L ---------------------------------------------------------------------
 
 
-def _summary_sql(dataset: str, source: str, keys: str, date: str, coverage: str, src: str, entity: bool = True) -> str:
+def _summary_sql(dataset: str, source: str, keys: str, date: str, coverage: str, named: bool = False, entity: bool = True) -> str:
+    names = ", ".join(
+        f"(SELECT count(DISTINCT {c}) FROM {source}) AS {c}_count, {names_sql(source, c)} AS {c}_values"
+        if named
+        else f"0 AS {c}_count, CAST(NULL AS VARCHAR) AS {c}_values"
+        for c in ("source", "source_tag")
+    )
     return f"""
     SELECT '{dataset}' AS dataset, sum(n) AS row_count, {'count(DISTINCT entity)' if entity else 'NULL'} AS stock_count, min(lo) AS start_date, max(hi) AS end_date,
-           coalesce(sum(n) FILTER (WHERE n > 1), 0) AS duplicate_key_rows, {src} AS source_values, {coverage} AS coverage_rate
+           coalesce(sum(n) FILTER (WHERE n > 1), 0) AS duplicate_key_rows, {names}, {coverage} AS coverage_rate
     FROM (SELECT {keys}, count(*) AS n, min({date}) AS lo, max({date}) AS hi FROM {source} GROUP BY {keys})"""
 
 
@@ -219,15 +225,15 @@ _CELLS = "((SELECT count(*) FROM securities) * (SELECT count(*) FROM cal))"
     "l1_dataset_summary",
     " UNION ALL ".join(
         [
-            _summary_sql("daily_prices", "panel", "entity, trade_date", "trade_date", f"sum(n) / {_CELLS}", "''"),
-            _summary_sql("valuation_daily", "panel", "entity, trade_date", "trade_date", f"sum(n) / {_CELLS}", "''"),
-            _summary_sql("universe_members", "members", "source_tag, index_code, entity, in_date", "in_date", "NULL", "'main'"),
-            _summary_sql("trading_calendar", "cal", "trade_date", "trade_date", "NULL", "''", entity=False),
+            _summary_sql("daily_prices", "panel", "entity, trade_date", "trade_date", f"sum(n) / {_CELLS}"),
+            _summary_sql("valuation_daily", "panel", "entity, trade_date", "trade_date", f"sum(n) / {_CELLS}"),
+            _summary_sql("universe_members", "members", "source_tag, index_code, entity, in_date", "in_date", "NULL", named=True),
+            _summary_sql("trading_calendar", "cal", "trade_date", "trade_date", "NULL", entity=False),
         ]
     ),
     ["panel", "members", "cal", "securities"],
     doubles="coverage_rate",
-    longs="row_count stock_count duplicate_key_rows",
+    longs="row_count stock_count duplicate_key_rows source_count source_tag_count",
 )
 def _(t):
     symbols, days = t.securities.select("entity"), open_days(t.calendar)
@@ -240,6 +246,17 @@ def _(t):
     return qa.assemble_gate(parts)
 
 
+@query(
+    "l1_source_names",
+    """SELECT 'announcements' AS dataset, 'source' AS column_name, source AS value, count(*) AS row_count FROM announcements
+       WHERE source IS NOT NULL GROUP BY source
+       UNION ALL SELECT 'announcements', 'source_tag', source_tag, count(*) FROM announcements WHERE source_tag IS NOT NULL GROUP BY source_tag""",
+    ["announcements"],
+)
+def _(t):
+    return qa.source_names(t.announcements, "announcements")
+
+
 _FIELDS = [n for n, _ in _DIRTY] + ["source"]
 
 

@@ -147,14 +147,16 @@ def _(t):
 @query(
     "n5_rank_changes",
     """SELECT * FROM (SELECT coalesce(a.entity, b.entity) AS entity, a.rank AS current_rank, b.rank AS compare_rank, b.rank - a.rank AS rank_delta,
-              CASE WHEN b.rank IS NULL THEN 'added' WHEN a.rank IS NULL THEN 'removed' WHEN a.rank <> b.rank THEN 'rank_changed' END AS change_type
-       FROM cday a FULL OUTER JOIN cprev b ON a.entity = b.entity) WHERE change_type IS NOT NULL
-       ORDER BY change_type, current_rank NULLS LAST, entity LIMIT 30""",
+              CASE WHEN b.rank IS NULL THEN 'added' WHEN a.rank IS NULL THEN 'removed' WHEN a.rank <> b.rank THEN 'rank_changed' END AS change_type,
+              'candidates' AS current_source, 'candidates_before' AS compare_source,
+              CASE WHEN b.rank IS NULL THEN '新增进入显式对比口径。' WHEN a.rank IS NULL THEN '从显式对比口径移出。'
+                   WHEN b.rank > a.rank THEN '排名上升 ' || (b.rank - a.rank) || ' 位。' ELSE '排名下降 ' || (a.rank - b.rank) || ' 位。' END AS message
+       FROM cday a FULL OUTER JOIN cprev b ON a.entity = b.entity) WHERE change_type IS NOT NULL""",
     ["cday", "cprev"],
 )
 def _(t):
     now, then = candidates(t, day_rows(t, names=sel.NAMES)), candidates(t, day_rows(t, BEFORE, sel.NAMES), BEFORE)
-    return rp.rank_changes(now, then, TOP_N)
+    return rp.rank_changes(now, then, current_source="candidates", compare_source="candidates_before")
 
 
 @query("n6_risk_evidence", "SELECT * FROM nevid", ["nevid"])

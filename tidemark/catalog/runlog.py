@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.catalog.registry import cte, query
+from tidemark.catalog.universe import names_sql
 from tidemark.operators import runlog as rl
 
 BEFORE = "1999-06-07"
@@ -84,7 +85,7 @@ def _finger_sql(table: str, source: str, dates: list[str], names: list[str]) ->
     cells = ["CAST(count(*) AS VARCHAR)"]
     for c in dates:
         cells += [f"coalesce(CAST(min({c}) AS VARCHAR), '')", f"coalesce(CAST(max({c}) AS VARCHAR), '')"]
-    cells += [f"coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT {c} AS s FROM {source} WHERE {c} IS NOT NULL)), '')" for c in names]
+    cells += [f"coalesce({names_sql(source, c)}, '')" for c in names]
     material = " || '|' || ".join([f"'{table}'", *cells])
     return f"SELECT '{table}' AS table_name, count(*) AS row_count, {material} AS material, sha256({material}) AS fingerprint FROM {source}"
 

@@ -59,6 +59,14 @@ def fingerprint_sql(source: str, groups: str) -> str:
     """
 
 
+def names_sql(source: str, column: str) -> str:
+    """Scalar: fingerprint of the distinct values of a column, NULL when there are none."""
+    words = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT) AS w{i}" for i in range(8))
+    text = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in ["n", *[f"w{i}" for i in range(8)]])
+    return f"""(SELECT CASE WHEN n > 0 THEN sha256({text}) END FROM (SELECT count(*) AS n, {words}
+        FROM (SELECT DISTINCT {column}, sha256(CAST({column} AS VARCHAR)) AS h FROM {source} WHERE {column} IS NOT NULL)))"""
+
+
 @query("f3_fingerprint_per_date", fingerprint_sql("snap", "source_run_id, trade_date"), ["snap"])
 def _(t):
     return un.set_fingerprint(snapshot(t), ["source_run_id", "trade_date"], "entity")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.universe import set_fingerprint
+
 from tidemark.params import HARD_FILTERS
 
 ISSUE_COLUMNS = ["dataset", "severity", "code", "message", "row_count"]
@@ -44,11 +46,10 @@ def duplicate_key_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], samples: int = 5) -> DataFrame:
-    """The first duplicated keys in key order, with their row counts."""
-    return (
-        df.groupBy(*keys).agg(F.expr("count(*) AS row_count")).filter("row_count > 1").orderBy(*keys).limit(samples)
-    )
+def duplicate_keys(df: DataFrame, keys: Sequence[str], samples: int | None = None) -> DataFrame:
+    """All duplicated keys with their row counts, or the first ``samples`` in key order."""
+    found = df.groupBy(*keys).agg(F.expr("count(*) AS row_count")).filter("row_count > 1")
+    return found if samples is None else found.orderBy(*keys).limit(samples)
 
 
 # Issue codes and messages of the price and valuation checks.
@@ -141,11 +142,36 @@ def _size(df: DataFrame):
     return df.agg(F.expr("count(*)")).scalar()
 
 
+def _names(df: DataFrame, column: str) -> list:
+    """Number and order-free fingerprint of all distinct names in a column, as scalar subqueries."""
+    name = f"{column}_values"
+    if column not in df.columns:
+        return [F.lit(0).cast("long").alias(f"{column}_count"), F.lit(None).cast("string").alias(name)]
+    names = df.filter(f"{column} IS NOT NULL").select(column)
+    return [
+        names.select(column).distinct().agg(F.expr("count(*)")).scalar().alias(f"{column}_count"),
+        set_fingerprint(names, [], column, name).select(name).scalar().alias(name),
+    ]
+
+
+def source_names(df: DataFrame, dataset: str) -> DataFrame:
+    """``dataset, column_name, value, row_count``: every source and source tag of a table."""
+    out = None
+    for column in ("source", "source_tag"):
+        if column in df.columns:
+            rows = df.filter(f"{column} IS NOT NULL").groupBy(F.col(column).alias("value")).agg(F.expr("count(*) AS row_count"))
+            rows = rows.selectExpr(f"'{dataset}' AS dataset", f"'{column}' AS column_name", "CAST(value AS STRING) AS value", "row_count")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def dataset_summary(
     df: DataFrame, dataset: str, keys: Sequence[str], date_column: str, symbols: DataFrame | None = None, days: DataFrame | None = None
 ) -> DataFrame:
-    """Rows, entities, date span, sources, duplicate rows and coverage of one table."""
-    source = "source" if "source" in df.columns else "CAST(NULL AS STRING)"
+    """Rows, entities, date span, sources, duplicate rows and coverage of one table.
+
+    Sources and tags are counted and fingerprinted; :func:`source_names` lists them all.
+    """
     # One row per key: duplicates and counts come from the same aggregation.
     per_key = df.groupBy(*keys).agg(
         F.expr("count(*) AS n"), F.expr(f"min({date_column}) AS lo"), F.expr(f"max({date_column}) AS hi")
@@ -158,12 +184,9 @@ def dataset_summary(
         F.expr("max(hi) AS end_date"),
         F.expr("coalesce(sum(n) FILTER (WHERE n > 1), 0) AS duplicate_key_rows"),
     )
-    # The report lists source names: take the first twenty distinct ones.
-    names = (
-        df.selectExpr(f"{source} AS s").filter("s IS NOT NULL").distinct().orderBy("s").limit(20)
-        .agg(F.expr("array_join(array_sort(collect_list(s)), ',')"))
-    )
-    out = base.select("*", names.scalar().alias("source_values"))
+    out = base
+    for column in ("source", "source_tag"):
+        out = out.select("*", *_names(df, column))
     if symbols is None or days is None:
         return out.selectExpr("*", "CAST(NULL AS DOUBLE) AS coverage_rate")
     sizes = out.select("*", _size(symbols).alias("_s"), _size(days).alias("_d"))

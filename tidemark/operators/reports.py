@@ -37,21 +37,31 @@ def gate_summary(gate: DataFrame) -> DataFrame:
     )
 
 
-def rank_changes(current: DataFrame, previous: DataFrame, top_n: int) -> DataFrame:
-    """Added, removed and moved entities between two ranked lists."""
+def rank_changes(
+    current: DataFrame, previous: DataFrame, limit: int | None = None, current_source: str = "current", compare_source: str = "previous"
+) -> DataFrame:
+    """Added, removed and moved entities between two ranked lists: all, or the first ``limit``."""
     a = current.selectExpr("entity", "rank AS current_rank")
     b = previous.selectExpr("entity", "rank AS compare_rank")
     kind = (
         "CASE WHEN compare_rank IS NULL THEN 'added' WHEN current_rank IS NULL THEN 'removed' "
         "WHEN current_rank <> compare_rank THEN 'rank_changed' END"
     )
-    return (
+    # The words of the messages.
+    message = (
+        "CASE WHEN change_type = 'added' THEN '新增进入显式对比口径。' WHEN change_type = 'removed' THEN '从显式对比口径移出。' "
+        "WHEN rank_delta IS NULL THEN '排名发生变化。' "
+        "ELSE concat('排名', CASE WHEN rank_delta > 0 THEN '上升' ELSE '下降' END, ' ', abs(rank_delta), ' 位。') END"
+    )
+    changes = (
         a.join(b, "entity", "full_outer")
         .selectExpr("*", f"{kind} AS change_type", "compare_rank - current_rank AS rank_delta")
         .filter("change_type IS NOT NULL")
-        .orderBy("change_type", F.asc_nulls_last("current_rank"), "entity")
-        .limit(3 * top_n)
+        .selectExpr("*", f"'{current_source}' AS current_source", f"'{compare_source}' AS compare_source", f"{message} AS message")
     )
+    if limit is None:
+        return changes
+    return changes.orderBy("change_type", F.asc_nulls_last("current_rank"), "entity").limit(limit)
 
 
 def _recent(facts: DataFrame, day: str, days: int) -> DataFrame:

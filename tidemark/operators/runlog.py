@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.universe import set_fingerprint
+
 from tidemark.functions.ranks import first_per_key
 
 FINISHED = "coalesce(finished_at, started_at)"
@@ -90,11 +92,8 @@ def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
         aggs += [f"CAST(min({c}) AS STRING) AS {c}_min", f"CAST(max({c}) AS STRING) AS {c}_max"]
     out = df.agg(*[F.expr(a) for a in aggs])
     for c in sources:
-        # Source names, not rows: the first twenty distinct ones.
-        names = (
-            df.filter(f"{c} IS NOT NULL").select(c).distinct().orderBy(c).limit(20)
-            .agg(F.expr(f"array_join(array_sort(collect_list({c})), ',')"))
-        )
+        # All distinct names, as an order-free fingerprint of their set.
+        names = set_fingerprint(df.filter(f"{c} IS NOT NULL"), [], c, "names").select("names")
         out = out.select("*", names.scalar().alias(f"{c}_values"))
     cells = [f"coalesce(CAST({c} AS STRING), '')" for c in out.columns]
     material = f"concat_ws('|', '{table}', {', '.join(cells)})"

@@ -67,6 +67,7 @@ def set_fingerprint(df: DataFrame, groups: list[str], member: str, out: str = "f
         .groupBy(*groups)
         .agg(F.expr("count(*) AS member_count"), *words)
     )
+    sums = sums.filter("member_count > 0")
     text = ", ".join(["member_count", *[f"w{i}" for i in range(8)]])
     return sums.selectExpr(*groups, "member_count", f"sha2(concat_ws('|', {text}), 256) AS {out}")
 
