@@ -150,6 +150,22 @@ _ITEMS = {
 }
 
 
+# JSON text of a fault and the error it gives.
+FAULTS = [
+    ('"note":"x"', "unexpected_field"),
+    ('"risks":"abc"', "risks.list"),
+    ('"risks":null', "risks.list"),
+    ('"risks":[1]', "risks.item"),
+    ('"key_evidence":[{"summary":5,"evidence_text":"e"}]', "key_evidence.item"),
+    ('"key_evidence":[{"summary":"s","evidence_text":"e","page":"x"}]', "key_evidence.item"),
+    ('"extracted_metrics":[{"metric_name":"m","value":[1],"evidence_text":"e"}]', "extracted_metrics.item"),
+    ('"extracted_metrics":[{"metric_name":"m","value":1,"evidence_text":"e","raw_value_text":3}]', "extracted_metrics.item"),
+    ('"записка":1', "unexpected_field"),
+    ('"my-score":1', "unexpected_field"),
+    ('"risks":[{"type":"t","summary":"s","evidence_text":"e","deep":{"SCORE":1}}]', "forbidden_field"),
+]
+
+
 def responses(t):
     lists = ", ".join(
         f"'{name}', filter(array({item}), x -> {rule})" for name, (rule, item) in _ITEMS.items()
@@ -161,7 +177,10 @@ def responses(t):
     )
     plain = f"to_json(named_struct({head}, {lists}))"
     nested = f"to_json(named_struct({head}, {lists}, 'meta', named_struct('list', array(named_struct('Score', 1)))))"
-    extra = f"to_json(named_struct({head}, {lists}, 'note', 'x'))"
+    # Faults that a typed parser hides: appended to the plain head as JSON text.
+    faults = " ".join(f"WHEN {i} THEN ',{json}}}'" for i, (json, _) in enumerate(FAULTS))
+    start = f"to_json(named_struct({head}))"
+    extra = f"concat(substring({start}, 1, length({start}) - 1), CASE doc_id div 8 % {len(FAULTS)} {faults} END)"
     docs = normalize_text(t.raw("documents").select("doc_id", "text"), "text", "b")
     return docs.selectExpr(
         "doc_id",
@@ -176,13 +195,14 @@ def validated(t):
     return ex.validate_responses(responses(t))
 
 
+_FAULT_ERRORS = " ".join(f"WHEN {i} THEN '{error}'" for i, (_, error) in enumerate(FAULTS))
 cte(
     "resp",
-    """SELECT doc_id, b AS body, 'run-' || CAST(doc_id % 4 AS VARCHAR) AS parse_run_id,
+    f"""SELECT doc_id, b AS body, 'run-' || CAST(doc_id % 4 AS VARCHAR) AS parse_run_id,
               CASE WHEN doc_id % 8 = 5 OR b = '' THEN 'missing_body' WHEN doc_id % 8 = 7 THEN 'llm_error' WHEN doc_id % 8 = 0 THEN 'success' ELSE 'schema_invalid' END AS status,
               CASE WHEN doc_id % 8 = 5 OR b = '' THEN 'body_missing' WHEN doc_id % 8 = 7 THEN 'no_response' WHEN doc_id % 8 = 1 THEN 'invalid_json'
                    WHEN doc_id % 8 = 2 THEN 'summary' WHEN doc_id % 8 = 3 THEN 'forbidden_field' WHEN doc_id % 8 = 4 THEN 'sentiment'
-                   WHEN doc_id % 8 = 6 THEN 'unexpected_field' END AS error
+                   WHEN doc_id % 8 = 6 THEN CASE (doc_id // 8) % {len(FAULTS)} {_FAULT_ERRORS} END END AS error
        FROM (SELECT doc_id, normalized AS b FROM normdoc)""",
     ["normdoc"],
 )

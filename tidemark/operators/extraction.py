@@ -60,7 +60,7 @@ ITEM_REQUIRED = {
     "key_evidence": ["summary", "evidence_text"],
     "catalysts": ["type", "summary", "evidence_text"],
     "risks": ["type", "summary", "evidence_text"],
-    "extracted_metrics": ["metric_name", "value", "evidence_text"],
+    "extracted_metrics": ["metric_name", "evidence_text"],
 }
 RESPONSE_SCHEMA = (
     "schema_version STRING, announcement_type STRING, sentiment STRING, summary STRING, "
@@ -171,17 +171,20 @@ def to_parse(classified: DataFrame, start: str, end: str, as_of: str | None, lim
 def validate_responses(df: DataFrame, response: str = "response", body: str = "body") -> DataFrame:
     """Status and first error of each response.
 
-    Keys are read from the inferred type of the parsed value, which lists
-    nested keys at any depth without leaving the JVM.
+    Types are read from the parsed VARIANT: lists must be lists of objects, texts strings, pages whole numbers from 1 (also
+    written as text), values text or numbers.  Keys at any depth come from the JSON text that the VARIANT writes.
     """
-    keys = "regexp_extract_all(coalesce(schema_of_variant({0}), ''), '([A-Za-z0-9_]+)`?: ', 1)"
+    kind = "coalesce(schema_of_variant(try_variant_get({0}, '$.{1}', 'variant')), 'MISSING')"
+    # String tokens of the canonical text; those that a colon follows are keys.
+    tokens = r"""regexp_extract_all(to_json(_v), '"(?:[^"\\\\]|\\\\.)*+":?', 0)"""
+    keys = f"transform(filter({tokens}, t -> endswith(t, ':')), t -> substring(t, 2, length(t) - 3))"
     parsed = df.selectExpr(
         "*", f"try_parse_json({response}) AS _v", f"from_json({response}, '{RESPONSE_SCHEMA}') AS _r",
     ).selectExpr(
         "*",
-        f"{keys.format('_v')} AS _all",
+        f"coalesce({keys}, array()) AS _all",
         f"json_object_keys({response}) AS _top",
-        *[f"{keys.format(f'''try_variant_get(_v, '$.{name}', 'variant')''')} AS _k_{name}" for name in ITEM_KEYS],
+        *[f"try_variant_get(_v, '$.{name}', 'array<variant>') AS _l_{name}" for name in ITEM_KEYS],
     )
     checks = [
         (f"exists(_all, k -> lower(k) IN ({_quoted(FORBIDDEN_KEYS)}))", "forbidden_field"),
@@ -189,14 +192,23 @@ def validate_responses(df: DataFrame, response: str = "response", body: str = "b
         (f"coalesce(_r.schema_version <> '{SCHEMA_VERSION}', true)", "schema_version"),
         (f"coalesce(_r.announcement_type NOT IN ({_quoted(TYPES)}), true)", "announcement_type"),
         (f"coalesce(_r.sentiment NOT IN ({_quoted(SENTIMENTS)}), true)", "sentiment"),
-        ("coalesce(length(_r.summary), 0) = 0", "summary"),
+        (f"{kind.format('_v', 'summary')} <> 'STRING' OR coalesce(length(_r.summary), 0) = 0", "summary"),
     ]
+    text = "try_variant_get(x, '$.{0}', 'string')"
+    page_kind, page = kind.format("x", "page"), text.format("page")
+    number = f"CASE WHEN {page_kind} = 'BOOLEAN' THEN CAST({page} = 'true' AS DOUBLE) ELSE try_cast(trim({page}) AS DOUBLE) END"
+    bad_page = f"{page_kind} NOT IN ('MISSING', 'VOID') AND coalesce({number} < 1 OR {number} <> floor({number}), true)"
     for name, allowed in ITEM_KEYS.items():
-        bad_text = " OR ".join(f"coalesce(length(x.{f}), 0) = 0" for f in ITEM_REQUIRED[name])
-        checks.append((f"size(array_except(_k_{name}, array({_quoted(allowed)}))) > 0", f"{name}.unexpected_field"))
-        checks.append(
-            (f"coalesce(exists(_r.{name}, x -> {bad_text} OR coalesce(x.page < 1, false)), false)", f"{name}.item")
-        )
+        bad = ["NOT startswith(schema_of_variant(x), 'OBJECT<')", bad_page]
+        for f in ITEM_REQUIRED[name]:
+            bad.append(f"{kind.format('x', f)} <> 'STRING' OR coalesce(length({text.format(f)}), 0) = 0")
+        if "value" in allowed:
+            bad.append(f"NOT {kind.format('x', 'value')} RLIKE '^(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$'")
+            bad.append(f"{kind.format('x', 'raw_value_text')} NOT IN ('STRING', 'VOID', 'MISSING')")
+        checks.append((f"array_contains(_top, '{name}') AND _l_{name} IS NULL", f"{name}.list"))
+        unexpected = f"size(array_except(coalesce(json_object_keys(to_json(x)), array()), array({_quoted(allowed)}))) > 0"
+        checks.append((f"coalesce(exists(_l_{name}, x -> {unexpected}), false)", f"{name}.unexpected_field"))
+        checks.append((f"coalesce(exists(_l_{name}, x -> {' OR '.join(f'({rule})' for rule in bad)}), false)", f"{name}.item"))
     error = "CASE WHEN _v IS NULL OR _top IS NULL THEN 'invalid_json' " + " ".join(
         f"WHEN {rule} THEN '{label}'" for rule, label in checks
     ) + " END"
@@ -246,19 +258,22 @@ def confidence(valid: DataFrame, located: DataFrame, key: str, body: str) -> Dat
         F.expr("count_if(locator_status IN ('exact', 'normalized')) AS located_count"),
     )
     total = " + ".join(f"size(coalesce(parsed.{n}, array()))" for n in ITEM_KEYS)
-    value = "coalesce(nullif(x.raw_value_text, ''), x.value)"
-    # Numbers have no white space or wide forms, so they are compared as they are.
-    matched = (
-        f"size(filter(coalesce(parsed.extracted_metrics, array()), x -> contains(x.evidence_text, {value}) OR contains({body}, {value})))"
+    metrics = valid.selectExpr(key, f"{body} AS _body", "explode(parsed.extracted_metrics) AS x").selectExpr(
+        key, "_body", "coalesce(nullif(x.raw_value_text, ''), x.value) AS _value", "x.evidence_text AS _evidence"
+    )
+    metrics = normalize_text(normalize_text(metrics, "_value", "_candidate"), "_evidence", "_near")
+    # A blank candidate matches nothing.
+    hits = metrics.groupBy(key).agg(
+        F.expr("count_if(_candidate <> '' AND (contains(_near, _candidate) OR contains(_body, _candidate))) AS matched")
     )
     filled = " + ".join(f"CAST(trim(coalesce(parsed.{f}, '')) <> '' AS INT)" for f in TOP_KEYS[:4])
-    joined = valid.join(found, key, "left").selectExpr(
+    joined = valid.join(found, key, "left").join(hits, key, "left").selectExpr(
         key,
         f"{total} AS total_items",
         "coalesce(items_with_evidence, 0) AS items_with_evidence",
         "coalesce(located_count, 0) AS located_count",
         "size(coalesce(parsed.extracted_metrics, array())) AS total_metrics",
-        f"{matched} AS matched_metrics",
+        "coalesce(matched, 0) AS matched_metrics",
         f"({filled}) / 4 AS required_score",
         f"parsed.announcement_type = rule_type AND rule_type IN ({_quoted(TYPES)}) AS type_consistent",
     )
