@@ -6,7 +6,6 @@ from tidemark.catalog.registry import cte, query
 from tidemark.functions.calendar import open_days
 from tidemark.operators import asof
 from tidemark.operators import events as ev
-from tidemark.session import materialize
 
 TYPES = ["1-URGENT", "2-HIGH"]
 RISK_TYPES = ["P"]
@@ -128,7 +127,8 @@ def benchmark(t):
 
 
 def excess(t):
-    return ev.with_excess(windows(t), benchmark(t))
+    """Windows with their excess returns, stored for all event summaries."""
+    return t.stored("event_excess", lambda: ev.with_excess(windows(t), benchmark(t)))
 
 
 @query("h1_announcement_and_risk_events", "SELECT * FROM ev UNION ALL SELECT * FROM rev", ["ev", "rev"])
@@ -212,7 +212,7 @@ def _(t):
 
 @query("h9_event_summary", "SELECT * FROM evsum", ["evsum"], doubles=_SUM_DOUBLES, longs="horizon")
 def _(t):
-    return ev.summarize(materialize(excess(t)))
+    return ev.summarize(excess(t))
 
 
 @query(
@@ -231,5 +231,5 @@ def _(t):
     longs="horizon",
 )
 def _(t):
-    summary = ev.summarize(materialize(excess(t)))
+    summary = ev.summarize(excess(t))
     return ev.small_samples(summary).select("event_source", "event_type", "horizon", "sample_count", "small_sample")

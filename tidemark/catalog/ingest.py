@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.catalog.factors import factor_rows
+from tidemark.catalog.validation import RUN_READS, RUN_SQL as ORACLES_OF_RUN, validation_frames
 from tidemark.catalog.registry import cte, query
 from tidemark.catalog.scalars import RAW_CODE
 from tidemark.functions import columns as col
@@ -163,7 +164,10 @@ def _(t):
 def _(t):
     rows = t.prices.select("entity", "trade_date", "close")
     fresh = rows.filter(f"{_SPARK_RANGE} AND entity % 2 = 0").selectExpr("entity", "trade_date", "close * 2 AS close")
-    return wr.replace_range(rows, fresh, _SPARK_RANGE)
+    path = new_path(t)
+    wr.replace_range_at(t.spark, path, rows, _SPARK_RANGE)  # a new table
+    wr.replace_range_at(t.spark, path, fresh, _SPARK_RANGE)
+    return t.spark.read.schema(rows.schema).parquet(path)
 
 
 _RUN = "'run_a' AS source_run_id"
@@ -190,18 +194,23 @@ def _(t):
 
 @query(
     "a10_appended_store",
-    "SELECT entity, trade_date, factor_name, factor_value, as_of_date, 'run_b' AS source_run_id FROM f_return_60d WHERE entity % 10 <> 3",
+    """SELECT entity, trade_date, factor_name, factor_value, as_of_date, 'run_b' AS source_run_id FROM f_return_60d
+         WHERE entity % 10 NOT IN (3, 5) AND factor_value IS NOT NULL
+       UNION ALL SELECT entity, trade_date, factor_name, factor_value, as_of_date, 'run_a' FROM f_return_60d
+         WHERE entity % 10 = 4 AND factor_value IS NOT NULL""",
     ["f_return_60d"],
     doubles="factor_value",
 )
 def _(t):
     store = _store(t)
     path = new_path(t)
+    wr.append_factor_rows(store.filter("entity % 10 = 4"), path)
     incoming = store.selectExpr(
-        "entity", "trade_date", "factor_name", "CASE WHEN entity % 10 = 3 THEN double('NaN') ELSE factor_value END AS factor_value",
+        "entity", "trade_date", "factor_name",
+        "CASE WHEN entity % 10 = 3 THEN double('NaN') WHEN entity % 10 = 5 THEN NULL ELSE factor_value END AS factor_value",
         "as_of_date", "'run_b' AS source_run_id",
     )
-    wr.append_factor_rows(store, incoming.filter("NOT isnan(factor_value)"), path)
+    wr.append_factor_rows(incoming, path)
     return t.spark.read.schema(incoming.schema).parquet(path)
 
 
@@ -215,7 +224,10 @@ def _(t):
 def _(t):
     store = _store(t)
     fresh = store.filter(f"{_SPARK_RANGE} AND entity % 2 = 0").withColumn("factor_value", F.expr("factor_value + 1"))
-    return wr.replace_factor_scope(store, fresh)
+    path = new_path(t)
+    wr.append_factor_rows(store, path)
+    wr.replace_factor_scope_at(fresh, path)
+    return t.spark.read.schema(store.schema).parquet(path)
 
 
 @query(
@@ -226,8 +238,11 @@ def _(t):
 )
 def _(t):
     prices = t.prices.filter(_SPARK_RANGE)
+    paths = {"daily_prices": new_path(t), "universe_members": new_path(t)}
+    wr.swap_in(prices, paths["daily_prices"])
+    wr.swap_in(t.members.filter("source_tag = 'main'"), paths["universe_members"])
     return wr.readback(
-        {"daily_prices": prices, "universe_members": t.members.filter("source_tag = 'main'")},
+        {name: t.spark.read.parquet(path) for name, path in paths.items()},
         {"daily_prices": prices, "universe_members": t.members},
     )
 
@@ -257,6 +272,23 @@ def _(t):
     return rd.check_columns(loaded, ["horizon", "valid_label_count"], what="label summary")
 
 
+@query(
+    "a14_reloaded_validation_outputs",
+    ORACLES_OF_RUN,
+    RUN_READS,
+)
+def _(t):
+    """All outputs of a validation run, written as CSV reports and read back."""
+    out = None
+    for name, df in validation_frames(t).items():
+        path = new_path(t, ".csv")
+        wr.write_report(df, df.columns, df.columns[:2], path, form="csv")
+        loaded = rd.read_csv(t.spark, path, ", ".join(f"{c} {k}" for c, k in df.dtypes))
+        part = loaded.agg(F.expr(f"'{name}' AS frame"), F.expr("count(*) AS n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "a15_assembled_valuation",
     f"""SELECT entity, trade_date, pe_ttm + 1 AS pe_ttm, pb, CASE WHEN entity % 4 <> 0 THEN total_mv END AS total_mv
@@ -409,7 +441,20 @@ _INTERVAL = "entity, index_code, source_tag, in_date, in_effective, out_date, ou
 def _(t):
     cols = _INTERVAL.split(", ")
     incoming = t.members.filter("entity % 2 = 0").withColumn("source_tag", F.lit("main")).select(*cols)
-    # Checked first: an import with findings does not reach the table.
-    faults = qa.interval_overlaps(incoming, ["source_tag", "index_code", "entity"])
-    checked = incoming.join(faults.select("entity"), "entity", "left_anti")
-    return pr.import_members(t.members.select(*cols), checked, overwrite=True)
+    return pr.import_members(t.members.select(*cols), incoming, overwrite=True)
+
+
+@query(
+    "a23_rejected_members",
+    """SELECT 'main' AS source_tag, index_code, entity, in_effective, 'open_ended_overlap' AS issue FROM members WHERE entity % 6 = 0
+       AND out_effective IS NULL AND source_tag = 'main'""",
+    ["members"],
+)
+def _(t):
+    """An import whose intervals overlap: every finding is a row, and importing the set fails."""
+    cols = _INTERVAL.split(", ")
+    rows = t.members.filter("source_tag = 'main' AND out_effective IS NULL").select(*cols)
+    late = rows.filter("entity % 6 = 0").withColumn("in_date", F.expr("date_add(in_date, 70)")).withColumn(
+        "in_effective", F.expr("date_add(in_effective, 70)")
+    )
+    return pr.import_findings(rows.unionByName(late)).select("source_tag", "index_code", "entity", F.expr("date_sub(in_effective, 70) AS in_effective"), "issue")

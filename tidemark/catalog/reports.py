@@ -26,7 +26,8 @@ NAMES = list(dict.fromkeys([*scc.NAMES, *sel.NAMES]))
 
 
 def day_rows(t, day=DAY, names=NAMES):
-    return factor_rows(t, names, open_days(t.calendar, day, day))
+    """Factor rows of a report date, stored for all reports."""
+    return t.stored(f"day_rows|{day}|{','.join(names)}", lambda: factor_rows(t, names, open_days(t.calendar, day, day)))
 
 
 def watch(t):
@@ -47,9 +48,10 @@ def scored(t, rows):
     """Scores of the report date with reason and tips, plus the frames behind them."""
     uni = asof.members_as_of(t.members, DAY, "X").selectExpr("entity", f"DATE'{DAY}' AS trade_date").distinct()
     kept = materialize(sc.passed(rows, uni))
-    normalized = materialize(sc.normalized_scores(sc.score_inputs(rows, kept, scc.SCORED)))
+    largest = kept.count()
+    normalized = materialize(sc.normalized_scores(sc.score_inputs(rows, kept, scc.SCORED), largest=largest))
     grouped = sc.group_scores(sc.wide_scores(normalized, kept))
-    ranked = sc.ranked(sc.totals(grouped)).selectExpr(
+    ranked = sc.ranked(sc.totals(grouped), largest=largest).selectExpr(
         "*", f"{sc.score_reason()} AS selection_reason", f"{sc.score_tips()} AS risk_tips"
     )
     return {
@@ -112,13 +114,13 @@ def risk(t):
     doubles="total_score risk_penalty",
 )
 def _(t):
-    rows = materialize(day_rows(t))
+    rows = day_rows(t)
     return rp.candidates_with_scores(candidates(t, rows), scored(t, rows)["scores"], TOP_N)
 
 
 @query("n2_top_scores", "SELECT * FROM sday WHERE rank <= 20", ["sday"], doubles=scc._TOTAL_DOUBLES)
 def _(t):
-    return rp.top_scores(scored(t, materialize(day_rows(t, names=scc.NAMES)))["scores"], 20)
+    return rp.top_scores(scored(t, day_rows(t, names=scc.NAMES))["scores"], 20)
 
 
 @query(
@@ -128,7 +130,7 @@ def _(t):
     doubles="raw_factor_value normalized_score factor_weight weighted_contribution",
 )
 def _(t):
-    frames = scored(t, materialize(day_rows(t, names=scc.NAMES)))
+    frames = scored(t, day_rows(t, names=scc.NAMES))
     return rp.contributions(frames["decorated"], rp.top_scores(frames["scores"], 20))
 
 
@@ -161,7 +163,7 @@ def _(t):
 
 @query("n6_risk_evidence", "SELECT * FROM nevid", ["nevid"])
 def _(t):
-    rows = materialize(day_rows(t))
+    rows = day_rows(t)
     frames = scored(t, rows)
     return rp.risk_evidence(frames["exclusions"], frames["scores"], ann(t), risk(t), candidates(t, rows), DAY)
 
@@ -188,7 +190,7 @@ def _(t):
     doubles="total_score",
 )
 def _(t):
-    rows = materialize(day_rows(t))
+    rows = day_rows(t)
     frames = scored(t, rows)
     cands = materialize(candidates(t, rows))
     evidence = rp.risk_evidence(frames["exclusions"], frames["scores"], ann(t), risk(t), cands, DAY)
@@ -237,7 +239,7 @@ def _(t):
     longs="horizon",
 )
 def _(t):
-    return ev.summarize(materialize(evc.excess(t))).select(
+    return ev.summarize(evc.excess(t)).select(
         "event_source", "event_type", "horizon", "sample_count", "mean_excess_return", "excess_win_rate"
     )
 
@@ -281,7 +283,7 @@ def _(t):
     longs="missing_factor_count",
 )
 def _(t):
-    frames = scored(t, materialize(day_rows(t, names=scc.NAMES)))
+    frames = scored(t, day_rows(t, names=scc.NAMES))
     return rp.score_details(sc.breakdown(frames["grouped"]), frames["decorated"], watch(t))
 
 
@@ -314,7 +316,7 @@ _FILTER_LIST = ", ".join(f"('{n}')" for n in HARD_FILTERS)
     ["watch", "nfac", "sday", "xday", "nann", "nrisk"],
 )
 def _(t):
-    rows = materialize(day_rows(t, names=scc.NAMES))
+    rows = day_rows(t, names=scc.NAMES)
     frames = scored(t, rows)
     return rp.entity_risk_flags(rows, frames["exclusions"], frames["scores"], ann(t), risk(t), watch(t), DAY)
 
@@ -333,11 +335,11 @@ def _(t):
     doubles="total_score",
 )
 def _(t):
-    rows = materialize(day_rows(t))
+    rows = day_rows(t)
     frames = scored(t, rows)
     targets = pfc.targets(t)
     return rp.presence_review(
-        watch(t), candidates(t, rows), rp.top_scores(frames["scores"], 20), targets, pf.holdings(targets, t.calendar), evc.events(t),
+        watch(t), candidates(t, rows), rp.top_scores(frames["scores"], 20), targets, pf.holdings(targets, t.calendar, pfc.executable(t)), evc.events(t),
         asof.securities_as_of(t.securities, DAY, include_delisted=True), asof.intervals_as_of(t.industries, DAY),
         asof.members_as_of(t.members, DAY, "X"),
     )

@@ -10,6 +10,7 @@ from tidemark.catalog import validation as vc
 from tidemark.catalog.factors import factor_rows
 from tidemark.catalog.registry import cte, query
 from tidemark.functions.calendar import month_ends
+from tidemark.functions.ranks import largest_group
 from tidemark.operators import factors as fx
 from tidemark.operators import scoring as sc
 from tidemark.operators import validation as va
@@ -26,7 +27,8 @@ STRICT["groups"]["valuation"]["required"] = True
 
 
 def store(t):
-    return materialize(factor_rows(t, NAMES, signals(t)))
+    """Factor rows of all month ends, stored for all scoring queries."""
+    return t.stored("score_store", lambda: factor_rows(t, NAMES, signals(t)))
 
 
 def signals(t):
@@ -38,12 +40,20 @@ def universe(t):
 
 
 def scores(t, scoring=SCORING):
-    """Composite frames; the normalised rows are written once because many branches read them."""
+    """Composite frames; what many branches read is stored once for all queries."""
     base = store(t)
-    kept = materialize(sc.passed(base, universe(t)))
-    normalized = materialize(sc.normalized_scores(sc.score_inputs(base, kept, SCORED), scoring))
+    kept = t.stored("score_passed", lambda: sc.passed(base, universe(t)))
+    largest = largest_group(kept, ["trade_date"])
+    variant = "strict" if scoring is STRICT else "default" if scoring is SCORING else repr(scoring)
+    normalized = t.stored(
+        f"score_normalized|{variant}",
+        lambda: sc.normalized_scores(sc.score_inputs(base, kept, SCORED), scoring, largest),
+    )
     grouped = sc.group_scores(sc.wide_scores(normalized, kept, scoring), scoring)
-    return {"store": base, "passed": kept, "normalized": normalized, "grouped": grouped, "totals": sc.totals(grouped, scoring)}
+    return {
+        "store": base, "passed": kept, "normalized": normalized, "grouped": grouped, "totals": sc.totals(grouped, scoring),
+        "largest": largest,
+    }
 
 
 cte(
@@ -212,7 +222,8 @@ def _(t):
 
 @query("j9_ranked_scores", "SELECT * FROM ranked", ["ranked"], doubles=_TOTAL_DOUBLES)
 def _(t):
-    return sc.ranked(scores(t)["totals"])
+    frames = scores(t)
+    return sc.ranked(frames["totals"], largest=frames["largest"])
 
 
 _GATE_REASONS = """[CASE WHEN v.coverage IS NULL THEN 'factor missing from coverage.csv' END,
@@ -360,6 +371,5 @@ cte(
     longs="year horizon stock_observation_count",
 )
 def _(t):
-    labels = va.forward_labels(t.prices, t.calendar, [5, 20])
-    merged_scores = materialize(scores(t)["totals"])
-    return sc.yearly_score_stability(merged_scores, labels, signals(t), [5, 20])
+    labels = vc.labels(t).filter("horizon IN (5, 20)")
+    return sc.yearly_score_stability(scores(t)["totals"], labels, signals(t), [5, 20])

@@ -136,6 +136,17 @@ def _(t):
     return se.latest_versions(versions, _KNOWN_ON)
 
 
+@query(
+    "i6_repeated_versions",
+    f"SELECT '{RUN}' AS source_run_id, entity, trade_date, factor_name, as_of_date, 2 AS row_count FROM f_{SORT} WHERE entity % 10 = 3",
+    [f"f_{SORT}"],
+    longs="row_count",
+)
+def _(t):
+    copies = "explode(CASE WHEN entity % 10 = 3 THEN array(1, 2) ELSE array(1) END) AS c"
+    return se.repeated_versions(factor_rows(t, [SORT]).selectExpr("*", f"'{RUN}' AS source_run_id", copies))
+
+
 @query(
     "i7_signal_dates_with_rows",
     "SELECT trade_date AS signal_date FROM monthends WHERE trade_date IN (SELECT trade_date FROM f_return_60d)",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from tidemark.catalog.factors import factor_rows
 from tidemark.catalog.registry import cte, query
 from tidemark.functions.calendar import month_ends, open_days
+from tidemark.session import shared_dir
 from tidemark.operators import asof
 from tidemark.operators import universe as un
 
@@ -32,7 +35,12 @@ def snapshot(t, run_id="run_a", dates=None):
 
 @query("f1_write_snapshot", "SELECT * FROM snap", ["snap"])
 def _(t):
-    return snapshot(t)
+    """Two runs written one after the other to one store, the second replaced; read back as stored."""
+    path, cols = f"{shared_dir(t.spark)}/snapshots-{uuid.uuid4().hex}", snapshot(t).columns
+    un.write_snapshot(snapshot(t), path)
+    un.write_snapshot(snapshot(t, "run_b"), path)
+    un.write_snapshot(snapshot(t, "run_b").limit(1), path)
+    return t.spark.read.schema(snapshot(t).schema).parquet(path).filter("source_run_id = 'run_a'").select(*cols)
 
 
 @query(

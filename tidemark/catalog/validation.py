@@ -10,7 +10,6 @@ from tidemark.functions.calendar import open_days, target_dates
 from tidemark.operators import factors as fx
 from tidemark.operators import validation as va
 from tidemark.params import FACTORS, VALIDATION, factor_names, select_factors
-from tidemark.session import materialize
 
 H = VALIDATION["horizons"]
 NAMES = ["return_20d", "volatility_20d", "pb_percentile"]
@@ -111,12 +110,12 @@ cte(
 
 
 def labels(t):
-    return va.forward_labels(t.prices, t.calendar, H)
+    return t.stored("labels", lambda: va.forward_labels(t.prices, t.calendar, H))
 
 
 def labelled(t, names=NAMES):
-    """The labelled factor rows, written once for the branches that rank them."""
-    return materialize(va.with_labels(factor_rows(t, names), labels(t)))
+    """The labelled factor rows, stored for all queries that rank them."""
+    return t.stored(f"labelled|{','.join(names)}", lambda: va.with_labels(factor_rows(t, names), labels(t)))
 
 
 def ic(t, names=NAMES):
@@ -274,21 +273,24 @@ def _(t):
     return va.label_summary(labels(t), [*H, 400])
 
 
-@query(
-    "g12_validation_run",
-    """SELECT 'label_summary' AS frame, count(DISTINCT horizon) AS n FROM labels_fwd
+RUN_SQL = """SELECT 'label_summary' AS frame, count(DISTINCT horizon) AS n FROM labels_fwd
        UNION ALL SELECT 'coverage', count(*) FROM cover UNION ALL SELECT 'rank_ic', count(*) FROM ic
        UNION ALL SELECT 'ic_summary', count(*) FROM icsum UNION ALL SELECT 'group_returns', count(*) FROM grp
        UNION ALL SELECT 'decay_curve', count(*) FROM decay
-       UNION ALL SELECT 'yearly_ic_summary', count(*) FROM (SELECT DISTINCT factor_name, year(trade_date), horizon FROM ic)""",
-    ["labels_fwd", "cover", "ic", "icsum", "grp", "decay"],
-)
-def _(t):
+       UNION ALL SELECT 'yearly_ic_summary', count(*) FROM (SELECT DISTINCT factor_name, year(trade_date), horizon FROM ic)"""
+RUN_READS = ["labels_fwd", "cover", "ic", "icsum", "grp", "decay"]
+
+
+def validation_frames(t):
     universe = fx.calculation_universe(t.members, t.securities, open_days(t.calendar), "X", include_delisted=True)
-    rows = materialize(factor_rows(t, [*NAMES, "is_st"]))
-    frames = va.validate(rows, t.prices, t.calendar, universe, NAMES, H, 4, 3)
+    rows = t.stored("validation_rows", lambda: factor_rows(t, [*NAMES, "is_st"]))
+    return va.validate(rows, t.prices, t.calendar, universe, NAMES, H, 4, 3)
+
+
+@query("g12_validation_run", RUN_SQL, RUN_READS)
+def _(t):
     out = None
-    for name, df in frames.items():
+    for name, df in validation_frames(t).items():
         part = df.agg(F.expr(f"'{name}' AS frame"), F.expr("count(*) AS n"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -24,6 +24,15 @@ def _list(names: Sequence[str]) -> str:
     return ", ".join(names)
 
 
+def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
+    """Rows of the largest group, by one small job over a written table.
+
+    Callers hand the result to the functions below: groups known to fit into one slice are ordered by
+    plain windows, which need one shuffle and no joins.  Results are the same either way.
+    """
+    return df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+
+
 def ordered_positions(
     df: DataFrame,
     groups: Sequence[str],
@@ -32,6 +41,7 @@ def ordered_positions(
     before: str = "_before",
     total: str = "_total",
     slice_rows: int = SLICE_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the weight strictly before each row and the weight of its group.
 
@@ -41,15 +51,25 @@ def ordered_positions(
     """
     g, k = _list(groups), _list(keys)
     w = weight or "1L"
+    if largest is not None and largest <= slice_rows:
+        up_to = f"OVER (PARTITION BY {g} ORDER BY {k} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        return df.selectExpr(
+            "*", f"coalesce(sum({w}) {up_to}, 0L) AS {before}", f"sum({w}) OVER (PARTITION BY {g}) AS {total}"
+        )
     borders = (
         df.filter(f"pmod(xxhash64({g}, {k}), {slice_rows}) = 0")
         .groupBy(*groups)
         .agg(F.expr(f"array_sort(collect_list(struct({k}, {w} AS _w))) AS _borders"))
     )
-    border = f"struct({_list([f'b.{name}' for name in keys])})"
+    border = f"struct({_list([f'get(_borders, low + step - 1).{name}' for name in keys])})"
+    # Binary search: 20 steps reach a million borders, which is SLICE_ROWS million rows in one group.
+    steps = f"array({_list([str(1 << i) for i in reversed(range(20))])})"
+    search = (
+        f"aggregate({steps}, 0, (low, step) -> CASE WHEN low + step <= size(_borders) AND {border} < struct({k})"
+        " THEN low + step ELSE low END)"
+    )
     sliced = df.join(borders, list(groups), "left").selectExpr(
-        *df.columns,
-        f"CASE WHEN _borders IS NULL THEN 0 ELSE size(filter(_borders, b -> {border} < struct({k}))) END AS _slice",
+        *df.columns, f"CASE WHEN _borders IS NULL THEN 0 ELSE {search} END AS _slice"
     )
     slices = (
         sliced.groupBy(*groups, "_slice")
@@ -74,7 +94,7 @@ def ordered_positions(
 
 
 def value_positions(
-    df: DataFrame, groups: Sequence[str], value: str, slice_rows: int = SLICE_ROWS
+    df: DataFrame, groups: Sequence[str], value: str, slice_rows: int = SLICE_ROWS, largest: int | None = None
 ) -> DataFrame:
     """Distinct non-null values per group with count, rows before and group size.
 
@@ -82,7 +102,7 @@ def value_positions(
     all rows becomes one row before anything is sorted.
     """
     counts = df.filter(f"{value} IS NOT NULL").groupBy(*groups, value).agg(F.expr("count(*) AS _count"))
-    return ordered_positions(counts, groups, [value], "_count", slice_rows=slice_rows)
+    return ordered_positions(counts, groups, [value], "_count", slice_rows=slice_rows, largest=largest)
 
 
 # Average rank (1-based) of a tied value, over the columns of value_positions.
@@ -96,8 +116,17 @@ def with_average_rank(
     rank: str,
     size: str | None = None,
     slice_rows: int = SLICE_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add the average rank of ``value`` in its group, and the group's size."""
+    """Add the average rank of ``value`` in its group, and the group's size (of rows with a value)."""
+    if largest is not None and largest <= slice_rows:
+        g = _list(groups)
+        average = (
+            f"CASE WHEN {value} IS NOT NULL THEN rank() OVER (PARTITION BY {g} ORDER BY {value} NULLS LAST)"
+            f" + (count(*) OVER (PARTITION BY {g}, {value}) - 1) / 2 END AS {rank}"
+        )
+        sized = [f"CASE WHEN {value} IS NOT NULL THEN count({value}) OVER (PARTITION BY {g}) END AS {size}"] if size else []
+        return df.selectExpr("*", average, *sized)
     ranks = value_positions(df, groups, value, slice_rows).selectExpr(
         *groups, value, f"{AVERAGE_RANK} AS {rank}", *([f"_total AS {size}"] if size else [])
     )
@@ -118,10 +147,10 @@ def correlation(x: str, y: str) -> str:
 
 def row_numbers(
     df: DataFrame, groups: Sequence[str], keys: Sequence[str], out: str = "rank", size: str = "group_size",
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int = SLICE_ROWS, largest: int | None = None,
 ) -> DataFrame:
     """Exact row number per group over unique ascending keys, plus group size."""
-    placed = ordered_positions(df, groups, keys, total=size, slice_rows=slice_rows)
+    placed = ordered_positions(df, groups, keys, total=size, slice_rows=slice_rows, largest=largest)
     return placed.selectExpr(*df.columns, f"_before + 1 AS {out}", size)
 
 

@@ -147,8 +147,10 @@ def upsert_status(existing: DataFrame, incoming: DataFrame, overwrite: bool) ->
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
-    """The table after the upsert; conflicts keep the stored row."""
-    status = upsert_status(existing, incoming, overwrite)
+    """The table after the upsert.  A conflict fails it; see :func:`upsert_status` for all of them."""
+    status = upsert_status(existing, incoming, overwrite).withColumn(
+        "status", F.expr("CASE WHEN status = 'conflict' THEN CAST(raise_error('announcement exists with another text') AS STRING) ELSE status END")
+    )
     new = status.filter("status IN ('inserted', 'overwritten')").drop("status")
     gone = new.selectExpr("source_tag AS _tag", "announcement_id AS _id")
     kept = existing.join(gone, F.expr("source_tag <=> _tag AND announcement_id = _id"), "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import first_per_key, with_average_rank
+from tidemark.functions.ranks import first_per_key, largest_group, with_average_rank
 from tidemark.operators.asof import DELISTED_FROM, intervals_on_dates, latest_revisions, on_dates
 from tidemark.params import FACTOR_ORDER, FACTOR_PARAMS
 from tidemark.session import materialize
@@ -147,7 +147,9 @@ def industry_percentile(
         .join(industry_on_dates(industries, dates), ["entity", "trade_date"])
         .select("entity", "trade_date", "industry_l1", "pe_ttm")
     )
-    ranked = with_average_rank(base, ["trade_date", "industry_l1"], "pe_ttm", "_rank", "_size")
+    ranked = with_average_rank(
+        base, ["trade_date", "industry_l1"], "pe_ttm", "_rank", "_size", largest=largest_group(base, ["trade_date", "industry_l1"])
+    )
     return ranked.filter(f"_size >= {max(2, params['industry_min_observations'])}").selectExpr(
         "entity", "trade_date", "(_rank - 1) / (_size - 1) AS industry_pe_ttm_percentile"
     )

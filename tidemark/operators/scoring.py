@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import correlation, row_numbers, value_positions, with_average_rank
+from tidemark.functions.ranks import correlation, largest_group, row_numbers, value_positions, with_average_rank
 from tidemark.params import FACTORS, HARD_FILTERS, SCORING, VALIDATION_GATE, config_rows
 from tidemark.session import materialize
 
@@ -55,8 +55,8 @@ def passed(store: DataFrame, universe: DataFrame) -> DataFrame:
     return universe.join(ok, KEY, "left_semi")
 
 
-def normalized_scores(rows: DataFrame, scoring: dict = SCORING) -> DataFrame:
-    """0-100 percentile scores per (date, factor) after orientation."""
+def normalized_scores(rows: DataFrame, scoring: dict = SCORING, largest: int | None = None) -> DataFrame:
+    """0-100 percentile scores per (date, factor) after orientation; ``largest`` bounds the entities of a date."""
     flipped = [
         n for n, spec in FACTORS.items() if spec[1] == "lower_is_better" and n not in scoring["risk"]["factors"]
     ]
@@ -70,7 +70,7 @@ def normalized_scores(rows: DataFrame, scoring: dict = SCORING) -> DataFrame:
         f"WHEN _count = _total THEN {scoring['all_equal_score']}D "
         "ELSE 100 * (_before + (_count + 1) / 2 - 1) / (_total - 1) END"
     )
-    scores = value_positions(oriented, group, "oriented").selectExpr(
+    scores = value_positions(oriented, group, "oriented", largest=largest).selectExpr(
         *group, "oriented", f"{clamp(score, 0, 100)} AS normalized_score"
     )
     return oriented.join(scores, [*group, "oriented"]).select(
@@ -177,10 +177,12 @@ def score_exclusions(grouped: DataFrame, scoring: dict = SCORING) -> DataFrame:
     return grouped.selectExpr(*KEY, f"{reason} AS reason").filter("reason IS NOT NULL")
 
 
-def ranked(scores: DataFrame, groups: Sequence[str] = ("trade_date",)) -> DataFrame:
-    """Rank by total descending, then entity, exactly and without one task per date."""
+def ranked(
+    scores: DataFrame, groups: Sequence[str] = ("trade_date",), largest: int | None = None
+) -> DataFrame:
+    """Rank by total descending, then entity, exactly and without one task per large date."""
     keyed = scores.selectExpr("*", "-total_score AS _key")
-    return row_numbers(keyed, list(groups), ["_key", "entity"], "rank", "_n").drop("_key", "_n")
+    return row_numbers(keyed, list(groups), ["_key", "entity"], "rank", "_n", largest=largest).drop("_key", "_n")
 
 
 def composite(store: DataFrame, universe: DataFrame, eligible: Sequence[str] | None = None, scoring: dict = SCORING) -> dict:
@@ -422,8 +424,9 @@ def weight_sensitivity(totals_by_scenario: DataFrame, top_n: int, scoring: dict
         *keys, "entity", "rank AS scen_rank", "total_score AS scen_score", "base_rank", "base_score"
     ))
     # Ranks inside the joined set: unique keys, so a row number is the average rank.
-    joined = row_numbers(joined, keys, ["scen_rank"], "_x", "_n").drop("_n")
-    joined = row_numbers(joined, keys, ["base_rank"], "_y", "_n").drop("_n")
+    largest = largest_group(joined, keys)
+    joined = row_numbers(joined, keys, ["scen_rank"], "_x", "_n", largest=largest).drop("_n")
+    joined = row_numbers(joined, keys, ["base_rank"], "_y", "_n", largest=largest).drop("_n")
     stats = joined.groupBy(*keys).agg(
         F.expr(correlation("_x", "_y") + " AS spearman_rank_corr"),
         F.expr(f"count_if(scen_rank <= {top_n} AND base_rank <= {top_n}) AS top_n_overlap_count"),
@@ -458,13 +461,14 @@ def yearly_score_stability(
 ) -> DataFrame:
     """Yearly rank IC and tail spread of the total score."""
     cross = ["trade_date", "horizon"]
-    merged = scores.select(*KEY, "total_score").join(labels, KEY)
-    x = with_average_rank(merged, cross, "total_score", "_x")
-    x = with_average_rank(x, cross, "forward_return", "_y")
+    merged = materialize(scores.select(*KEY, "total_score").join(labels, KEY))
+    largest = largest_group(merged, cross)
+    x = with_average_rank(merged, cross, "total_score", "_x", largest=largest)
+    x = with_average_rank(x, cross, "forward_return", "_y", largest=largest)
     ics = x.groupBy(*cross).agg(
         F.expr("count(*) AS n"), F.expr(f"CASE WHEN count(*) >= 2 THEN {correlation('_x', '_y')} END AS ic")
     )
-    placed = row_numbers(merged, cross, ["total_score", "entity"], "_rn", "_n")
+    placed = row_numbers(merged, cross, ["total_score", "entity"], "_rn", "_n", largest=largest)
     tail = "greatest(1, _n div 5)"
     spreads = placed.filter("_n >= 2").groupBy(*cross).agg(
         F.expr(f"avg(CASE WHEN _rn > _n - {tail} THEN forward_return END) - avg(CASE WHEN _rn <= {tail} THEN forward_return END) AS spread")

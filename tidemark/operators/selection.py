@@ -97,10 +97,22 @@ def candidate_frame(enriched: DataFrame, sort_factor: str, display: Sequence[str
 
 
 def latest_versions(store: DataFrame, known_on: str) -> DataFrame:
-    """Per key the newest version known on a date (``as_of_date <= known_on``)."""
+    """Per key the newest version known on a date (``as_of_date <= known_on``).
+
+    Two rows of the newest version fail the query; see :func:`repeated_versions` for all of them.
+    """
     key = ["source_run_id", "entity", "trade_date", "factor_name"]
     known = store.filter(f"as_of_date <= DATE'{known_on}'")
-    return first_per_key(known, key, ["as_of_date DESC"])
+    counted = known.groupBy(*key, "as_of_date").agg(F.expr("count(*) AS _n"), F.expr("min(factor_value) AS factor_value"))
+    newest = first_per_key(counted, key, ["as_of_date DESC"])
+    rule = "CASE WHEN _n > 1 THEN CAST(raise_error('several rows of one factor version') AS DOUBLE) ELSE factor_value END"
+    return newest.withColumn("factor_value", F.expr(rule)).select(*store.columns)
+
+
+def repeated_versions(store: DataFrame) -> DataFrame:
+    """Keys and versions with more than one row, with their counts."""
+    keys = ["source_run_id", "entity", "trade_date", "factor_name", "as_of_date"]
+    return store.groupBy(*keys).agg(F.expr("count(*) AS row_count")).filter("row_count > 1")
 
 
 def dates_with_rows(signals: DataFrame, store: DataFrame) -> DataFrame:

@@ -38,6 +38,12 @@ def snapshot_rows(
     )
 
 
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """Store the rows of a run; a run that is stored already is replaced, others stay."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("source_run_id").parquet(path)
+
+
 def load_snapshot(store: DataFrame, run_id: str, day: str | None = None, index_code: str | None = None) -> DataFrame:
     out = store.filter(F.col("source_run_id") == run_id)
     if day is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import day_key, dense_days, open_days
-from tidemark.functions.ranks import correlation, row_numbers, with_average_rank
+from tidemark.functions.ranks import correlation, largest_group, row_numbers, with_average_rank
 from tidemark.operators.factors import ADJUSTED_CLOSE
 from tidemark.params import FACTORS
 
@@ -108,9 +108,10 @@ def coverage(factor_values: DataFrame, universe: DataFrame, dates: DataFrame, na
 
 
 def rank_ic(labelled: DataFrame, min_observations: int) -> DataFrame:
-    """Daily Spearman correlation of factor and forward return per cross-section."""
-    ranked = with_average_rank(labelled, CROSS_SECTION, "factor_value", "_x")
-    ranked = with_average_rank(ranked, CROSS_SECTION, "forward_return", "_y")
+    """Daily Spearman correlation of factor and forward return per cross-section; ``labelled`` is a written table."""
+    largest = largest_group(labelled, CROSS_SECTION)
+    ranked = with_average_rank(labelled, CROSS_SECTION, "factor_value", "_x", largest=largest)
+    ranked = with_average_rank(ranked, CROSS_SECTION, "forward_return", "_y", largest=largest)
     return (
         ranked.groupBy(*CROSS_SECTION)
         .agg(
@@ -150,7 +151,8 @@ def group_returns(labelled: DataFrame, n_groups: int, min_group_size: int) -> Da
     oriented = labelled.selectExpr("*", f"factor_value * {direction_sign()} AS oriented").filter(
         "oriented IS NOT NULL"
     )
-    placed = row_numbers(oriented, CROSS_SECTION, ["oriented", "entity"], "rn", "n")
+    largest = largest_group(labelled, CROSS_SECTION)
+    placed = row_numbers(oriented, CROSS_SECTION, ["oriented", "entity"], "rn", "n", largest=largest)
     return (
         placed.filter(f"n >= {n_groups * min_group_size}")
         .selectExpr(*CROSS_SECTION, "forward_return", f"((rn - 1) * {n_groups}) div n AS bucket")

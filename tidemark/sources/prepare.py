@@ -133,11 +133,21 @@ def resolve_source(tables: Sequence[DataFrame]) -> DataFrame:
     return found.selectExpr(f"CAST({rule} AS STRING) AS source")
 
 
+def import_findings(incoming: DataFrame) -> DataFrame:
+    """Overlapping intervals of an import, one row per finding."""
+    from tidemark.operators.quality import interval_overlaps
+
+    return interval_overlaps(incoming, ["source_tag", "index_code", "entity"])
+
+
 def import_members(existing: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
     """Members after an import that owns whole (source_tag, index) sets.
 
-    Without ``overwrite`` a set that already exists fails the query.
+    Overlapping intervals stop the import (see :func:`import_findings`), and so does, without ``overwrite``, a set that already exists.
     """
+    found = import_findings(incoming).limit(3).collect()
+    if found:
+        raise ValueError(f"overlapping member intervals, among them {[(r.entity, r.issue) for r in found]}")
     sets = incoming.select("source_tag", "index_code").distinct()
     if overwrite:
         return existing.join(sets, ["source_tag", "index_code"], "left_anti").select(*incoming.columns).unionByName(incoming)

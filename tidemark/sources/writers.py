@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 FACTOR_KEY = ["source_run_id", "entity", "trade_date", "as_of_date", "factor_name"]
 FACTOR_SCOPE = ["source_run_id", "as_of_date", "trade_date", "factor_name"]
 
@@ -45,11 +48,41 @@ def append_conflicts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return repeated.unionByName(stored)
 
 
-def append_factor_rows(store: DataFrame, incoming: DataFrame, path: str) -> None:
-    """Append clean rows, partitioned by run; conflicts stop the write."""
-    if append_conflicts(store, incoming).limit(1).count():
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def swap_in(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Make ``df`` the table at ``path``: written beside it first, so ``df`` may read the old table, then renamed."""
+    spark = df.sparkSession
+    aside = f"{path}.{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(aside)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"cannot rename {aside} to {path}")
+
+
+def replace_range_at(spark: SparkSession, path: str, incoming: DataFrame, scope: str) -> None:
+    """Replace the rows in ``scope`` of the table at ``path``; a missing table is created."""
+    if _exists(spark, path):
+        incoming = replace_range(spark.read.schema(incoming.schema).parquet(path), incoming, scope)
+    swap_in(incoming, path)
+
+
+def append_factor_rows(incoming: DataFrame, path: str) -> None:
+    """Append clean rows to the store at ``path``, partitioned by run; conflicts stop the write.
+
+    NaN, infinite and null values are not stored.  The input is evaluated once.
+    """
+    spark = incoming.sparkSession
+    clean = materialize(clean_factor_rows(incoming))
+    store = spark.read.schema(clean.schema).parquet(path) if _exists(spark, path) else clean.limit(0)
+    if append_conflicts(store, clean).limit(1).count():
         raise ValueError("duplicate factor keys in input or store")
-    clean_factor_rows(incoming).write.mode("append").partitionBy("source_run_id").parquet(path)
+    clean.write.mode("append").partitionBy("source_run_id").parquet(path)
 
 
 def replace_factor_scope(store: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -59,6 +92,17 @@ def replace_factor_scope(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return store.join(covered, FACTOR_SCOPE, "left_anti").select(*clean.columns).unionByName(clean)
 
 
+def replace_factor_scope_at(incoming: DataFrame, path: str) -> None:
+    """Replace the covered scopes in the store at ``path``; only the runs of ``incoming`` are rewritten."""
+    spark = incoming.sparkSession
+    clean = materialize(clean_factor_rows(incoming))
+    runs = clean.select("source_run_id").distinct()
+    store = spark.read.schema(clean.schema).parquet(path).join(runs, "source_run_id", "left_semi")
+    after = materialize(replace_factor_scope(store, clean))
+    writer = after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("source_run_id").parquet(path)
+
+
 def readback(stored: dict[str, DataFrame], expected: dict[str, DataFrame]) -> DataFrame:
     """Expected against stored row counts per dataset."""
     out = None
