@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL on DuckDB (development aid).
 
-Usage: python -m tidemark.catalog.check SF_DIR [name-prefix ...]
+Usage: python -m tests.compare SF_DIR [name-prefix ...]
 """
 
 from __future__ import annotations

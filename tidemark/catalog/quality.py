@@ -54,6 +54,19 @@ def _(t):
     return qa.required_values(dirty(t), "daily_prices", REQUIRED)
 
 
+@query(
+    "c1_missing_columns",
+    " UNION ALL ".join(
+        f"SELECT 'daily_prices' AS dataset, 'error' AS severity, 'missing_required_column' AS code, "
+        f"'daily_prices is missing column {c}.' AS message, count(*) AS row_count FROM panel HAVING count(*) > 0"
+        for c in ("volume", "source")
+    ),
+    ["panel"],
+)
+def _(t):
+    return qa.missing_columns(t.prices.drop("volume"), "daily_prices", ["entity", "trade_date", "close", "volume", "source"])
+
+
 @query(
     "c2_duplicate_key_rows",
     """SELECT coalesce(sum(n), 0) AS duplicate_key_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""",

@@ -100,6 +100,19 @@ def _(t):
     return t.announcements.select("announcement_id", "publish_time", "effective_date")
 
 
+@query(
+    "b6_unplaced_facts",
+    """SELECT 'orders' AS dataset, 'no_open_day_after_publication' AS issue, count(*) AS row_count, min(d) AS first_publish, max(d) AS last_publish
+       FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) WHERE d >= (SELECT max(trade_date) FROM cal WHERE trade_date < DATE '1998-01-01')""",
+    ["cal"],
+)
+def _(t):
+    """Facts published on or after the last open day of a calendar that ends in 1997."""
+    known = t.calendar.filter("trade_date < DATE'1998-01-01'")
+    rows = cal.next_open(t.raw("orders").selectExpr("to_date(o_orderdate) AS publish_time"), "publish_time", known, "effective_date")
+    return cal.unplaced(rows, "orders")
+
+
 cte(
     "gapnext",
     """SELECT day, (SELECT min(trade_date) FROM calgap WHERE is_open AND trade_date > day) AS next_open

@@ -135,6 +135,29 @@ def _(t):
     return target_dates(t.calendar_gaps, H, t.calendar_gaps)
 
 
+# A calendar from 1926 to 2106: the weeks of the table, and the same weeks moved by 25,000 and 40,000 days.
+cte(
+    "calwide",
+    """SELECT trade_date, TRUE AS is_open FROM cal UNION SELECT trade_date - 25000, TRUE FROM cal
+       UNION SELECT trade_date + 40000, TRUE FROM cal""",
+    ["cal"],
+)
+
+
+@query(
+    "g1_target_dates_wide_calendar",
+    f"""SELECT s.trade_date, h.horizon, b.trade_date AS target_date
+        FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM calwide) s
+        CROSS JOIN (VALUES {', '.join(f'({h})' for h in H)}) h(horizon)
+        JOIN (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM calwide) b ON b.k = s.k + h.horizon""",
+    ["calwide"],
+    longs="horizon",
+)
+def _(t):
+    wide = t.calendar.selectExpr("explode(array(trade_date, date_sub(trade_date, 25000), date_add(trade_date, 40000))) AS trade_date", "is_open")
+    return target_dates(wide, H, wide)
+
+
 @query("g2_forward_labels", "SELECT * FROM labels_fwd", ["labels_fwd"], doubles="forward_return", longs="horizon")
 def _(t):
     return labels(t)

@@ -77,6 +77,18 @@ def next_open(facts: DataFrame, day: str, calendar: DataFrame, out: str) -> Data
     return key.join(lookup, F.expr("_key = _day"), "left").drop("_key", "_day")
 
 
+def unplaced(facts: DataFrame, dataset: str, publish: str = "publish_time", effective: str = "effective_date") -> DataFrame:
+    """One issue row if published facts have no effective date because no open day follows: they are not visible on any date."""
+    return (
+        facts.filter(f"{publish} IS NOT NULL AND {effective} IS NULL")
+        .agg(
+            F.expr(f"'{dataset}' AS dataset"), F.expr("'no_open_day_after_publication' AS issue"), F.expr("count(*) AS row_count"),
+            F.expr(f"min({publish}) AS first_publish"), F.expr(f"max({publish}) AS last_publish"),
+        )
+        .filter("row_count > 0")
+    )
+
+
 def fill_effective(
     facts: DataFrame, effective: str, publish: str, fallback: str | None, calendar: DataFrame
 ) -> DataFrame:

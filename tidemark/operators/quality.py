@@ -20,13 +20,19 @@ def missing(column: str) -> str:
 
 def counted_issues(df: DataFrame, dataset: str, rules: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Issue rows for ``(severity, code, message, condition)`` rules, in one pass over the data."""
+    if not rules:
+        return df.sparkSession.createDataFrame([], "dataset STRING, severity STRING, code STRING, message STRING, row_count BIGINT")
     counts = df.agg(*[F.expr(f"count_if({rule}) AS c{i}") for i, (_, _, _, rule) in enumerate(rules)])
     rows = ", ".join(f"'{dataset}', '{s}', '{c}', '{m}', c{i}" for i, (s, c, m, _) in enumerate(rules))
     return counts.selectExpr(f"stack({len(rules)}, {rows}) AS ({', '.join(ISSUE_COLUMNS)})").filter("row_count > 0")
 
 
-def missing_columns(df: DataFrame, dataset: str, required: Sequence[str]) -> list[str]:
-    return [c for c in required if c not in df.columns]
+def missing_columns(df: DataFrame, dataset: str, required: Sequence[str]) -> DataFrame:
+    """An issue row for every required column that the table lacks, with the table's row count."""
+    absent = [c for c in required if c not in df.columns]
+    return counted_issues(
+        df, dataset, [("error", "missing_required_column", f"{dataset} is missing column {c}.", "true") for c in absent]
+    )
 
 
 def required_values(df: DataFrame, dataset: str, required: Sequence[str]) -> DataFrame:
