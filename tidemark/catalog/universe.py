@@ -7,6 +7,7 @@ import uuid
 from tidemark.catalog.factors import factor_rows
 from tidemark.catalog.registry import cte, query
 from tidemark.functions.calendar import month_ends, open_days
+from tidemark.operators import validation as va
 from tidemark.session import shared_dir
 from tidemark.operators import asof
 from tidemark.operators import universe as un
@@ -112,8 +113,7 @@ cte(
 )
 
 
-@query("f5_resolve_universe", "SELECT * FROM resolved", ["resolved"])
-def _(t):
+def resolved(t):
     rows = factor_rows(t, ["return_20d", "low_liquidity"], signals(t))
     flags = rows.filter("factor_name = 'low_liquidity' AND trade_date < DATE'1999-01-01'")
     return un.first_available(
@@ -125,6 +125,44 @@ def _(t):
     )
 
 
+@query("f5_resolve_universe", "SELECT * FROM resolved", ["resolved"])
+def _(t):
+    return resolved(t)
+
+
+cte(
+    "coversrc",
+    """SELECT d.trade_date, 'return_20d' AS factor_name, coalesce(u.n, 0) AS universe_count, coalesce(v.n, 0) AS valid_factor_count,
+              coalesce(u.src, 'missing') AS universe_source, greatest(coalesce(u.n, 0) - coalesce(v.n, 0), 0) AS missing_count,
+              coalesce(v.n, 0) / nullif(u.n, 0) AS coverage, 1 - coalesce(v.n, 0) / nullif(u.n, 0) AS missing_rate
+       FROM monthends d
+       LEFT JOIN (SELECT trade_date, count(DISTINCT entity) AS n, min(universe_source) AS src FROM resolved GROUP BY 1) u ON u.trade_date = d.trade_date
+       LEFT JOIN (SELECT trade_date, count(DISTINCT entity) AS n FROM f_return_20d GROUP BY 1) v ON v.trade_date = d.trade_date""",
+    ["monthends", "resolved", "f_return_20d"],
+)
+
+
+def covered_by_source(t):
+    rows = factor_rows(t, ["return_20d"], signals(t))
+    return va.coverage(rows, resolved(t), signals(t), ["return_20d"])
+
+
+@query("g5_coverage_by_source", "SELECT * FROM coversrc", ["coversrc"], doubles="coverage missing_rate")
+def _(t):
+    return covered_by_source(t)
+
+
+@query(
+    "g5_coverage_warnings",
+    """SELECT DISTINCT trade_date, universe_source, 'Coverage universe snapshot for ' || trade_date || ' is ' || universe_source
+              || '; formal historical PIT conclusions are not supported.' AS warning FROM coversrc
+       WHERE NOT (universe_source LIKE '%historical_pit%' OR universe_source = 'universe_members')""",
+    ["coversrc"],
+)
+def _(t):
+    return va.coverage_warnings(covered_by_source(t))
+
+
 @query(
     "f6_resolve_gate_universe",
     """

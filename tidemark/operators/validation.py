@@ -76,7 +76,10 @@ def with_labels(factor_values: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def coverage(factor_values: DataFrame, universe: DataFrame, dates: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Valid against expected entities per factor and date; NULL rates without a universe."""
+    """Valid against expected entities per factor and date; NULL rates without a universe.
+
+    A universe with a ``universe_source`` column names its source by date, ``missing`` on dates without one.
+    """
     valid = (
         factor_values.filter(F.col("factor_name").isin(list(names)))
         .select("factor_name", "trade_date", "entity")
@@ -84,8 +87,10 @@ def coverage(factor_values: DataFrame, universe: DataFrame, dates: DataFrame, na
         .groupBy("factor_name", "trade_date")
         .agg(F.expr("count(*) AS valid_factor_count"))
     )
-    sizes = universe.select("trade_date", "entity").distinct().groupBy("trade_date").agg(
-        F.expr("count(*) AS universe_count")
+    named = "universe_source" in universe.columns
+    source = ["universe_source"] if named else []
+    sizes = universe.select("trade_date", "entity", *source).distinct().groupBy("trade_date").agg(
+        F.expr("count(DISTINCT entity) AS universe_count"), *([F.expr("min(universe_source) AS universe_source")] if named else [])
     )
     listed = ", ".join(f"'{n}'" for n in names)
     grid = dates.selectExpr("trade_date", f"explode(array({listed})) AS factor_name")
@@ -97,6 +102,7 @@ def coverage(factor_values: DataFrame, universe: DataFrame, dates: DataFrame, na
             "trade_date",
             "coalesce(universe_count, 0) AS universe_count",
             "coalesce(valid_factor_count, 0) AS valid_factor_count",
+            *(["coalesce(universe_source, 'missing') AS universe_source"] if named else []),
         )
         .selectExpr(
             "*",
@@ -107,6 +113,17 @@ def coverage(factor_values: DataFrame, universe: DataFrame, dates: DataFrame, na
     )
 
 
+def coverage_warnings(covered: DataFrame) -> DataFrame:
+    """Dates whose universe does not support formal point-in-time conclusions, by its source."""
+    formal = "universe_source LIKE '%historical_pit%' OR universe_source = 'universe_members'"
+    return (
+        covered.select("trade_date", "universe_source").distinct()
+        .filter(f"NOT ({formal})")
+        .selectExpr("trade_date", "universe_source", "concat('Coverage universe snapshot for ', trade_date, ' is ', universe_source, "
+                    "'; formal historical PIT conclusions are not supported.') AS warning")
+    )
+
+
 def rank_ic(labelled: DataFrame, min_observations: int) -> DataFrame:
     """Daily Spearman correlation of factor and forward return per cross-section; ``labelled`` is a written table."""
     largest = largest_group(labelled, CROSS_SECTION)
