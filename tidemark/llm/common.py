@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = (1 << 63) - 1
 # A side of at most so many short rows (a few dozen bytes each) is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
+ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 # A key is hot when it holds this share of the rows, so there are at most 1 / share hot keys.
 HOT_SHARE = 1 / 500
 
@@ -22,6 +25,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def map_arrow(
+    df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """``df.mapInArrow`` with small batches, so that neither the JVM nor the workers hold much text at a time.
+
+    This lowers the session's Arrow batch limits to at most ``ARROW_ROWS`` and ``ARROW_BYTES``.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII takes the short way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, read, within
+from tidemark.llm.common import NO_ID, map_arrow, read, within
 from tidemark.session import materialize
 
 WINDOW = 5
@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 PLAIN_WORDS = 2
 # Benchmarks of up to so many distinct windows are sent to the tasks as a filter; larger ones are joined by shuffle only.
 FILTER_WINDOWS = 1_000_000
-WORDS = 300_000
+WORDS = 150_000
 
 # Unit and number words.
 UNITS = frozenset(
@@ -201,13 +201,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    own = materialize(items.mapInArrow(_item_windows, "item_id long, size int, slot int, hash long").distinct())
+    own = materialize(map_arrow(items, _item_windows, "item_id long, size int, slot int, hash long").distinct())
     sizes = sorted(r[0] for r in own.select("size").distinct().collect())  # at most WINDOW numbers
     wanted = None
     keys = own.select("hash").distinct()
     if keys.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in keys.collect()], np.int64))
-    found = source.mapInArrow(_document_windows(sizes, wanted), "id long, hash long")
+    found = map_arrow(source, _document_windows(sizes, wanted), "id long, hash long")
     total = own.groupBy("item_id").agg(F.count_distinct("slot").alias("total"))
     hits = (
         found.distinct()
@@ -222,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     texts = source.join(within(pairs.select("id", "item_id", "similarity")), "id")
     both = texts.join(items.withColumnRenamed("text", "item"), "item_id").select("id", "item_id", "similarity", "item", "text")
     kinds = "id long, item_id long, similarity double, kind string, changed_slots long"
-    checked = both.mapInArrow(_aligned, kinds).filter("kind <> 'inconsistent'")
+    checked = map_arrow(both, _aligned, kinds).filter("kind <> 'inconsistent'")
     return checked.groupBy("id", "item_id").agg(
         F.max("similarity").alias("similarity"), F.min("kind").alias("kind"), F.min("changed_slots").alias("changed_slots")
     )

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_counted, read
+from tidemark.llm.common import join_counted, map_arrow, read
 from tidemark.session import materialize
 
 # Distinct trees of a host that are aligned together; a host with more is dealt over several groups.
@@ -316,7 +316,8 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     id_type = dict(source.dtypes)["page_id"]
     parsed = materialize(
-        source.mapInArrow(
+        map_arrow(
+            source,
             _parse_batches,
             f"page_id {id_type}, url string, host string, tree string, blocks array<struct<node: int, text: string>>,"
             " stats array<struct<node: int, hash: bigint, chars: bigint>>",

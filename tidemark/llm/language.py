@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import map_arrow, read
 
 BUCKETS = 8192
 FIT_ROWS = 500
@@ -83,7 +83,7 @@ def _document_frequencies(learning: DataFrame) -> np.ndarray:
             [pa.array(np.arange(BUCKETS + 1)), pa.array(np.append(seen, rows))], names=["bucket", "df"]
         )
 
-    found = learning.select("text").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df"))
+    found = map_arrow(learning.select("text"), run, "bucket long, df long").groupBy("bucket").agg(F.sum("df"))
     out = np.zeros(BUCKETS + 1)
     for bucket, df in found.collect():  # BUCKETS + 1 numbers
         out[bucket] = df
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string, score double, rejected boolean"])
-    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("text").cast("string").alias("_text"), *keep), run, schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

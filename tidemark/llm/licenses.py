@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import map_arrow, read
 
 # The plain phrases and their labels.
 PHRASES = {
@@ -211,7 +211,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES)
                 names="doc_id n_words n_base first_word last_word base_labels labels score matches".split(),
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import map_arrow, read
 from tidemark.session import materialize
 
 SEQUENCE = 1024
@@ -31,7 +31,7 @@ FAN_IN = 8
 CHUNK = 100_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Words whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 200_000
 
 # The tokenizer's pattern for the characters below; texts with any other character take the general way.
 SIMPLE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str = VOCABULARY)
                 [pa.array(c, t) for c, (_, t) in zip(columns, ITEM_TYPE, strict=True)], names=[n for n, _ in ITEM_TYPE]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ITEM.replace(":", ""))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, ITEM.replace(":", ""))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -189,7 +189,7 @@ def pack(items: DataFrame, capacity: int = SEQUENCE, nearly_full: float = NEARLY
     # The scan's own partitions make the first round; later rounds merge FAN_IN of them.
     width = rest.rdd.getNumPartitions()
     while True:
-        out = materialize(rest.select("fill", "items").mapInArrow(_round(capacity, full), BIN))
+        out = materialize(map_arrow(rest.select("fill", "items"), _round(capacity, full), BIN))
         left = out.filter("NOT done").count()
         finished.append(out.filter("done"))
         narrower = max(1, -(-width // FAN_IN), -(-left // CHUNK))

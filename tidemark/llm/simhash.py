@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, join_counted, read, within
+from tidemark.llm.common import NO_ID, join_counted, map_arrow, read, within
 from tidemark.llm.components import components
 from tidemark.session import materialize
 
@@ -76,9 +76,8 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) of every row; null and wordless texts have fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(texts, _fingerprint_batches, "doc_id long, fp long")
 
 
 def spanning_edges(values: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -131,7 +130,7 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
         .agg(F.collect_list("fp").alias("fps"))
         .filter(F.size("fps") > 1)
     )
-    grouped = small.select("fps").unionByName(large.select("fps")).mapInArrow(_edge_batches, "a long, b long")
+    grouped = map_arrow(small.select("fps").unionByName(large.select("fps")), _edge_batches, "a long, b long")
     return pairs.unionByName(grouped).distinct()
 
 
