@@ -3,7 +3,7 @@
 Texts become normalised TF-IDF vectors of hashed letter trigrams.  Each language has several centroids from spherical
 k-means over its labelled rows; a text takes the language of the centroid with the highest cosine and is rejected when that centroid is
 too far.  Document frequencies count every learning row; clustering uses at most ``FIT_ROWS`` rows a language,
-chosen by a hash of doc_id.
+chosen by a hash of doc_id (all rows of a language that has no more).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, read
+from tidemark.llm.common import map_arrow, read, within
+from tidemark.session import materialize
 
 BUCKETS = 8192
 FIT_ROWS = 500
@@ -99,8 +100,17 @@ def fit(
     )
     df = _document_frequencies(learning)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+    # A share of each language by hash leaves few more rows than wanted, so the exact cut sorts a bounded set.
+    sizes = learning.select("lang").groupBy("lang").count()
+    share = sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), 1.5 * fit_rows / F.col("count")).alias("_share"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = learning.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= fit_rows)
+    sample = (
+        learning.join(within(materialize(share)), F.col("lang") == F.col("_lang"))
+        .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * F.col("_share"))
+        .withColumn("_rank", F.row_number().over(by_hash))
+        .filter(F.col("_rank") <= fit_rows)
+        .select("text", "lang", "_rank")
+    )
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_rank")
