@@ -18,7 +18,7 @@ from tidemark.llm.common import read
 # Tiles cover a text without gaps; possessive parts keep matching linear.
 TILE = r"(?:[^ \t\n\x0B\f\r.!?]++[ \t\x0B\f\r]++){0,3}+[^ \t\n\x0B\f\r.!?]*+[.!?]*+[ \t\n\x0B\f\r]*+"
 # Texts of so many bytes share a bucket of neighbours on average; there are at most MAX_BUCKETS of them.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 MAX_BUCKETS = 1 << 15
 # Missing doc_id comes last in descending order.
 LAST_ID = -(1 << 63)
