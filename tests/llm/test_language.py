@@ -47,3 +47,9 @@ def test_chunks_do_not_change_counts(monkeypatch):
     whole = language.trigram_counts(text, letters)
     monkeypatch.setattr(language, "CHUNK_CHARS", 7)
     assert (language.trigram_counts(text, letters) == whole).all()
+
+
+def test_tiny_texts_are_not_rejected(spark):
+    model = language.fit(small(spark), fit_rows=40)
+    df = spark.createDataFrame([(1, "Ö."), (2, "zq"), (3, "щ")], "doc_id long, text string")
+    assert not any(r.rejected for r in language.identify(df, model).collect())

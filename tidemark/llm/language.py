@@ -26,6 +26,8 @@ CLUSTERS = 3
 ROUNDS = 12
 # A text is rejected when its cosine is below this share of the lowest percent of its language's learning rows.
 REJECT_SHARE = 0.2
+# Fewer distinct trigrams than this are too little evidence for a distance, and such texts are not rejected.
+MIN_TRIGRAMS = 10
 MAX_LANGUAGES = 2000
 CHUNK_CHARS = 1 << 20
 BATCH = 256
@@ -146,7 +148,8 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
 
     ``lang_pred`` is the nearest centroid's language (ties: the first by name), or ``und`` for texts without a
     letter, null texts and a model without languages, which are rejected with score 0.  ``score`` is the cosine.  A
-    text too far from every centroid keeps the nearest language and is marked as rejected.
+    text of at least ``MIN_TRIGRAMS`` distinct trigrams that is too far from every centroid keeps the nearest
+    language and is marked as rejected.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +158,13 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 x = vectors(part.column(0).to_pylist(), model.idf, letters)
+                enough = (x > 0).sum(axis=1) >= MIN_TRIGRAMS
                 known = x.any(axis=1) & bool(model.langs)
                 cosines = x @ model.centroids.T if model.langs else np.zeros((len(x), 1), np.float32)
                 best = cosines.argmax(axis=1)
                 score = np.where(known, np.clip(cosines.max(axis=1), 0, 1), 0).astype(float)
                 langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                rejected = ~known | (score < (model.lowest[best] if model.langs else 1))
+                rejected = ~known | enough & (score < (model.lowest[best] if model.langs else 1))
                 found = [pa.array(langs, pa.string()), pa.array(score.round(6)), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], *found], names=[*keep, "lang_pred", "score", "rejected"]
