@@ -88,7 +88,7 @@ def test_explicit_failures(spark):
         selection.latest_versions(store, "2000-02-01").collect()
     assert selection.repeated_versions(store).count() == 1
     with pytest.raises(ValueError, match="duplicate"):
-        writers.append_factor_rows(store, f"{shared_dir(spark)}/never")
+        writers.append_factor_rows(None, store, f"{shared_dir(spark)}/never")
     members = spark.createDataFrame([("t", "X", 1, date(2000, 1, 1), None), ("t", "X", 1, date(2000, 2, 1), None)], "source_tag string, index_code string, entity int, in_effective date, out_effective date")
     with pytest.raises(ValueError, match="overlapping"):
         prepare.import_members(members.limit(0), members, overwrite=True)

@@ -60,3 +60,18 @@ def test_single_group_larger_than_slices_keeps_every_row(spark):
     out = ranks.row_numbers(df, ["g"], ["v", "id"], slice_rows=100)
     check = out.selectExpr("count(*) AS n", "count(DISTINCT rank) AS d", "min(rank) AS lo", "max(rank) AS hi").first()
     assert tuple(check) == (20000, 20000, 1, 20000)
+
+
+def test_small_groups_take_plain_windows(spark, frame):
+    df = spark.createDataFrame(frame)
+    largest = ranks.largest_group(df, ["g"])
+    assert largest == frame.groupby("g").size().max()
+    for name in ("with_average_rank", "row_numbers"):
+        args = (["g"], "v", "r", "n") if name == "with_average_rank" else (["g"], ["v", "id"], "r", "n")
+        sliced = getattr(ranks, name)(df, *args, slice_rows=40).toPandas().sort_values("id")
+        plain = getattr(ranks, name)(df, *args, largest=largest).toPandas().sort_values("id")
+        assert np.allclose(sliced["r"].to_numpy(dtype=float), plain["r"].to_numpy(dtype=float))
+        assert (sliced["n"].to_numpy() == plain["n"].to_numpy()).all()
+    empty = spark.createDataFrame([("a", 1, None), ("a", 2, 3.0)], "g string, id int, v double")
+    got = ranks.with_average_rank(empty, ["g"], "v", "r", "n", largest=2).orderBy("id").collect()
+    assert [(r.r, r.n) for r in got] == [(None, None), (1.0, 1)]

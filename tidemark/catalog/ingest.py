@@ -204,13 +204,13 @@ def _(t):
 def _(t):
     store = _store(t)
     path = new_path(t)
-    wr.append_factor_rows(store.filter("entity % 10 = 4"), path)
+    wr.append_factor_rows(None, store.filter("entity % 10 = 4"), path)
     incoming = store.selectExpr(
         "entity", "trade_date", "factor_name",
         "CASE WHEN entity % 10 = 3 THEN double('NaN') WHEN entity % 10 = 5 THEN NULL ELSE factor_value END AS factor_value",
         "as_of_date", "'run_b' AS source_run_id",
     )
-    wr.append_factor_rows(incoming, path)
+    wr.append_factor_rows(None, incoming, path)
     return t.spark.read.schema(incoming.schema).parquet(path)
 
 
@@ -225,7 +225,7 @@ def _(t):
     store = _store(t)
     fresh = store.filter(f"{_SPARK_RANGE} AND entity % 2 = 0").withColumn("factor_value", F.expr("factor_value + 1"))
     path = new_path(t)
-    wr.append_factor_rows(store, path)
+    wr.append_factor_rows(None, store, path)
     wr.replace_factor_scope_at(fresh, path)
     return t.spark.read.schema(store.schema).parquet(path)
 

@@ -143,9 +143,11 @@ def import_findings(incoming: DataFrame) -> DataFrame:
 def import_members(existing: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
     """Members after an import that owns whole (source_tag, index) sets.
 
-    Overlapping intervals stop the import (see :func:`import_findings`), and so does, without ``overwrite``, a set that already exists.
+    Overlapping intervals stop the import (see :func:`import_findings`; rows without effective dates have none), and so does,
+    without ``overwrite``, a set that already exists.
     """
-    found = import_findings(incoming).limit(3).collect()
+    dated = {"in_effective", "out_effective"} <= set(incoming.columns)
+    found = import_findings(incoming).limit(3).collect() if dated else []
     if found:
         raise ValueError(f"overlapping member intervals, among them {[(r.entity, r.issue) for r in found]}")
     sets = incoming.select("source_tag", "index_code").distinct()

@@ -72,14 +72,16 @@ def replace_range_at(spark: SparkSession, path: str, incoming: DataFrame, scope:
     swap_in(incoming, path)
 
 
-def append_factor_rows(incoming: DataFrame, path: str) -> None:
+def append_factor_rows(store: DataFrame | None, incoming: DataFrame, path: str) -> None:
     """Append clean rows to the store at ``path``, partitioned by run; conflicts stop the write.
 
+    ``store`` holds the keys that are taken; without it these are the rows at ``path``.
     NaN, infinite and null values are not stored.  The input is evaluated once.
     """
     spark = incoming.sparkSession
     clean = materialize(clean_factor_rows(incoming))
-    store = spark.read.schema(clean.schema).parquet(path) if _exists(spark, path) else clean.limit(0)
+    if store is None:
+        store = spark.read.schema(clean.schema).parquet(path) if _exists(spark, path) else clean.limit(0)
     if append_conflicts(store, clean).limit(1).count():
         raise ValueError("duplicate factor keys in input or store")
     clean.write.mode("append").partitionBy("source_run_id").parquet(path)
