@@ -55,3 +55,15 @@ def test_every_whole_item_is_found_in_the_tables(spark):
     want = {(r.doc_id, i.item_id) for r in docs for i in items if i.text in r.text}
     got = {(r.doc_id, r.item_id) for r in d.op1_decontaminate(spark, sf).collect()}
     assert want == got
+
+
+def test_letter_case_and_place_do_not_hide_names(spark):
+    item = "Maria gives 12 red apples to her old friend. Maria walks home with the empty basket. Peter takes 30 pears from the tall tree. Who has more fruit now?"
+    other = item.replace("Maria", "Anna").replace("Peter", "Otto")
+    longer = ITEM.replace("Maria", "Anna Lee").replace("Peter", "Otto von Berg")
+    rows = [(1, ITEM.upper()), (2, ITEM.lower()), (3, other), (4, longer), (5, item.replace("Maria", "Anna Lee")), (6, item.replace("Maria gives", "Anna gives"))]
+    got = found(spark, [(i, f"some words. {t} Some words") for i, t in rows], [(70, ITEM), (71, item)])
+    assert {k: v[0] for k, v in got.items() if k[0] != 6} == {
+        (1, 70): "exact", (2, 70): "exact", (3, 71): "reparameterised", (4, 70): "reparameterised", (5, 71): "reparameterised",
+    }
+    assert got[3, 71] == ("reparameterised", 2) and got[5, 71] == ("reparameterised", 1)

@@ -1,8 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Texts are canonicalised into templates: numbers, units and names become typed placeholders, all other words are lower-cased and stripped
-of punctuation.  Windows of five template words are hashed; windows with fewer than two plain words say nothing and
-are left out.  A document is a candidate for an item when it holds at least 0.8 of the item's windows.
+of punctuation.  Letter case and place do not tell a name for certain, so every text has three forms: without names (a copy in
+any letter case), with the capitalised words inside sentences as names, and with all capitalised words as names (names that open a
+sentence).  A run of name words is one slot.  Windows of five template words are hashed; windows with fewer than two plain words say
+nothing and are left out.  A document is a candidate for an item when it holds at least 0.8 of the item's windows, each in some form.
+Names that are exchanged and also written without capitals, or in capitals only, are not seen as names.
 Candidates are aligned word by word: the values in the slots must map one to one within each type, so a question with
 exchanged numbers or names is caught, while a text that only shares the phrasing is not.
 """
@@ -46,8 +49,12 @@ BREAK = "\x00"
 PLAIN, NUMBER, UNIT, NAME, SKIP = range(5)
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[$€£¥]?[+-]?\d+(?:[.,:/]\d+)*(%|[^\W\d_]{1,3})?")
-# Low bits of a word's code: 0-2 kind when it starts a sentence, 3-5 kind elsewhere, 6 ends a sentence.  The rest is the hash of the plain word.
-_FLAGS = 7
+# Low bits of a word's code: 0-2 kind without names, 3-5 kind with names, 6 ends a sentence, 7 ends in a letter or digit, so that a name
+# may go on.  The rest is the hash of the plain word.
+_FLAGS = 8
+# Forms of a text: no word is a name; capitalised words inside sentences are names; all capitalised words are names.
+NO_NAMES, INNER_NAMES, ALL_NAMES = FORMS = range(3)
+_BITS = 20
 _PLACEHOLDER = np.array([0, 0x51ED270B9F1, 0x2545F4914F7, 0x9E3779B97F5, 0], np.uint64)
 _POWERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)]
 
@@ -70,9 +77,9 @@ class WordCodes(dict):
         elif low in UNITS:
             first = later = UNIT
         else:
-            # A capital inside a sentence marks a name; words all in capitals are plain.
+            # A capital marks a name; words all in capitals are plain.
             first, later = PLAIN, NAME if bare[0].isupper() and bare[1:] == low[1:] and len(bare) > 1 else PLAIN
-        code = xxhash.xxh64_intdigest(low) >> _FLAGS << _FLAGS | ends << 6 | later << 3 | first
+        code = xxhash.xxh64_intdigest(low) >> _FLAGS << _FLAGS | word[-1:].isalnum() << 7 | ends << 6 | later << 3 | first
         self[word] = code
         return code
 
@@ -84,64 +91,131 @@ def codes_of() -> WordCodes:
     return kept.codes
 
 
-def template(text: str, codes: WordCodes, opens: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template word hashes, kinds and value hashes of a text, without words that are only punctuation.
+class Template:
+    """Words of a text without those that are only punctuation, and its forms."""
 
-    ``opens``: the first word starts a sentence.
-    """
-    words = text.replace("\n", f" {BREAK} ").split()
-    code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    starts = np.concatenate(([opens], (code[:-1] >> np.uint64(6) & np.uint64(1)) == 1)) if len(code) else np.zeros(0, bool)
-    kind = np.where(starts, code & np.uint64(7), code >> np.uint64(3) & np.uint64(7)).astype(np.int64)
-    keep = kind != SKIP
-    code, kind = code[keep] >> np.uint64(_FLAGS), kind[keep]
-    return np.where(kind == PLAIN, code, _PLACEHOLDER[kind]), kind, code
+    def __init__(self, text: str, codes: WordCodes) -> None:
+        words = text.replace("\n", f" {BREAK} ").split()
+        code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+        ends = (code >> np.uint64(6) & np.uint64(1)) == 1
+        opens = np.concatenate(([True], ends[:-1])) if len(code) else ends
+        kind = (code & np.uint64(7)).astype(np.int64)
+        keep = kind != SKIP
+        # The words of a name follow each other without punctuation.
+        joins = (code >> np.uint64(7) & np.uint64(1)) == 1
+        self.goes_on = np.concatenate(([False], (joins & keep)[:-1]))[keep] if len(code) else ends
+        self.kind, self.opens = kind[keep], opens[keep]
+        self.capital = (code[keep] >> np.uint64(3) & np.uint64(7)) == NAME
+        self.value = code[keep] >> np.uint64(_FLAGS)
+
+    def form(self, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template word hashes, kinds, value hashes and first words of the tokens of a form; a run of name words is one token."""
+        kind, value, first = self.kind, self.value, np.arange(len(self.kind))
+        if form != NO_NAMES:
+            names = self.capital if form == ALL_NAMES else self.capital & ~self.opens
+            kind = np.where(names, NAME, kind)
+            inside = names & np.concatenate(([False], names[:-1])) & self.goes_on if len(names) else names
+            if inside.any():
+                first = np.flatnonzero(~inside)
+                kind, joined = kind[first], value[first].copy()
+                for at in np.flatnonzero(inside):  # words of a name after its first, in their order
+                    token = np.searchsorted(first, at, "right") - 1
+                    joined[token] = (int(joined[token]) * 0x100000001B3 ^ int(value[at])) & (1 << 64) - 1
+                value = joined
+        return np.where(kind == PLAIN, value, _PLACEHOLDER[kind]), kind, value, first
+
+    def windows(self, form: int, size: int) -> np.ndarray:
+        """Window hashes of a form for the search; without those that the form without names has as well."""
+        if form == NO_NAMES:
+            return windows(*self.form(form)[:2], size)
+        kind = self.kind
+        names = self.capital if form == ALL_NAMES else self.capital & ~self.opens
+        kind = np.where(names, NAME, kind)
+        words = np.where(kind == PLAIN, self.value, _PLACEHOLDER[kind])
+        keep = ~(names & np.concatenate(([False], names[:-1])) & self.goes_on) if len(names) else names
+        words, kind = words[keep], kind[keep]
+        return windows(words, kind, size, kind == NAME)
 
 
-def windows(words: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
-    """Signed window hashes by start; zero where a window has too few plain words."""
+def windows(words: np.ndarray, kind: np.ndarray, size: int, needed: np.ndarray | None = None) -> np.ndarray:
+    """Signed window hashes by start; zero where a window has too few plain words.
+
+    ``needed``: only the windows that hold a word with this mark, without the places of the others.
+    """
     n = len(words) - size + 1
-    if n <= 0:
+    if n <= 0 or not size:
         return np.zeros(0, np.int64)
-    out = np.full(n, size, np.uint64)
-    for i in range(size):
-        out += (words[i : i + n] ^ words[i : i + n] >> np.uint64(29)) * np.uint64(_POWERS[i])
-    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-    return np.where(plain[size:] - plain[:-size] >= PLAIN_WORDS, out, np.uint64(0)).view(np.int64)
+    good = plain[size:] - plain[:-size] >= PLAIN_WORDS
+    mixed = words ^ words >> np.uint64(29)
+    if needed is not None:
+        marks = np.concatenate(([0], np.cumsum(needed)))
+        at = np.flatnonzero(good & (marks[size:] > marks[:-size]))
+        parts = [mixed[at + i] for i in range(size)]
+    else:
+        parts = [mixed[i : i + n] for i in range(size)]
+    out = np.full(len(parts[0]), size, np.uint64)
+    for part, power in zip(parts, _POWERS, strict=False):
+        out += part * np.uint64(power)
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (out if needed is not None else np.where(good, out, np.uint64(0))).view(np.int64)
+
+
+def item_windows(text: str, codes: WordCodes) -> set[tuple[int, int, int, int]]:
+    """``form, size, slot, hash``: the windows of the coarsest form that has whole windows are the slots, each with its hash in every form."""
+    item = Template(text, codes)
+    forms = []
+    for form in FORMS:
+        words, kind, _, first = item.form(form)
+        size = min(WINDOW, len(words))
+        forms.append((form, size, windows(words, kind, size), first))
+    usable = [f for f in forms if f[2].any()]
+    if not usable:
+        return set()
+    _, _, base, first = max(usable, key=lambda f: (f[1], f[0]))
+    slot_of: dict[int, int] = {}
+    rows = set()
+    for at, h in enumerate(base.tolist()):
+        if not h:
+            continue
+        slot = slot_of.setdefault(h, at)
+        for form, size, found, starts in usable:
+            token = min(int(np.searchsorted(starts, first[at], "right")) - 1, len(found) - 1)
+            if found[token]:
+                rows.add((form, size, slot, int(found[token])))
+    return rows
 
 
 def _item_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = codes_of()
     for batch in batches:
-        rows = []
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, kind, _ = template(text or "", codes)
-            size = min(WINDOW, len(words))
-            if not size:
-                continue
-            found, slots = np.unique(windows(words, kind, size), return_index=True)
-            rows += [(item, size, s, h) for s, h in zip(slots.tolist(), found.tolist(), strict=True) if h]
-            # A document may quote the item inside a sentence, where a capital would be a name.
-            quoted = windows(*template(text, codes, opens=False)[:2], size)[:1].tolist()
-            rows += [(item, size, 0, h) for h in quoted if h and h not in found]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        rows = [
+            (item, *row)
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for row in sorted(item_windows(text or "", codes))
+        ]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "size", "slot", "hash"]
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "form", "size", "slot", "hash"]
         )
 
 
-def _document_windows(sizes: list[int], wanted: np.ndarray | None):
+def _document_windows(sizes: list[tuple[int, int]], wanted: np.ndarray | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codes_of()
+        low = np.int64((1 << _BITS) - 1)
+        if wanted is not None:
+            seen = np.zeros(1 << _BITS, bool)
+            seen[wanted & low] = True
         for batch in batches:
             ids, hashes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, kind, _ = template(text.as_py(), codes)
-                for size in sizes:
-                    found = windows(words, kind, size)
+                doc_template = Template(text.as_py(), codes)
+                for form, size in sizes:
+                    found = doc_template.windows(form, size)
                     if wanted is not None and len(wanted):
+                        found = found[seen[found & low]]
                         at = np.searchsorted(wanted, found)
                         found = found[wanted[np.minimum(at, len(wanted) - 1)] == found]
                     found = np.unique(found[found != 0])
@@ -156,29 +230,40 @@ def _document_windows(sizes: list[int], wanted: np.ndarray | None):
 
 def align(item: str, text: str, codes: WordCodes) -> tuple[str, int]:
     """``exact``, ``reparameterised`` or ``inconsistent``, and the number of changed slots, at the best place of the text."""
-    a_words, a_kind, a_value = template(item, codes)
-    t_words, t_kind, t_value = template(text, codes)
-    size = min(WINDOW, len(a_words))
-    places: dict[int, list[int]] = {}
-    for i, h in enumerate(windows(a_words, a_kind, size).tolist()):
-        if h:
-            places.setdefault(h, []).append(i)
-    shifts = Counter(
-        j - i for j, h in enumerate(windows(t_words, t_kind, size).tolist()) if h in places for i in places[h]
-    )
-    if not shifts:
-        return "inconsistent", 0
-    best, verdict = max(shifts.values()), ("inconsistent", 0)
-    for shift in sorted(s for s, n in shifts.items() if n >= SIMILARITY * best):
-        lo, hi = max(0, -shift), min(len(a_words), len(t_words) - shift)
-        same = (a_words[lo:hi] == t_words[lo + shift : hi + shift]) & (a_kind[lo:hi] != PLAIN)
-        pairs = {(int(k), int(u), int(v)) for k, u, v in zip(a_kind[lo:hi][same], a_value[lo:hi][same], t_value[lo + shift : hi + shift][same], strict=True)}
-        changed = sum(u != v for _, u, v in pairs)
-        if not changed:
-            return "exact", 0
-        if len({p[:2] for p in pairs}) == len(pairs) == len({(k, v) for k, _, v in pairs}):
-            verdict = ("reparameterised", changed)
-    return verdict
+    a, t = Template(item, codes), Template(text, codes)
+    ranked = []
+    for form in FORMS:
+        a_words, a_kind, a_value, _ = a.form(form)
+        t_words, t_kind, t_value, _ = t.form(form)
+        size = min(WINDOW, len(a_words))
+        places: dict[int, list[int]] = {}
+        total = 0
+        for i, h in enumerate(windows(a_words, a_kind, size).tolist()):
+            if h:
+                places.setdefault(h, []).append(i)
+                total += 1
+        shifts = Counter(
+            j - i for j, h in enumerate(windows(t_words, t_kind, size).tolist()) if h in places for i in places[h]
+        )
+        if not shifts:
+            continue
+        best, verdict = max(shifts.values()), None
+        for shift in sorted(s for s, n in shifts.items() if n >= SIMILARITY * best):
+            lo, hi = max(0, -shift), min(len(a_words), len(t_words) - shift)
+            same = (a_words[lo:hi] == t_words[lo + shift : hi + shift]) & (a_kind[lo:hi] != PLAIN)
+            pairs = {(int(k), int(u), int(v)) for k, u, v in zip(a_kind[lo:hi][same], a_value[lo:hi][same], t_value[lo + shift : hi + shift][same], strict=True)}
+            changed = sum(u != v for _, u, v in pairs)
+            fits = len({p[:2] for p in pairs}) == len(pairs) == len({(k, v) for k, _, v in pairs})
+            if (not changed or fits) and (verdict is None or changed < verdict):
+                verdict = changed
+        ranked.append((best / total, verdict))
+    # The form that holds most of the item decides; another one only where it also holds enough.
+    top = max((r[0] for r in ranked), default=0)
+    for share in sorted({r[0] for r in ranked if r[0] >= min(top, SIMILARITY)}, reverse=True):
+        told = [r[1] for r in ranked if r[0] == share and r[1] is not None]
+        if told:
+            return ("reparameterised", min(told)) if min(told) else ("exact", 0)
+    return "inconsistent", 0
 
 
 def _aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +281,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     ``docs`` needs ``doc_id, text`` and ``benchmark`` needs ``item_id, text``; other columns are not read.  ``id`` is doc_id, or the
     largest long for rows without one; rows with equal doc_id are one document.  ``similarity`` is the share of the item's
-    distinct windows found in the document.  ``kind`` is exact or reparameterised.  Items of fewer than five words are one window of their length;
+    distinct windows found in the document in any form.  ``kind`` is exact or reparameterised.  Items of fewer than five words are one window of their length;
     items without a window of two plain words, null and empty texts match nothing.
     """
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    own = materialize(map_arrow(items, _item_windows, "item_id long, size int, slot int, hash long").distinct())
-    sizes = sorted(r[0] for r in own.select("size").distinct().collect())  # at most WINDOW numbers
+    own = materialize(map_arrow(items, _item_windows, "item_id long, form int, size int, slot int, hash long").distinct())
+    sizes = sorted(tuple(r) for r in own.select("form", "size").distinct().collect())  # at most WINDOW numbers a form
     wanted = None
     keys = own.select("hash").distinct()
     if keys.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
