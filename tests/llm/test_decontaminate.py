@@ -67,3 +67,15 @@ def test_letter_case_and_place_do_not_hide_names(spark):
         (1, 70): "exact", (2, 70): "exact", (3, 71): "reparameterised", (4, 70): "reparameterised", (5, 71): "reparameterised",
     }
     assert got[3, 71] == ("reparameterised", 2) and got[5, 71] == ("reparameterised", 1)
+
+
+def test_different_values_may_become_equal(spark):
+    item = "Our basket holds 3 green apples and 5 yellow pears today, so how many fruits are in it?"
+    rows = [(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("5", "3")), (3, item)]
+    assert found(spark, rows, [(1, item)]) == {(1, 1): ("reparameterised", 2), (2, 1): ("reparameterised", 1), (3, 1): ("exact", 0)}
+
+
+def test_items_without_template_windows_are_found_word_by_word(spark):
+    items = [(1, "Compute 12 * 7"), (2, "1 2 4 8 16 32 64"), (3, "Anna 12 kg"), (4, "12"), (5, "* *")]
+    rows = [(1, "so compute 12 * 7 now"), (2, "so compute 12 * 8 now"), (3, "it is 1 2 4 8 16 32 64 and on"), (4, "1 2 4 8 17 32 64"), (5, "ANNA 12 kg"), (6, "12")]
+    assert found(spark, rows, items) == {(1, 1): ("exact", 0), (3, 2): ("exact", 0), (5, 3): ("exact", 0)}

@@ -4,9 +4,9 @@ Texts are canonicalised into templates: numbers, units and names become typed pl
 of punctuation.  Letter case and place do not tell a name for certain, so every text has three forms: without names (a copy in
 any letter case), with the capitalised words inside sentences as names, and with all capitalised words as names (names that open a
 sentence).  A run of name words is one slot.  Windows of five template words are hashed; windows with fewer than two plain words say
-nothing and are left out.  A document is a candidate for an item when it holds at least 0.8 of the item's windows, each in some form.
+nothing and are left out; an item that has no other windows is searched for word by word, with its own numbers and names.  A document is a candidate for an item when it holds at least 0.8 of the item's windows, each in some form.
 Names that are exchanged and also written without capitals, or in capitals only, are not seen as names.
-Candidates are aligned word by word: the values in the slots must map one to one within each type, so a question with
+Candidates are aligned word by word: equal values of the item's slots must have equal values in the text within each type, so a question with
 exchanged numbers or names is caught, while a text that only shares the phrasing is not.
 """
 
@@ -54,6 +54,8 @@ _NUMBER = re.compile(r"[$€£¥]?[+-]?\d+(?:[.,:/]\d+)*(%|[^\W\d_]{1,3})?")
 _FLAGS = 8
 # Forms of a text: no word is a name; capitalised words inside sentences are names; all capitalised words are names.
 NO_NAMES, INNER_NAMES, ALL_NAMES = FORMS = range(3)
+# Form of items without template windows: all words, also numbers and units, are plain.
+LITERAL = 3
 _BITS = 20
 _PLACEHOLDER = np.array([0, 0x51ED270B9F1, 0x2545F4914F7, 0x9E3779B97F5, 0], np.uint64)
 _POWERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)]
@@ -111,7 +113,9 @@ class Template:
     def form(self, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Template word hashes, kinds, value hashes and first words of the tokens of a form; a run of name words is one token."""
         kind, value, first = self.kind, self.value, np.arange(len(self.kind))
-        if form != NO_NAMES:
+        if form == LITERAL:
+            kind = np.full(len(kind), PLAIN)
+        elif form != NO_NAMES:
             names = self.capital if form == ALL_NAMES else self.capital & ~self.opens
             kind = np.where(names, NAME, kind)
             inside = names & np.concatenate(([False], names[:-1])) & self.goes_on if len(names) else names
@@ -126,7 +130,7 @@ class Template:
 
     def windows(self, form: int, size: int) -> np.ndarray:
         """Window hashes of a form for the search; without those that the form without names has as well."""
-        if form == NO_NAMES:
+        if form in (NO_NAMES, LITERAL):
             return windows(*self.form(form)[:2], size)
         kind = self.kind
         names = self.capital if form == ALL_NAMES else self.capital & ~self.opens
@@ -171,7 +175,9 @@ def item_windows(text: str, codes: WordCodes) -> set[tuple[int, int, int, int]]:
         forms.append((form, size, windows(words, kind, size), first))
     usable = [f for f in forms if f[2].any()]
     if not usable:
-        return set()
+        words, kind, _, first = item.form(LITERAL)
+        size = min(WINDOW, len(words))
+        usable = [(LITERAL, size, windows(words, kind, size), first)]
     _, _, base, first = max(usable, key=lambda f: (f[1], f[0]))
     slot_of: dict[int, int] = {}
     rows = set()
@@ -232,7 +238,8 @@ def align(item: str, text: str, codes: WordCodes) -> tuple[str, int]:
     """``exact``, ``reparameterised`` or ``inconsistent``, and the number of changed slots, at the best place of the text."""
     a, t = Template(item, codes), Template(text, codes)
     ranked = []
-    for form in FORMS:
+    templates = any(windows(*f[:2], min(WINDOW, len(f[0]))).any() for f in map(a.form, FORMS))
+    for form in FORMS if templates else [LITERAL]:
         a_words, a_kind, a_value, _ = a.form(form)
         t_words, t_kind, t_value, _ = t.form(form)
         size = min(WINDOW, len(a_words))
@@ -253,7 +260,7 @@ def align(item: str, text: str, codes: WordCodes) -> tuple[str, int]:
             same = (a_words[lo:hi] == t_words[lo + shift : hi + shift]) & (a_kind[lo:hi] != PLAIN)
             pairs = {(int(k), int(u), int(v)) for k, u, v in zip(a_kind[lo:hi][same], a_value[lo:hi][same], t_value[lo + shift : hi + shift][same], strict=True)}
             changed = sum(u != v for _, u, v in pairs)
-            fits = len({p[:2] for p in pairs}) == len(pairs) == len({(k, v) for k, _, v in pairs})
+            fits = len({p[:2] for p in pairs}) == len(pairs)
             if (not changed or fits) and (verdict is None or changed < verdict):
                 verdict = changed
         ranked.append((best / total, verdict))
@@ -282,7 +289,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ``docs`` needs ``doc_id, text`` and ``benchmark`` needs ``item_id, text``; other columns are not read.  ``id`` is doc_id, or the
     largest long for rows without one; rows with equal doc_id are one document.  ``similarity`` is the share of the item's
     distinct windows found in the document in any form.  ``kind`` is exact or reparameterised.  Items of fewer than five words are one window of their length;
-    items without a window of two plain words, null and empty texts match nothing.
+    items without a window of two plain words are found only word by word.  Items of one word, null and empty texts match nothing.
     """
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
