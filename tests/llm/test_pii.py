@@ -94,3 +94,23 @@ def test_empty_table_and_repeated_rows(spark):
     df = frame(spark, rows)
     assert sorted(r.text for r in pii.sanitize(df).collect()) == ["[IP]", "other", "x [EMAIL]", "x [EMAIL]"]
     assert pii.sanitize(df.limit(0)).count() == 0
+
+
+def terms_of(spark, rows):
+    out = {}
+    for doc, spans in spans_of(spark, rows).items():
+        out[doc] = {dict(rows)[doc][a:b].lower() for k, a, b in spans if k == pii.TERM}
+    return out
+
+
+def test_copied_texts_hide_no_terms(spark):
+    rows = corpus()
+    rows += [(1000 + 100 * n + i, text) for i in range(6) for n, text in enumerate([dict(rows)[300 + i]] * 30)]
+    got = terms_of(spark, rows)
+    assert all("quartzheim" in got[d] for d in (300, 305, 400, 1000, 3905))
+
+
+def test_every_word_can_be_a_term_and_rows_need_no_id(spark):
+    rows = [(d, (t or "").replace("Quartzheim", "user4711 李明")) for d, t in corpus() if d != 400] + [(None, "later user4711 wrote to 李明 again")]
+    got = terms_of(spark, rows)
+    assert all({"user4711", "李明"} <= got[d] for d in (300, 305, None))

@@ -2,7 +2,7 @@
 
 Emails, addresses, card and phone numbers are found by fixed patterns.  The corpus then tells which ordinary terms give these
 entities away: a term that stands near an entity in several different contexts and hardly anywhere else discloses it.  With n_te
-contexts that hold term and entity, n_t documents with the term, n_e contexts of the entity and N documents, the disclosure is
+texts that hold the term near the entity, n_t texts with the term, n_e texts with the entity and N texts, copies of one text counted once, the disclosure is
 n_te / n_t, the chance of the entity once the term is known, and the gain is log2(n_te * N / (n_t * n_e)) bits.  Terms
 above both thresholds are generalised everywhere, those that nearly name the entity are removed.
 
@@ -51,7 +51,6 @@ WORD = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 # Code points on either side of an entity that count as its context.
 CONTEXT = 100
-MIN_TERM = 3
 MIN_CONTEXTS = 2
 GENERALISE, REMOVE, MIN_BITS = 0.5, 0.9, 3.0
 KEY = ["doc_id", "h"]
@@ -104,22 +103,26 @@ def disclosing_terms(
 ) -> DataFrame:
     """``term, action, disclosure, bits``: terms that reveal some entity, over all of ``docs(doc_id, h, text)``.
 
-    A context counts once however often it is copied.
+    A text counts once however often it is copied, and so does a context, of which a term needs ``min_contexts``.  Every word can be a term.
     """
-    near = (
-        found.select("kind", "value", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.split(F.lower("context"), NOT_WORD))).alias("term"))
-        .filter(f"length(term) >= {MIN_TERM} AND NOT term RLIKE '[0-9_]'")
+    near = found.select(
+        "kind", "value", "h", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.split(F.lower("context"), NOT_WORD))).alias("term")
+    ).filter("term <> ''")
+    joint = (
+        near.groupBy("kind", "value", "term")
+        .agg(F.count_distinct("h").alias("n_te"), F.count_distinct("c").alias("contexts"))
+        .filter(F.col("contexts") >= min_contexts)
+        .drop("contexts")
     )
-    joint = near.groupBy("kind", "value", "term").agg(F.count_distinct("c").alias("n_te")).filter(F.col("n_te") >= min_contexts)
-    own = found.groupBy("kind", "value").agg(F.count_distinct(F.xxhash64("context")).alias("n_e"))
+    own = found.groupBy("kind", "value").agg(F.count_distinct("h").alias("n_e"))
     joint = materialize(joint.join(own, ["kind", "value"]))
     candidates = within(materialize(joint.select("term").distinct()))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term"))
-    spread = words.join(candidates, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select("h", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term"))
+    spread = words.join(candidates, "term").groupBy("term").agg(F.count_distinct("h").alias("n_t"))
     scored = joint.join(spread, "term").select(
         "term",
         F.least(F.lit(1.0), F.col("n_te") / F.col("n_t")).alias("disclosure"),
-        F.log2(F.col("n_te") * F.lit(docs.count()) / (F.col("n_t") * F.col("n_e"))).alias("bits"),
+        F.log2(F.col("n_te") * F.lit(docs.select("h").distinct().count()) / (F.col("n_t") * F.col("n_e"))).alias("bits"),
     )
     return (
         scored.filter((F.col("disclosure") >= generalise) & (F.col("bits") >= min_bits))
@@ -146,10 +149,13 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .distinct()
     )
     holding = materialize(holding)
-    texts = keyed.join(within(holding), KEY, "left_semi").dropDuplicates(KEY)
+    # Rows without doc_id have their terms like any other.
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["_id"]) & (left["h"] == right["_h"])
+    holding = within(holding).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    texts = keyed.join(holding, same(keyed, holding), "left_semi").dropDuplicates(KEY)
     places = _located(texts, WORD).withColumn("term", F.lower("found")).join(few, "term").select(*KEY, "start", "end", "action")
-    direct = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("direct"))
-    free = places.join(direct, KEY, "left").filter(
+    direct = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "end")).alias("direct"))
+    free = places.join(direct, same(places, direct), "left").drop("_id", "_h").filter(
         "direct IS NULL OR NOT exists(direct, d -> d.start < end AND start < d.end)"
     )
     spans = found.select(*KEY, "kind", "start", "end", F.lit("remove").alias("action")).unionByName(
