@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, line_dedup, packing, simhash
-from tidemark.llm.common import NO_ID, within
+from tidemark.llm.common import NO_ID, text_hash, within
 from tidemark.session import materialize, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,8 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _id() -> Column:
-    return F.coalesce("doc_id", F.lit(NO_ID))
+def _key() -> list[Column]:
+    """Key of a row: doc_id, if any, and the hash of the text."""
+    return [F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), text_hash().alias("_h")]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +35,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
-    heads = (
-        simhash.simhash_components(docs)
-        .filter("doc_id <=> component_id")
-        .select(_id().alias("_id"))
-        .distinct()
-    )
-    keyed = docs.select(*COLUMNS, _id().alias("_id"))
-    return keyed.join(heads, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
+    """The row with the smallest doc_id of each group of near-duplicate texts; rows without doc_id are rows of their own."""
+    heads = simhash.kept_rows(docs).toDF("_id", "_h")
+    keyed = docs.select(*COLUMNS, *_key())
+    return keyed.join(heads, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, neither word by word nor with other numbers or names."""
+    """Rows that hold no benchmark item, neither word by word nor with other numbers or names."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = materialize(decontaminate.contaminated(docs, benchmark).select(F.col("id").alias("_id")).distinct())
-    keyed = docs.select(*COLUMNS, _id().alias("_id"))
-    return keyed.join(within(leaks), "_id", "left_anti").select(*COLUMNS)
+    leaks = materialize(decontaminate.contaminated(docs, benchmark, rows=True).select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct())
+    keyed = docs.select(*COLUMNS, *_key())
+    return keyed.join(within(leaks), ["_id", "_h"], "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,18 @@ def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
     assert language.UNKNOWN == "und"
+
+
+def test_rows_without_id_and_repeated_ids_are_rows_of_their_own(spark, tmp_path):
+    words = lambda k: " ".join(f"w{k * i * i % 9973}" for i in range(1, 80))
+    item = "A farmer sells many red apples to his old friend while it rains all day in the big city"
+    first, second = item[:45], item[45:]
+    rows = [(None, words(3)), (None, words(5)), (None, words(5)), (None, words(7)), (1, words(7)), (2, words(11)), (2, words(13)), (None, f"{words(17)} {item}"), (3, words(19)), (3, f"{words(23)} {item}")]
+    rows += [(None, f"{words(29)} {first}"), (None, f"{second} {words(31)}")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = pipeline.keep_one_of_each_group(spark, docs, str(tmp_path))
+    order = lambda found: sorted(found, key=str)
+    assert order((r.doc_id, r.text) for r in left.collect()) == order(set(rows) - {(None, words(7))})
+    clean = pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert order((r.doc_id, r.text) for r in clean.collect()) == order(r for r in rows if item not in r[1])

@@ -84,3 +84,11 @@ def test_component_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (100, 100)], "u long, v long")
     got = dict(components(edges).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_rows_without_id_are_not_tied(spark):
+    a, b = ("alpha beta gamma delta epsilon", "some quite unlike text of other words")
+    rows = [(1, a), (2, b), (None, a), (None, b), (None, "a third text that stands alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r[0]), str(r[2])) for r in simhash.simhash_components(df).collect())
+    assert got == [("1", "1"), ("2", "2"), ("None", "1"), ("None", "2"), ("None", "None")]

@@ -44,6 +44,11 @@ def map_arrow(
     return df.mapInArrow(released, schema)
 
 
+def text_hash() -> Column:
+    """Hash of column ``text``, null as empty; with doc_id the key of a row."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII takes the short way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, map_arrow, read, within
+from tidemark.llm.common import NO_ID, map_arrow, read, text_hash, within
 from tidemark.session import materialize
 
 WINDOW = 5
@@ -215,8 +215,8 @@ def _document_windows(sizes: list[tuple[int, int]], wanted: np.ndarray | None):
             seen = np.zeros(1 << _BITS, bool)
             seen[wanted & low] = True
         for batch in batches:
-            ids, hashes = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, keys, hashes = [], [], []
+            for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 doc_template = Template(text.as_py(), codes)
                 for form, size in sizes:
                     found = doc_template.windows(form, size)
@@ -226,10 +226,12 @@ def _document_windows(sizes: list[tuple[int, int]], wanted: np.ndarray | None):
                         found = found[wanted[np.minimum(at, len(wanted) - 1)] == found]
                     found = np.unique(found[found != 0])
                     ids.append(np.full(len(found), doc, np.int64))
+                    keys.append(np.full(len(found), key, np.int64))
                     hashes.append(found)
             ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes)], names=["id", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(hashes)], names=["id", "h", "hash"])
 
     return run
 
@@ -278,20 +280,24 @@ def _aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [align(r["item"] or "", r["text"] or "", codes) for r in batch.select(["item", "text"]).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("item_id"), batch.column("similarity"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())],
-            names=["id", "item_id", "similarity", "kind", "changed_slots"],
+            [batch.column("id"), batch.column("h"), batch.column("item_id"), batch.column("similarity"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())],
+            names=["id", "h", "item_id", "similarity", "kind", "changed_slots"],
         )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, rows: bool = False) -> DataFrame:
     """``id, item_id, similarity, kind, changed_slots``: a row for each document and item that it leaks.
 
     ``docs`` needs ``doc_id, text`` and ``benchmark`` needs ``item_id, text``; other columns are not read.  ``id`` is doc_id, or the
-    largest long for rows without one; rows with equal doc_id are one document.  ``similarity`` is the share of the item's
+    largest long for rows without one; rows with equal doc_id are one document, rows without one are
+    documents of their own.  ``rows``: every row is a document, and ``h``, the hash of its text, is the second column.  ``similarity`` is the share of the item's
     distinct windows found in the document in any form.  ``kind`` is exact or reparameterised.  Items of fewer than five words are one window of their length;
     items without a window of two plain words are found only word by word.  Items of one word, null and empty texts match nothing.
     """
-    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
+    key = text_hash() if rows else F.when(F.col("doc_id").isNull(), text_hash()).otherwise(F.lit(0))
+    source = docs.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("string").alias("text"), key.cast("long").alias("h")
+    )
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     own = materialize(map_arrow(items, _item_windows, "item_id long, form int, size int, slot int, hash long").distinct())
     sizes = sorted(tuple(r) for r in own.select("form", "size").distinct().collect())  # at most WINDOW numbers a form
@@ -299,23 +305,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     keys = own.select("hash").distinct()
     if keys.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in keys.collect()], np.int64))
-    found = map_arrow(source, _document_windows(sizes, wanted), "id long, hash long")
+    found = map_arrow(source, _document_windows(sizes, wanted), "id long, h long, hash long")
     total = own.groupBy("item_id").agg(F.count_distinct("slot").alias("total"))
     hits = (
         found.distinct()
         .join(within(own.select("item_id", "slot", "hash").distinct()), "hash")
-        .groupBy("id", "item_id")
+        .groupBy("id", "h", "item_id")
         .agg(F.count_distinct("slot").alias("hits"))
         .join(total, "item_id")
-        .select("id", "item_id", (F.col("hits") / F.col("total")).alias("similarity"))
+        .select("id", "h", "item_id", (F.col("hits") / F.col("total")).alias("similarity"))
         .filter(F.col("similarity") >= similarity)
     )
     pairs = materialize(hits)
-    texts = source.join(within(pairs.select("id", "item_id", "similarity")), "id")
-    both = texts.join(items.withColumnRenamed("text", "item"), "item_id").select("id", "item_id", "similarity", "item", "text")
-    kinds = "id long, item_id long, similarity double, kind string, changed_slots long"
+    texts = source.join(within(pairs.select("id", "h", "item_id", "similarity")), ["id", "h"])
+    both = texts.join(items.withColumnRenamed("text", "item"), "item_id").select("id", "h", "item_id", "similarity", "item", "text")
+    kinds = "id long, h long, item_id long, similarity double, kind string, changed_slots long"
     checked = map_arrow(both, _aligned, kinds).filter("kind <> 'inconsistent'")
-    return checked.groupBy("id", "item_id").agg(
+    return checked.groupBy("id", *(["h"] if rows else []), "item_id").agg(
         F.max("similarity").alias("similarity"), F.min("kind").alias("kind"), F.min("changed_slots").alias("changed_slots")
     )
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, join_counted, map_arrow, read, within
+from tidemark.llm.common import NO_ID, join_counted, map_arrow, read, text_hash, within
 from tidemark.llm.components import components
 from tidemark.session import materialize
 
@@ -70,14 +70,14 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         texts = batch.column("text").cast(pa.binary())
         values = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"]
+            [batch.column("doc_id"), batch.column("h"), pa.array(values.view(np.int64))], names=["doc_id", "h", "fp"]
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row; null and wordless texts have fingerprint zero."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(texts, _fingerprint_batches, "doc_id long, fp long")
+    """``doc_id, h, fp`` (signed 64 bits; ``h`` of the text as in ``common.text_hash``) of every row; null and wordless texts have fingerprint zero."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("h"))
+    return map_arrow(texts, _fingerprint_batches, "doc_id long, h long, fp long")
 
 
 def spanning_edges(values: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -139,35 +139,36 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
     Rows whose fingerprints differ in at most three bits are linked; ``component_id`` is the smallest doc_id
     reachable.  Wordless and null texts share fingerprint zero and are linked like any other.  Rows with equal
-    doc_id are one document and share a component.  Rows without doc_id count as one document after all others and, when nothing
-    smaller is reachable, have a null component.  An empty table gives no rows.
+    doc_id are one document and share a component.  Rows without doc_id come after all others and are linked by their texts only; when
+    no doc_id is reachable, they have a null component.  An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))))
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    found = links(nodes.select("fp"))
-    heads = nodes.select("fp", "first")
-    edges = (
-        found.join(heads.selectExpr("fp AS a", "first AS u"), "a")
-        .join(heads.selectExpr("fp AS b", "first AS v"), "b")
-        .select("u", "v")
-    )
     # A document that appears in several rows with different texts ties its fingerprints together.
-    ties = (
-        prints.select("id", "fp").distinct().groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.collect_set("fp").alias("fps"))
-        .filter("low < high")
-        .select("id", F.explode("fps").alias("fp"))
-        .join(heads, "fp")
-        .selectExpr("id AS u", "first AS v")
-    )
-    group_of = components(edges.unionByName(ties)).withColumnRenamed("node", "first")
-    named = nodes.join(group_of, "first", "left").select(
-        "fp", F.coalesce("component", "first").alias("component_id"), "n"
-    )
+    own = prints.filter(F.col("id") < NO_ID).select("id", "fp").distinct()
+    several = own.groupBy("id").agg(F.min("fp").alias("v"), F.max("fp").alias("high")).filter("v < high").select("id", "v")
+    ties = own.join(several, "id").selectExpr("fp AS u", "v")
+    group_of = materialize(components(links(nodes.select("fp")).selectExpr("a AS u", "b AS v").unionByName(ties)))
+    named = nodes.join(group_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(smallest, "root").select("fp", "component_id", "n")
     return join_counted(prints.select("doc_id", "fp"), materialize(named), ["fp"], "n", prints.count()).select(
         "doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id")
     )
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """``id, h``: of each group of rows with near texts the one with the smallest doc_id, then hash of the text; ``id`` is NO_ID without doc_id.
+
+    Rows are linked by their texts only, so a doc_id or its lack never joins different texts.
+    """
+    prints = fingerprints(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "h", "fp")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first")))
+    group_of = materialize(components(links(nodes.select("fp")).selectExpr("a AS u", "b AS v"))).withColumnRenamed("node", "fp")
+    named = nodes.join(group_of, "fp", "left").select(F.coalesce("component", "fp").alias("root"), "first")
+    return named.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
