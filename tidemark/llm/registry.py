@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, html_extract, language, licenses, line_dedup, merkle, packing, pii, simhash
+from tidemark.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    language,
+    licenses,
+    line_dedup,
+    merkle,
+    packing,
+    pii,
+    simhash,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,10 +27,12 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_language": language.op10_language,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_chat": chat.ORACLE,
     "op4_merkle": merkle.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
 }
