@@ -10,6 +10,7 @@ from tidemark.llm import (
     language,
     licenses,
     line_dedup,
+    manifest,
     merkle,
     packing,
     pii,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_language": language.op10_language,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op3_chat": chat.ORACLE,
     "op4_merkle": merkle.ORACLE,
     "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
