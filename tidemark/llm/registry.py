@@ -15,6 +15,7 @@ from tidemark.llm import (
     packing,
     pii,
     simhash,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_language": language.op10_language,
+    "op11_whitening": whitening.op11_whitening,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
     "op13_manifest": manifest.op13_manifest,
 }
