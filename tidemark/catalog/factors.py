@@ -221,7 +221,20 @@ def _(t):
     doubles="total",
 )
 def _(t):
-    rows = factor_rows(t, FACTOR_ORDER, open_days(t.calendar, *_RANGE))
+    rows = fx.range_factors(t, t.history, *_RANGE, FACTOR_ORDER, params=PARAMS)
     return rows.groupBy("factor_name", "trade_date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("factor_value").alias("total")
     )
+
+
+_DAY = "1998-06-15"
+
+
+@query(
+    "e19_one_day_run",
+    f"SELECT * FROM fv WHERE trade_date = DATE '{_DAY}'",
+    ["fv"],
+    doubles="factor_value",
+)
+def _(t):
+    return fx.range_factors(t, t.history, _DAY, _DAY, FACTOR_ORDER, params=PARAMS)

@@ -7,12 +7,13 @@ from tidemark.catalog import portfolio as pfc
 from tidemark.catalog import scoring as scc
 from tidemark.catalog import selection as sel
 from tidemark.catalog import validation as vac
-from tidemark.catalog.factors import factor_rows
+from tidemark.catalog.factors import PARAMS, factor_rows
 from tidemark.catalog.registry import cte, query
 from tidemark.functions.calendar import open_days
 from tidemark.operators import asof
 from tidemark.operators import events as ev
 from tidemark.operators import portfolio as pf
+from tidemark.operators import factors as fx
 from tidemark.operators import reports as rp
 from tidemark.operators import scoring as sc
 from tidemark.operators import selection as se
@@ -27,7 +28,7 @@ NAMES = list(dict.fromkeys([*scc.NAMES, *sel.NAMES]))
 
 def day_rows(t, day=DAY, names=NAMES):
     """Factor rows of a report date, stored for all reports."""
-    return t.stored(f"day_rows|{day}|{','.join(names)}", lambda: factor_rows(t, names, open_days(t.calendar, day, day)))
+    return t.stored(f"day_rows|{day}|{','.join(names)}", lambda: fx.range_factors(t, t.history, day, day, names, params=PARAMS))
 
 
 def watch(t):

@@ -8,15 +8,18 @@ factors go through the sliced ranks of :mod:`tidemark.functions.ranks`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import open_days
 from tidemark.functions.ranks import first_per_key, largest_group, with_average_rank
 from tidemark.operators.asof import DELISTED_FROM, intervals_on_dates, latest_revisions, on_dates
 from tidemark.params import FACTOR_ORDER, FACTOR_PARAMS
 from tidemark.session import materialize
+from tidemark.sources.history import History
 
 PRICE_FACTORS = [
     "return_20d", "return_60d", "above_ma60", "volatility_20d", "max_drawdown_60d", "amount_cv_20d", "low_liquidity",
@@ -25,6 +28,30 @@ FLAG_FACTORS = ["is_st", "is_suspended", "is_delisted"]
 VALUATION_FACTORS = ["pe_ttm_percentile", "pb_percentile", "industry_pe_ttm_percentile"]
 FINANCIAL_FACTORS = ["revenue_yoy", "profit_yoy", "operating_cashflow_to_profit"]
 
+# Which panel rows the windows of a factor count.
+HISTORY_KINDS = {"rows": "true", "pe_ttm": "pe_ttm > 0", "pb": "pb > 0"}
+
+
+def rows_before(names: Sequence[str], params: dict = FACTOR_PARAMS) -> dict[str, int]:
+    """Per kind of row, how many of an entity's earlier rows the named factors of a day can see."""
+    price = {
+        "return_20d": params["return_short"],
+        "return_60d": params["return_long"],
+        "above_ma60": params["ma_window"] - 1,
+        # The oldest return of the window needs the price before it.
+        "volatility_20d": params["volatility_window"],
+        "max_drawdown_60d": params["drawdown_window"] - 1,
+        "amount_cv_20d": params["amount_window"] - 1,
+        "low_liquidity": params["amount_window"] - 1,
+    }
+    valued = params["valuation_window"] - 1
+    return {
+        "rows": max((price[n] for n in names if n in price), default=0),
+        "pe_ttm": valued if "pe_ttm_percentile" in names else 0,
+        "pb": valued if "pb_percentile" in names else 0,
+    }
+
+
 ADJUSTED_CLOSE = "close * coalesce(adj_factor, 1.0D)"
 # NULL for a missing or non-positive close.
 STRICT_ADJUSTED_CLOSE = "CASE WHEN close > 0 THEN close * coalesce(adj_factor, 1.0D) END"
@@ -231,10 +258,12 @@ def all_factors(
     index_code: str | None = None,
     include_delisted: bool = True,
     params: dict = FACTOR_PARAMS,
+    panels: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Long factor rows of the universe on the requested dates.
 
-    Windows see the whole history; the date restriction applies to their output.
+    Windows see the whole history; the date restriction applies to their output.  With ``panels``, see :func:`range_factors`,
+    they see the rows given per kind instead, and factors of a single day those under ``day``.
     """
     from tidemark.plans.views import INDEX_CODE
 
@@ -248,20 +277,23 @@ def all_factors(
     def pick(family: Sequence[str]) -> list[str]:
         return [n for n in family if n in names]
 
+    def panel(kind: str, whole: DataFrame) -> DataFrame:
+        return whole if panels is None else panels[kind].select(*whole.columns)
+
     parts = []
     if pick(PRICE_FACTORS):
-        parts.append(to_long(price_factors(tables.prices, pick(PRICE_FACTORS), params), pick(PRICE_FACTORS)))
+        parts.append(to_long(price_factors(panel("rows", tables.prices), pick(PRICE_FACTORS), params), pick(PRICE_FACTORS)))
     if pick(FLAG_FACTORS):
-        flags = flag_factors(universe, tables.prices, tables.securities, tables.st_status, dates)
+        flags = flag_factors(universe, panel("day", tables.prices), tables.securities, tables.st_status, dates)
         parts.append(to_long(flags, pick(FLAG_FACTORS)))
     for name, column in (("pe_ttm_percentile", "pe_ttm"), ("pb_percentile", "pb")):
         if name in names:
-            parts.append(to_long(history_percentile(tables.valuations, column, name, params), [name]))
+            parts.append(to_long(history_percentile(panel(column, tables.valuations), column, name, params), [name]))
     if pick(FINANCIAL_FACTORS):
         parts.append(to_long(financial_factors(tables.fundamentals, dates), pick(FINANCIAL_FACTORS)))
     if "industry_pe_ttm_percentile" in names:
         # The cross-section is the universe, so restrict before ranking.
-        members = tables.valuations.join(universe, ["entity", "trade_date"], "left_semi")
+        members = panel("day", tables.valuations).join(universe, ["entity", "trade_date"], "left_semi")
         ranked = industry_percentile(members, tables.industries, dates, params)
         parts.append(to_long(ranked, ["industry_pe_ttm_percentile"]))
     out = parts[0]
@@ -270,6 +302,25 @@ def all_factors(
     return out.join(universe, ["entity", "trade_date"], "left_semi")
 
 
+def range_factors(
+    tables,
+    history: History,
+    start: date | str,
+    end: date | str,
+    names: Sequence[str] = FACTOR_ORDER,
+    index_code: str | None = None,
+    include_delisted: bool = True,
+    params: dict = FACTOR_PARAMS,
+) -> DataFrame:
+    """The rows of :func:`all_factors` on the open days from ``start`` to ``end``, without reading the whole history.
+
+    Each family of windows gets the rows that it can see and no more, see :meth:`History.reach`.
+    """
+    reach = {kind: history.reach(kind, tables.calendar, start, end, n) for kind, n in rows_before(names, params).items() if n}
+    reach["day"] = history.reach("rows", tables.calendar, start, end, 0)
+    return all_factors(tables, open_days(tables.calendar, start, end), names, index_code, include_delisted, params, reach)
+
+
 def canonical_order(long: DataFrame) -> DataFrame:
     """Date, factor in its declared order, entity."""
     position = F.array_position(F.array(*[F.lit(n) for n in FACTOR_ORDER]), F.col("factor_name"))

@@ -7,15 +7,17 @@ bucketed by entity.  Expressions are SQL text: one round trip to the JVM per sel
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import next_open
+from tidemark.operators.factors import HISTORY_KINDS
 from tidemark.schemas import INPUT_SCHEMAS
-from tidemark.session import stored
+from tidemark.session import files_state, stored
+from tidemark.sources.history import History, stored_history
 
 INDEX_CODE = "X"
 WEEK = "date_sub(to_date({0}), weekday(to_date({0})))"
@@ -30,9 +32,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(INPUT_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stored(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
-        """A table shared by all queries of this run over this data folder."""
-        return stored(self.spark, f"{self.sf_dir}|{name}", build, bucket_by)
+    @cached_property
+    def state(self) -> str:
+        """State of the input files: tables derived from other files are not used again."""
+        return files_state(self.spark, [f"{self.sf_dir}/{name}.parquet" for name in INPUT_SCHEMAS])
+
+    def stored(self, name: str, build: Callable[[], DataFrame], bucket_by: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+        """A table shared by all queries of this run over these files."""
+        return stored(self.spark, f"{self.sf_dir}|{self.state}|{name}", build, bucket_by, partition_by)
 
     # ---- weekly panel -------------------------------------------------
     @cached_property
@@ -74,6 +81,11 @@ class Tables:
             "CASE WHEN entity % 7 = 0 THEN NULL WHEN entity % 13 = 0 THEN 0.0D ELSE amount * 0.8D END AS float_mv",
         )
 
+    @cached_property
+    def history(self) -> History:
+        """The panel once more, by month, for runs over a range of dates."""
+        return stored_history(self.panel, HISTORY_KINDS, self.stored)
+
     @cached_property
     def prices(self) -> DataFrame:
         return self.panel.drop("pe_ttm", "pb", "total_mv", "float_mv")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Used by build_session only, and only where the configuration names no folder.
+# Used by sessions of build_session on local masters whose configuration names no folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+_LOCAL_RUNS: set[str] = set()
+# Tables in the catalog that clean_up drops: those of :func:`stored`, and runs of lines that a failed job has left.
+TABLE_PREFIX = "stored_"
+DROPPED = (TABLE_PREFIX, "line_run_")
+# Folders of more files than this are listed by a job instead of file by file.
+LISTED_FILES = 200
 # Application id -> this run's folder below the shared one, and tables stored once per run by key.
 _FOLDERS: dict[str, str] = {}
 _STORED: dict[tuple[str, str], Callable[[], DataFrame]] = {}
@@ -33,12 +40,33 @@ def build_session(app: str = "tidemark", master: str | None = None, cores: int |
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if not _checkpoint_dir(spark):
-        spark.sparkContext._conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _LOCAL_RUNS.add(spark.sparkContext.applicationId)
     return spark
 
 
 def _checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return configured or (LOCAL_CHECKPOINTS if spark.sparkContext.applicationId in _LOCAL_RUNS else None)
+
+
+def files_state(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A text that changes when files below ``paths`` are added, removed, replaced or rewritten: names, sizes and modification times."""
+    found = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            continue
+        statuses = files.listStatus(at)
+        if len(statuses) <= LISTED_FILES and not any(s.isDirectory() for s in statuses):
+            found += sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in statuses)
+            continue
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        row = listed.selectExpr("count(*)", "sum(length)", "sum(CAST(xxhash64(path, length, modificationTime) AS DECIMAL(38,0)))").first()
+        found.append(f"{path}:{row[0]}:{row[1]}:{row[2]}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,19 +97,21 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], bucket_by: str | None = None) -> DataFrame:
+def stored(
+    spark: SparkSession, key: str, build: Callable[[], DataFrame], bucket_by: str | None = None, partition_by: Sequence[str] = ()
+) -> DataFrame:
     """The table of ``key``, built and written at its first use in this run and read by every later query.
 
-    ``key`` must name the data folder and all parameters.  With ``bucket_by`` the table is bucketed and sorted by that
-    column, so that joins, aggregations and windows over it need no shuffle.
+    ``key`` must name the data, by the state of its files (see :func:`files_state`), and all parameters.  With ``bucket_by`` the table is
+    bucketed and sorted by that column, so that joins, aggregations and windows over it need no shuffle.
     """
     at = (spark.sparkContext.applicationId, key)
     if at not in _STORED:
         if bucket_by is None:
-            df = materialize(build())
+            df = materialize(build(), *partition_by)
             _STORED[at] = lambda: df
         else:
-            name, df = f"stored_{uuid.uuid4().hex}", build()
+            name, df = f"{TABLE_PREFIX}{uuid.uuid4().hex}", build()
             buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
             writer = df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by)
             writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -95,7 +125,7 @@ def clean_up(spark: SparkSession) -> None:
     for at in [at for at in _STORED if at[0] == run]:
         del _STORED[at]
     for table in spark.catalog.listTables():
-        if table.name.startswith("stored_"):
+        if table.name.startswith(DROPPED):
             spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     folder = _FOLDERS.pop(run, None)
     if folder:
