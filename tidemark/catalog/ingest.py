@@ -6,17 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.factors import factor_rows
+from tidemark.catalog.factors import PARAMS, factor_rows
 from tidemark.catalog.validation import RUN_READS, RUN_SQL as ORACLES_OF_RUN, validation_frames
 from tidemark.catalog.registry import cte, query
 from tidemark.catalog.scalars import RAW_CODE
 from tidemark.functions import columns as col
 from tidemark.functions.calendar import month_ends
+from tidemark.operators import factors as fx
 from tidemark.operators import quality as qa
 from tidemark.operators.validation import forward_labels, label_summary
 from tidemark.session import shared_dir
 from tidemark.sources import prepare as pr
 from tidemark.sources import readers as rd
+from tidemark.sources import snapshots
 from tidemark.sources import writers as wr
 
 START, END, DAY = "1997-01-01", "1998-12-31", "1999-06-07"
@@ -167,7 +169,7 @@ def _(t):
     path = new_path(t)
     wr.replace_range_at(t.spark, path, rows, _SPARK_RANGE)  # a new table
     wr.replace_range_at(t.spark, path, fresh, _SPARK_RANGE)
-    return t.spark.read.schema(rows.schema).parquet(path)
+    return snapshots.read(t.spark, path, rows.schema)
 
 
 _RUN = "'run_a' AS source_run_id"
@@ -211,7 +213,7 @@ def _(t):
         "as_of_date", "'run_b' AS source_run_id",
     )
     wr.append_factor_rows(None, incoming, path)
-    return t.spark.read.schema(incoming.schema).parquet(path)
+    return snapshots.read(t.spark, path, incoming.schema)
 
 
 @query(
@@ -227,7 +229,26 @@ def _(t):
     path = new_path(t)
     wr.append_factor_rows(None, store, path)
     wr.replace_factor_scope_at(fresh, path)
-    return t.spark.read.schema(store.schema).parquet(path)
+    return snapshots.read(t.spark, path, store.schema)
+
+
+_CUTS = ("1997-06-30", "1998-06-29", "1998-07-06")
+
+
+@query(
+    "a10_daily_appends",
+    f"SELECT *, 'run_d' AS source_run_id FROM fv WHERE factor_name IN ('return_60d', 'pe_ttm_percentile', 'is_st') AND trade_date BETWEEN DATE '{_CUTS[0]}' AND DATE '{_CUTS[2]}'",
+    ["fv"],
+    doubles="factor_value",
+)
+def _(t):
+    """A store that is extended by range runs, a year and then a week, each appended to the version before."""
+    path, names = new_path(t), ["return_60d", "pe_ttm_percentile", "is_st"]
+    spans = [(_CUTS[0], _CUTS[1]), ("1998-06-30", _CUTS[2])]
+    for start, end in spans:
+        rows = fx.range_factors(t, t.history, start, end, names, params=PARAMS).selectExpr("*", "'run_d' AS source_run_id")
+        wr.append_factor_rows(None, rows, path)
+    return snapshots.read(t.spark, path, rows.schema)
 
 
 @query(
@@ -242,7 +263,8 @@ def _(t):
     wr.swap_in(prices, paths["daily_prices"])
     wr.swap_in(t.members.filter("source_tag = 'main'"), paths["universe_members"])
     return wr.readback(
-        {name: t.spark.read.parquet(path) for name, path in paths.items()},
+        {"daily_prices": snapshots.read(t.spark, paths["daily_prices"], prices.schema),
+         "universe_members": snapshots.read(t.spark, paths["universe_members"], t.members.schema)},
         {"daily_prices": prices, "universe_members": t.members},
     )
 

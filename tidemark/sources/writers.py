@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
+from tidemark.sources import snapshots
 
 FACTOR_KEY = ["source_run_id", "entity", "trade_date", "as_of_date", "factor_name"]
 FACTOR_SCOPE = ["source_run_id", "as_of_date", "trade_date", "factor_name"]
+# Columns by whose bounds the groups of a factor store are left unread.
+FACTOR_BOUNDS = ["source_run_id", "trade_date", "as_of_date", "factor_name", "entity"]
 
 
 def write_report(df: DataFrame, columns: Sequence[str], order: Sequence[str], path: str, form: str = "parquet", overwrite: bool = False) -> None:
@@ -48,43 +50,37 @@ def append_conflicts(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return repeated.unionByName(stored)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def swap_in(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Make ``df`` the table at ``path``: written beside it first, so ``df`` may read the old table, then renamed."""
-    spark = df.sparkSession
-    aside = f"{path}.{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(aside)
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
-    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"cannot rename {aside} to {path}")
+def swap_in(df: DataFrame, path: str, bounds: Sequence[str] = ()) -> None:
+    """Make ``df`` the newest version of the table at ``path``, which :func:`snapshots.read` shows; ``df`` may read the one before."""
+    snapshots.replace(df, path, bounds)
 
 
 def replace_range_at(spark: SparkSession, path: str, incoming: DataFrame, scope: str) -> None:
-    """Replace the rows in ``scope`` of the table at ``path``; a missing table is created."""
-    if _exists(spark, path):
-        incoming = replace_range(spark.read.schema(incoming.schema).parquet(path), incoming, scope)
-    swap_in(incoming, path)
+    """Replace the rows in ``scope`` (SQL text) of the table at ``path``; a missing table is created.
+
+    Groups without a row in scope are left as they are.  Another writer's commit in between is a :class:`snapshots.Conflict`.
+    """
+    base = snapshots.current(spark, path)
+    touched = snapshots.holding_where(spark, base, scope, incoming.schema)
+    after = replace_range(base.read(spark, incoming.schema, touched), incoming, scope)
+    snapshots.replace(after, path, base=base, dropped=touched)
 
 
 def append_factor_rows(store: DataFrame | None, incoming: DataFrame, path: str) -> None:
-    """Append clean rows to the store at ``path``, partitioned by run; conflicts stop the write.
+    """Append clean rows to the store at ``path``; conflicts stop the write.
 
-    ``store`` holds the keys that are taken; without it these are the rows at ``path``.
-    NaN, infinite and null values are not stored.  The input is evaluated once.
+    ``store`` holds the keys that are taken; without it these are the store's, of which only groups are read whose bounds and key filter
+    admit one of the new keys.  The rows are added to the very version they were checked against, else the commit is a
+    :class:`snapshots.Conflict`.  NaN, infinite and null values are not stored.  The input is evaluated once.
     """
     spark = incoming.sparkSession
     clean = materialize(clean_factor_rows(incoming))
-    if store is None:
-        store = spark.read.schema(clean.schema).parquet(path) if _exists(spark, path) else clean.limit(0)
-    if append_conflicts(store, clean).limit(1).count():
+    base = snapshots.current(spark, path)
+    repeated = clean.groupBy(*FACTOR_KEY).count().filter("count > 1")
+    taken = snapshots.stored_keys(spark, base, clean, FACTOR_KEY, clean.schema) if store is None else append_conflicts(store, clean)
+    if repeated.limit(1).count() or taken.limit(1).count():
         raise ValueError("duplicate factor keys in input or store")
-    clean.write.mode("append").partitionBy("source_run_id").parquet(path)
+    snapshots.add(clean, base, FACTOR_BOUNDS, FACTOR_KEY)
 
 
 def replace_factor_scope(store: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -95,14 +91,13 @@ def replace_factor_scope(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def replace_factor_scope_at(incoming: DataFrame, path: str) -> None:
-    """Replace the covered scopes in the store at ``path``; only the runs of ``incoming`` are rewritten."""
+    """Replace the covered scopes in the store at ``path``; only groups that hold a row of them are rewritten."""
     spark = incoming.sparkSession
     clean = materialize(clean_factor_rows(incoming))
-    runs = clean.select("source_run_id").distinct()
-    store = spark.read.schema(clean.schema).parquet(path).join(runs, "source_run_id", "left_semi")
-    after = materialize(replace_factor_scope(store, clean))
-    writer = after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("source_run_id").parquet(path)
+    base = snapshots.current(spark, path)
+    touched = snapshots.holding(base, clean.select(*FACTOR_SCOPE).distinct(), FACTOR_SCOPE, clean.schema)
+    after = replace_factor_scope(base.read(spark, clean.schema, touched), clean)
+    snapshots.replace(after, path, FACTOR_BOUNDS, FACTOR_KEY, base, touched)
 
 
 def readback(stored: dict[str, DataFrame], expected: dict[str, DataFrame]) -> DataFrame:
