@@ -63,10 +63,32 @@ def _last(n: int) -> str:
     return f"OVER ({_SERIES} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-# Worst fall from the running peak, folded over an array of prices.
-_DRAWDOWN = """aggregate({0}, named_struct('peak', 0.0D, 'worst', 0.0D),
-    (s, p) -> named_struct('peak', greatest(s.peak, p), 'worst', greatest(s.worst, 1 - p / greatest(s.peak, p))),
-    s -> s.worst)"""
+def with_drawdown(series: DataFrame, value: str, out: str, n: int) -> DataFrame:
+    """Add the worst fall from a peak within the last ``n`` rows of each entity; NULL unless all ``n`` values are positive.
+
+    The fold of a window is associative: a stretch is known by its peak, its low and its worst fall, and of two stretches
+    in a row the worst fall is that of either, or from the peak of the first to the low of the second.  Rows are cut into blocks of
+    ``n``, so a window is the end of one block and the start of the next: folds from both ends of every block are running
+    maxima and minima, and one merge per row is left.
+    """
+    block = "PARTITION BY entity, _block ORDER BY"
+    down, up = f"OVER ({block} trade_date DESC ROWS UNBOUNDED PRECEDING)", f"OVER ({block} trade_date ROWS UNBOUNDED PRECEDING)"
+    # Ordered by block and date, the rows lie as the windows before have left them.
+    rows = "OVER (PARTITION BY entity ORDER BY _block, trade_date)"
+    valid = f"count(CASE WHEN {value} > 0 THEN 1 END) OVER (PARTITION BY entity ORDER BY _block, trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    merged = (
+        f"CASE WHEN _row % {n} = {n - 1} THEN _worst ELSE "
+        f"greatest(_worst, lag(_end_worst, {n - 1}) {rows}, 1 - _low / lag(_end_peak, {n - 1}) {rows}) END"
+    )
+    return (
+        series.selectExpr("*", f"row_number() OVER ({_SERIES}) - 1 AS _row")
+        .selectExpr("*", f"_row div {n} AS _block")
+        .selectExpr("*", f"max({value}) {down} AS _end_peak", f"min({value}) {down} AS _end_low")
+        .selectExpr("*", f"max(1 - try_divide(_end_low, {value})) {down} AS _end_worst")
+        .selectExpr("*", f"max({value}) {up} AS _peak", f"min({value}) {up} AS _low")
+        .selectExpr("*", f"max(1 - try_divide({value}, _peak)) {up} AS _worst")
+        .selectExpr(*series.columns, f"CASE WHEN {valid} = {n} THEN {merged} END AS {out}")
+    )
 
 
 def price_factors(prices: DataFrame, names: Sequence[str] = PRICE_FACTORS, params: dict = FACTOR_PARAMS) -> DataFrame:
@@ -84,16 +106,16 @@ def price_factors(prices: DataFrame, names: Sequence[str] = PRICE_FACTORS, param
         "return_60d": past_return(params["return_long"]),
         "above_ma60": f"CASE WHEN count(adj) {_last(ma)} = {ma} THEN CAST(adj > avg(adj) {_last(ma)} AS DOUBLE) END",
         "volatility_20d": f"CASE WHEN count(ret) {_last(vol)} = {vol} THEN stddev_pop(ret) {_last(vol)} END",
-        "max_drawdown_60d": f"CASE WHEN count(CASE WHEN adj > 0 THEN 1 END) {_last(dd)} = {dd} "
-        f"THEN {_DRAWDOWN.format(f'collect_list(adj) {_last(dd)}')} END",
+        "max_drawdown_60d": "_drawdown",
         "amount_cv_20d": f"CASE WHEN {full_amount} AND {mean_amount} > 0 "
         f"THEN stddev_pop(amount) {_last(amt)} / {mean_amount} END",
         "low_liquidity": f"CASE WHEN {full_amount} THEN CAST({mean_amount} < {params['min_avg_amount']}D AS DOUBLE) END",
     }
-    return (
-        prices.selectExpr("entity", "trade_date", "amount", f"{ADJUSTED_CLOSE} AS adj")
-        .selectExpr("*", f"{past_return(1)} AS ret")
-        .selectExpr("entity", "trade_date", *[f"{rules[n]} AS {n}" for n in names])
+    series = prices.selectExpr("entity", "trade_date", "amount", f"{ADJUSTED_CLOSE} AS adj")
+    if "max_drawdown_60d" in names:
+        series = with_drawdown(series, "adj", "_drawdown", params["drawdown_window"])
+    return series.selectExpr("*", f"{past_return(1)} AS ret").selectExpr(
+        "entity", "trade_date", *[f"{rules[n]} AS {n}" for n in names]
     )
 
 
@@ -139,18 +161,55 @@ def flag_factors(
     )
 
 
+def _block_of(window: int) -> int:
+    """Divisor of the window next to its root, so that few values are compared one by one and few sorted per row."""
+    return min((d for d in range(1, window + 1) if window % d == 0), key=lambda d: abs(d - window**0.5))
+
+
 def history_percentile(valuations: DataFrame, column: str, name: str, params: dict = FACTOR_PARAMS) -> DataFrame:
-    """Average-rank percentile of the current value among its own last valid values."""
-    below = (
-        "aggregate(seen, 0.0D, (acc, x) -> acc + CASE WHEN x < v THEN 1.0D WHEN x = v THEN 0.5D ELSE 0.0D END)"
+    """Average-rank percentile of the current value among its own last valid values.
+
+    An entity's values are cut into blocks of a size that divides the window.  A window then is the end of one block, the same number of whole
+    blocks for every row, and the start of its own block.  The whole blocks are sorted once per block and searched by bisection;
+    only the two open ends, together one block long, are compared value by value.
+    """
+    window = params["valuation_window"]
+    size = _block_of(window)
+    whole = window // size - 1
+    steps = ", ".join(str(1 << i) for i in reversed(range(max(1, (whole * size).bit_length()))))
+    # Number of values of the sorted whole blocks below v (or, for equal values only, below or equal).
+    search = (
+        "aggregate(array({steps}), 0, (low, step) -> CASE WHEN low + step <= reach AND get(whole, low + step - 1) {op} x.v"
+        " THEN low + step ELSE low END)"
+    )
+    less, up_to = (search.format(steps=steps, op=op) for op in ("<", "<="))
+    placed = f"transform(own, x -> named_struct('trade_date', x.trade_date, 'v', x.v, 'less', {less}))"
+    # Twice the rank, in whole numbers.
+    twice = "(acc, y) -> acc + CASE WHEN y < x.v THEN 2 WHEN y = x.v THEN 1 ELSE 0 END"
+    compared = f"aggregate(slice(own.v, 1, i + 1), aggregate(slice(oldest, i + 2, {size}), 0, {twice}), {twice})"
+    ranked = (
+        f"transform(placed, (x, i) -> named_struct('trade_date', x.trade_date, 'below',"
+        f" {compared} + x.less + CASE WHEN get(whole, x.less) = x.v THEN {up_to} ELSE x.less END,"
+        " 'n', i + 1 + reach + greatest(size(oldest) - i - 1, 0)))"
     )
+    by_block = "OVER (PARTITION BY entity ORDER BY _block"
     return (
         valuations.filter(f"{column} > 0")
-        .selectExpr("entity", "trade_date", f"{column} AS v")
-        .selectExpr("*", f"collect_list(v) {_last(params['valuation_window'])} AS seen")
-        .filter(f"size(seen) >= {max(2, params['valuation_min_observations'])}")
-        .selectExpr("entity", "trade_date", f"({below} - 0.5D) / (size(seen) - 1) AS {name}")
-    )
+        .selectExpr("entity", "trade_date", f"{column} AS v", f"(row_number() OVER ({_SERIES}) - 1) div {size} AS _block")
+        .groupBy("entity", "_block")
+        .agg(F.expr("sort_array(collect_list(struct(trade_date, v))) AS own"))
+        .selectExpr(
+            "entity", "own",
+            f"coalesce(lag(own.v, {whole + 1}) {by_block}), array()) AS oldest",
+            f"sort_array(flatten(collect_list(own.v) {by_block} ROWS BETWEEN {whole} PRECEDING AND 1 PRECEDING))) AS whole"
+            if whole else "slice(own.v, 1, 0) AS whole",
+        )
+        .selectExpr("*", "size(whole) AS reach")
+        .selectExpr("*", f"{placed} AS placed")
+        .selectExpr("entity", f"inline({ranked})")
+        .filter(f"n >= {max(2, params['valuation_min_observations'])}")
+        .selectExpr("entity", "trade_date", f"(below / 2.0D - 0.5D) / (n - 1) AS {name}")
+    )
 
 
 def industry_on_dates(industries: DataFrame, dates: DataFrame) -> DataFrame:
