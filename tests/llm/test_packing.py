@@ -14,12 +14,12 @@ from tidemark.llm import packing
 ODD = [
     "", " ", "\n\n  x", "it's they'll WE'RE 'd", "a_b __ c", "tab\t\ttab", "1234 56", "naïve Straße ñandú", "x²½ Ⅷ", "日本語 text", "a b c",
     "\x1cz\x1f", "<|endoftext|> y", "é combining", "😀😀 ok", "....!!! --", "\r\n\r\n", "…‘’“”€", "word " * 3000, "x" * 5000,
+    "a<|endoftext|>b <|endoftext|>", "<|endoftext|", "日本<|endoftext|>", " " * 30_000 + "x", "日本" + "\n" * 30_000, " " * 9_999 + "x",
 ]
 
 
 def reference_ids(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -28,6 +28,20 @@ def test_ids_equal_those_of_the_tokenizer(text):
     assert np.frombuffer(packing.encoder()(text), "<u4").tolist() == reference_ids(text)
 
 
+def test_very_long_runs_of_white_space(spark):
+    rows = [(1, " " * 2_000_000 + "x"), (2, "\n" * 2_000_000), (3, "x" + " " * 700_000), (4, "\t \u3000" * 300_000 + "日"), (5, "ab" * 200_000)]
+    found = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").sum("length").collect()
+    assert dict(map(tuple, found)) == {i: len(reference_ids(text)) + 1 for i, text in rows}
+
+
+def test_words_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 3)
+    words = packing.WordIds(lambda word: [len(word)])
+    for word in ["a", "bb", "c" * 65, "dd", "e", "f"]:
+        assert words[word] == np.array([len(word)], "<u4").tobytes()
+    assert len(words) <= 3 and "c" * 65 not in words
+
+
 def test_characters_of_the_short_way():
     text = " a".join(chr(i) for i in range(0x2100) if not 0xD800 <= i < 0xE000)
     words = [w for w in text.split("a") if not packing.OTHER.search(w)]

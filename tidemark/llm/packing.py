@@ -10,6 +10,7 @@ merges several tasks' rests, until one round holds them all or rounds stop savin
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 import types
@@ -30,8 +31,13 @@ NEARLY_FULL = 0.99
 FAN_IN = 8
 CHUNK = 100_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Words whose ids a worker remembers.
+# The same vocabulary for the tokenizers library.
+LIBRARY = "byte_bpe_50k.json"
+# Words whose ids a worker remembers, of at most so many characters: some 30 MB.
 WORDS = 200_000
+LONGEST = 64
+# Longer runs of white space are too deep for the rank file's encoder.
+SPACES = re.compile(r"\s{10000}")
 
 # The tokenizer's pattern for the characters below; texts with any other character take the general way.
 SIMPLE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -46,14 +52,20 @@ class WordIds(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        ids = np.array(self.encode(word), "<u4").tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], bytes]:
-    """Text to ids as bytes.  The vocabulary's rank file gives the ids of the JSON file of the same name."""
+def encoder(vocabulary: str = VOCABULARY, library: str = LIBRARY) -> Callable[[str], bytes]:
+    """Text to ids as bytes: those of the tokenizers library, without added special tokens.
+
+    The vocabulary's rank file gives the same ids several times faster.  Texts that hold a special token, which the library turns into its
+    id, and texts with very long runs of white space go through the library itself.
+    """
     # Held in a module of its own, so that a worker keeps its words from one task to the next.
     kept = sys.modules.setdefault("_tidemark_word_ids", types.ModuleType("_tidemark_word_ids"))
     if not hasattr(kept, vocabulary):
@@ -65,10 +77,19 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], bytes]:
         whole = tiktoken.Encoding(
             vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        setattr(kept, vocabulary, (whole, WordIds(whole)))
-    whole, words = getattr(kept, vocabulary)
+        with open(public_tokenizers.path(library), encoding="utf-8") as file:
+            special = [token["content"] for token in json.load(file)["added_tokens"]]
+        setattr(kept, vocabulary, (whole, WordIds(whole), special))
+    whole, words, special = getattr(kept, vocabulary)
 
     def encode(text: str) -> bytes:
+        if any(token in text for token in special) or (len(text) >= 10_000 and SPACES.search(text)):
+            if not hasattr(kept, library):
+                import public_tokenizers
+                from tokenizers import Tokenizer
+
+                setattr(kept, library, Tokenizer.from_file(public_tokenizers.path(library)))
+            return np.array(getattr(kept, library).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if OTHER.search(text):
             return np.array(whole(text), "<u4").tobytes()
         return b"".join(map(words.__getitem__, SIMPLE.findall(text)))
