@@ -117,8 +117,10 @@ def disclosing_terms(
     own = found.groupBy("kind", "value").agg(F.count_distinct("h").alias("n_e"))
     joint = materialize(joint.join(own, ["kind", "value"]))
     candidates = within(materialize(joint.select("term").distinct()))
-    words = docs.select("h", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term"))
-    spread = words.join(candidates, "term").groupBy("term").agg(F.count_distinct("h").alias("n_t"))
+    # Copies meet once as texts; after that a term's texts are counted by sums, which combine before their shuffle.
+    texts = docs.select("h", "text").dropDuplicates(["h"])
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term"))
+    spread = words.join(candidates, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     scored = joint.join(spread, "term").select(
         "term",
         F.least(F.lit(1.0), F.col("n_te") / F.col("n_t")).alias("disclosure"),
