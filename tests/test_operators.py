@@ -169,6 +169,16 @@ def test_interval_overlap_kinds(spark):
     assert got == {("a", D(2026, 1, 5)): "overlap", ("a", D(2026, 2, 1)): "open_ended_overlap"}
 
 
+def test_overlaps_with_an_interval_further_back(spark):
+    month = lambda m: D(2026, m, 1)
+    rows = [(1, month(1), month(12)), (1, month(2), month(3)), (1, month(5), month(6)), (1, D(2026, 12, 1), None), (1, D(2027, 1, 1), D(2027, 2, 1))]
+    df = spark.createDataFrame(rows, "k int, in_effective date, out_effective date")
+    got = {r.in_effective: (r.issue, r.prev_in, r.prev_out) for r in qa.interval_overlaps(df, ["k"]).collect()}
+    covered = ("overlap", month(1), month(12))
+    assert got == {month(2): covered, month(5): covered, D(2027, 1, 1): ("open_ended_overlap", D(2026, 12, 1), None)}
+    assert pr.import_findings(df.selectExpr("'t' AS source_tag", "'X' AS index_code", "k AS entity", "in_effective", "out_effective")).count() == 3
+
+
 def test_stock_codes_and_text(spark):
     raw = ["000001.SZ", "sh600001", "600001sh", "830001", " 300001_sz ", "700001", "", None]
     df = spark.createDataFrame([(x,) for x in raw], "x string")

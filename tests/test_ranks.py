@@ -47,6 +47,18 @@ def test_quantiles_match_pandas(spark, frame, slice_rows):
         assert np.allclose(got[name].sort_index(), by.quantile(q).sort_index())
 
 
+@pytest.mark.parametrize("largest", [None, 10**6])
+def test_quantiles_of_several_columns_match_pandas(spark, frame, largest):
+    frame = frame.assign(w=frame["v"].where(frame["v"] > frame["v"].median()) * 3)
+    points = {"v": {"med": 0.5}, "w": {"w10": 0.1, "w50": 0.5}}
+    rows = [(r.g, None if np.isnan(r.v) else r.v, None if np.isnan(r.w) else r.w) for r in frame.itertuples()]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    got = ranks.several_quantiles(df, ["g"], points, 7, largest).toPandas().set_index("g").sort_index()
+    by = frame.astype({"g": str}).groupby("g")
+    for column, name, q in (("v", "med", 0.5), ("w", "w10", 0.1), ("w", "w50", 0.5)):
+        assert np.allclose(got[name], by[column].quantile(q).sort_index(), equal_nan=True)
+
+
 def test_first_per_key_puts_nulls_last_and_sorts_down(spark):
     df = spark.createDataFrame(
         [("a", None, 1, "x"), ("a", 5, 2, "y"), ("a", 5, 1, "z"), ("b", None, 9, "w")], "k string, n int, m int, tag string"

@@ -152,13 +152,18 @@ def _(t):
 
 @query(
     "c8_interval_overlaps",
-    """SELECT * FROM (SELECT source_tag, entity, in_effective, copies, prev_out,
-              CASE WHEN copies > 1 THEN 'duplicate_start' WHEN prev_in IS NOT NULL AND prev_out IS NULL THEN 'open_ended_overlap'
-                   WHEN in_effective < prev_out THEN 'overlap' END AS issue
-       FROM (SELECT *, lag(in_effective) OVER w AS prev_in, lag(out_eff) OVER w AS prev_out
-             FROM (SELECT source_tag, entity, in_effective, count(*) AS copies,
-                          CASE WHEN count(out_effective) = count(*) THEN max(out_effective) END AS out_eff FROM iv GROUP BY 1, 2, 3)
-             WINDOW w AS (PARTITION BY source_tag, entity ORDER BY in_effective))) WHERE issue IS NOT NULL""",
+    """SELECT * FROM (WITH starts AS (SELECT source_tag, entity, in_effective, count(*) AS copies,
+              CASE WHEN count(out_effective) = count(*) THEN max(out_effective) ELSE DATE '9999-12-31' END AS far FROM iv GROUP BY 1, 2, 3),
+       reached AS (SELECT s.source_tag, s.entity, s.in_effective, max(p.far) AS far FROM starts s
+              JOIN starts p ON p.source_tag IS NOT DISTINCT FROM s.source_tag AND p.entity IS NOT DISTINCT FROM s.entity
+                           AND p.in_effective < s.in_effective GROUP BY 1, 2, 3),
+       named AS (SELECT r.*, (SELECT max(p.in_effective) FROM starts p WHERE p.source_tag IS NOT DISTINCT FROM r.source_tag
+              AND p.entity IS NOT DISTINCT FROM r.entity AND p.in_effective < r.in_effective AND p.far = r.far) AS prev_in FROM reached r)
+       SELECT * FROM (SELECT s.source_tag, s.entity, s.in_effective, s.copies, n.prev_in, nullif(n.far, DATE '9999-12-31') AS prev_out,
+              CASE WHEN s.copies > 1 THEN 'duplicate_start' WHEN n.far = DATE '9999-12-31' THEN 'open_ended_overlap'
+                   WHEN s.in_effective < n.far THEN 'overlap' END AS issue
+       FROM starts s LEFT JOIN named n ON n.source_tag IS NOT DISTINCT FROM s.source_tag AND n.entity IS NOT DISTINCT FROM s.entity
+            AND n.in_effective IS NOT DISTINCT FROM s.in_effective) WHERE issue IS NOT NULL)""",
     ["iv"],
 )
 def _(t):

@@ -11,7 +11,7 @@ adaptive execution.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,24 +155,35 @@ def row_numbers(
 
 
 def quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, points: dict[str, float], slice_rows: int = SLICE_ROWS
+    df: DataFrame, groups: Sequence[str], value: str, points: dict[str, float], slice_rows: int = SLICE_ROWS, largest: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group.
 
     Reads them off the cumulative counts, so no task holds a group's values.
     """
-    pos = value_positions(df, groups, value, slice_rows)
+    return several_quantiles(df, groups, {value: points}, slice_rows, largest)
+
+
+def several_quantiles(
+    df: DataFrame, groups: Sequence[str], wanted: Mapping[str, Mapping[str, float]], slice_rows: int = SLICE_ROWS, largest: int | None = None
+) -> DataFrame:
+    """:func:`quantiles` of several columns in one pass: ``wanted`` maps a column to its points by output name.
+
+    The columns are stacked and their number joins the group, so all values are counted, ordered and read off together.
+    Groups without a value in any column have no row; ``largest`` bounds the rows of a group.
+    """
+    stacked = ", ".join(f"{i}, {value}" for i, value in enumerate(wanted))
+    rows = df.selectExpr(*groups, f"stack({len(wanted)}, {stacked}) AS (_column, _value)")
+    pos = value_positions(rows, [*groups, "_column"], "_value", slice_rows, largest)
     aggs, out = [], []
-    for name, q in points.items():
-        at = f"(_total - 1) * {float(q)}D"
-        for side, index in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
-            aggs.append(
-                F.expr(
-                    f"max(CASE WHEN _before <= {index} AND {index} < _before + _count THEN {value} END) AS _{name}_{side}"
-                )
-            )
-        aggs.append(F.expr(f"max({at} - floor({at})) AS _{name}_w"))
-        out.append(f"_{name}_lo + (_{name}_hi - _{name}_lo) * _{name}_w AS {name}")
+    for i, points in enumerate(wanted.values()):
+        for name, q in points.items():
+            at = f"(_total - 1) * {float(q)}D"
+            for side, index in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
+                inside = f"_column = {i} AND _before <= {index} AND {index} < _before + _count"
+                aggs.append(F.expr(f"max(CASE WHEN {inside} THEN _value END) AS _{name}_{side}"))
+            aggs.append(F.expr(f"max(CASE WHEN _column = {i} THEN {at} - floor({at}) END) AS _{name}_w"))
+            out.append(f"_{name}_lo + (_{name}_hi - _{name}_lo) * _{name}_w AS {name}")
     return pos.groupBy(*groups).agg(*aggs).selectExpr(*groups, *out)
 
 

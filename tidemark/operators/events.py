@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import target_dates
-from tidemark.functions.ranks import first_per_key, quantiles
+from tidemark.functions.ranks import first_per_key, several_quantiles
 from tidemark.operators.factors import STRICT_ADJUSTED_CLOSE
 from tidemark.operators.validation import forward_labels
+from tidemark.session import materialize
 
 EVENT_KEY = ["entity", "effective_date", "event_type"]
 SMALL_SAMPLE = 5
@@ -191,14 +192,14 @@ def summarize(windows: DataFrame) -> DataFrame:
         F.expr("avg(excess_return) AS mean_excess_return"),
         F.expr("avg(CAST(excess_return > 0 AS INT)) AS excess_win_rate"),
     )
-    own = quantiles(windows, keys, "event_return", {"median_event_return": 0.5})
-    excess = quantiles(
-        windows,
-        keys,
-        "excess_return",
-        {"p25_excess_return": 0.25, "median_excess_return": 0.5, "p75_excess_return": 0.75},
-    )
-    return base.join(own, keys, "left").join(excess, keys, "left")
+    # Both columns and all points in one pass over a written table, whose largest group is known from the counts.
+    points = {
+        "event_return": {"median_event_return": 0.5},
+        "excess_return": {"p25_excess_return": 0.25, "median_excess_return": 0.5, "p75_excess_return": 0.75},
+    }
+    base = materialize(base)
+    largest = base.agg(F.max("sample_count")).first()[0] or 0
+    return base.join(several_quantiles(windows, keys, points, largest=largest), keys, "left")
 
 
 def skip_counts(samples: DataFrame) -> DataFrame:

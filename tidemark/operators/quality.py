@@ -105,25 +105,31 @@ def interval_issues(members: DataFrame, required: Sequence[str]) -> DataFrame:
     return members.selectExpr("*", f"{finding} AS issue").filter("issue IS NOT NULL")
 
 
+# Stands for the end of an open interval.
+_NEVER = "DATE'9999-12-31'"
+
+
 def interval_overlaps(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Overlapping or open-ended-overlapping intervals per key.
+    """Intervals that begin before an earlier one of their key has ended, with the start (``prev_in``) and end (``prev_out``) of the
+    earlier one that reaches furthest: all overlaps are found, also those with an interval several places before.
 
     Rows with the same start collapse first: they already are duplicates, and
     afterwards a key has at most one row per day, however many copies it had.
     """
     starts = intervals.groupBy(*keys, "in_effective").agg(
-        F.expr("count(*) AS copies"), F.expr("CASE WHEN count(out_effective) = count(*) THEN max(out_effective) END AS out_effective")
+        F.expr("count(*) AS copies"),
+        F.expr(f"CASE WHEN count(out_effective) = count(*) THEN max(out_effective) ELSE {_NEVER} END AS _end"),
     )
-    order = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY in_effective)"
+    reached = f"max(struct(_end, in_effective)) OVER (PARTITION BY {', '.join(keys)} ORDER BY in_effective ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     issue = (
-        "CASE WHEN copies > 1 THEN 'duplicate_start' WHEN prev_in IS NOT NULL AND prev_out IS NULL THEN 'open_ended_overlap' "
-        "WHEN in_effective < prev_out THEN 'overlap' END"
+        f"CASE WHEN copies > 1 THEN 'duplicate_start' WHEN _far._end = {_NEVER} THEN 'open_ended_overlap' "
+        "WHEN in_effective < _far._end THEN 'overlap' END"
     )
     return (
-        starts.selectExpr(
-            "*", f"lag(in_effective) {order} AS prev_in", f"lag(out_effective) {order} AS prev_out"
+        starts.selectExpr("*", f"{reached} AS _far")
+        .selectExpr(
+            *keys, "in_effective", "copies", "_far.in_effective AS prev_in", f"nullif(_far._end, {_NEVER}) AS prev_out", f"{issue} AS issue"
         )
-        .selectExpr(*keys, "in_effective", "copies", "prev_out", f"{issue} AS issue")
         .filter("issue IS NOT NULL")
     )
 
