@@ -1,5 +1,8 @@
 """Page parsing, tree matching and wrapper induction."""
 
+import random
+import time
+
 from tidemark.llm import html_extract as h
 
 
@@ -41,10 +44,78 @@ def test_many_trees_are_dealt_in_groups(spark, monkeypatch):
     assert all(got[i].endswith(f"t{i}") and "same" not in got[i] for i in range(40))
 
 
+def score(a, b):
+    matcher = h.Matcher()
+    shapes = matcher.number(a) | matcher.number(b)
+    x, y = shapes[id(a)], shapes[id(b)]
+    matcher.settle(x, y)
+    return matcher.score(x, y)
+
+
 def test_simple_tree_matching():
     a, _ = h.tree_of("-1 - \n0 - div\n1 - p\n1 - ul\n3 - li\n0 - foot", {})
     b, _ = h.tree_of("-1 - \n0 - div\n1 - h1\n1 - ul\n3 - li\n0 - x\n0 - foot", {})
-    assert h.matching(a, b, {})[0] == 5
+    assert score(a, b) == 5
+
+
+def test_matching_equals_the_textbook_recursion(monkeypatch):
+    def brute(a, b):
+        if (a.key, a.role) != (b.key, b.role):
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, c in enumerate(a.children):
+            for j, d in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute(c, d))
+        return best[-1][-1] + 1
+
+    rng = random.Random(3)
+
+    def tree(n):
+        nodes = [h.Node("r", "-")]
+        for _ in range(n):
+            node = h.Node(rng.choice("abc"), rng.choice("--s"))
+            rng.choice(nodes[-4:]).children.append(node)
+            nodes.append(node)
+        return nodes[0]
+
+    for cells in (4_000_000, 3):
+        monkeypatch.setattr(h, "CELLS", cells)
+        for _ in range(60):
+            a, b = tree(rng.randrange(14)), tree(rng.randrange(14))
+            want, sizes = brute(a, b), (len(h._all(a)), len(h._all(b)))
+            assert score(a, b) == want
+            found = {}
+            h.merge(a, b, found)
+            assert len(found) == sizes[1] and len(h._all(a)) == sizes[0] + sizes[1] - want
+
+
+def test_names_count_as_whole_words(spark):
+    kept = [
+        '<body class="single no-sidebar"><p>{0}</p>', '<body class="has-sidebar nav-open"><main><p>{0}</p></main>', '<article><section id="related-work"><p>{0}</p></section></article>',
+        '<main><div class="promotion-talk"><p>{0}</p></div></main>', '<main><p title="a hidden gem">{0}</p></main>', '<article><div class="entry-header"><h1>{0}</h1></div></article>',
+        '<article id="comments"><h2 class="alert">{0}</h2></article>', '<main><p data-style="display:none">{0}</p></main>',
+    ]
+    lost = ['<div class="site-footer">{0}</div>', '<div class="box newsletter-signup">{0}</div>', "<p hidden>{0}</p>", "<p style='color:red; display : none'>{0}</p>", "<div id=cookie_banner>{0}</div>", "<div role=navigation>{0}</div>"]
+    rows = [(i, f"http://h{i}/", html.format(f"text {i}")) for i, html in enumerate(kept + lost)]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(len(rows))] == [f"text {i}" for i in range(len(kept))] + [""] * len(lost)
+
+
+def test_constant_boxes_of_a_host_go_from_its_articles(spark):
+    rows = [(i, "http://a/", f"<article><h1>title {i}</h1><p>text {i}</p><div class=x9>Share this with all your friends</div></article>") for i in range(40)]
+    rows += [(100 + i, "http://b/", "<article><h1>One</h1><p>only text</p></article>") for i in range(5)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"title {i}\n\ntext {i}" for i in range(40)) and got[100] == "One\n\nonly text"
+
+
+def test_deep_pages_and_many_siblings(spark):
+    deep = lambda n: "<div>" * n + "<p>inside</p>" + "</div>" * n
+    many = lambda n, word: "".join(f"<h2>{word} {i}</h2><p>{word} text {i}</p>" for i in range(n))
+    rows = [(1, "http://a/", deep(5000)), (2, "http://a/", deep(4000)), (3, "http://b/", many(10_000, "x")), (4, "http://b/", "<hr>" + many(9_000, "y") + "<ul><li>z</ul>" + many(900, "y"))]
+    start = time.time()
+    got = texts(spark, rows)
+    assert time.time() - start < 60
+    assert got[1] == got[2] == "inside" and got[3].startswith("x 0\n\nx text 0\n\nx 1") and got[4].endswith("y text 899")
 
 
 def test_repeated_pages_and_empty_table(spark):

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -27,6 +28,8 @@ from tidemark.session import materialize
 TREES = 500
 # A text that is constant on so many pages of a host is template.
 CONSTANT_PAGES = 3
+# Cells of an alignment that are held at once.
+CELLS = 4_000_000
 # The content slot is narrowed while one child holds this share of the varying text.
 MAIN_SHARE = 0.8
 
@@ -41,18 +44,26 @@ SKIPPED = frozenset(
 )
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|login|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|"
-    r"sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|alert)(?=$|[\s_-])",
-    re.I,
+# Words of class names, ids and roles.  A name is boilerplate if all its words are listed and one of them is in the first list.
+MARKERS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promos promoted "
+    "promotion promotions related replies share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets "
+    "contentinfo complementary alert".split()
 )
+NEUTRAL = frozenset(
+    "area articles bar block bottom box buttons column container content form global group inner items left links list main mobile outer "
+    "page panel policy posts primary right secondary section site slot top wrap wrapper".split()
+)
+# These elements hold the article or its headings, whatever their names say.
+EXEMPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^'\">])*+)(?:>|\Z)", re.S
 )
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORDS = re.compile(r"[a-z0-9]+")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -70,6 +81,23 @@ class Page:
         return "\n".join(f"{parent} {role} {key}" for parent, key, role in self.nodes)
 
 
+def _named_boilerplate(name: str) -> bool:
+    words = _WORDS.findall(name.lower())
+    return any(w in MARKERS for w in words) and all(w in MARKERS or w in NEUTRAL for w in words)
+
+
+def _attributes(text: str) -> tuple[list[str], bool]:
+    """Class names, ids and roles of a tag, and whether it hides its element."""
+    names: list[str] = []
+    hidden = False
+    for name, *values in _ATTRIBUTE.findall(text):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            names += html.unescape(value).split()
+        hidden = hidden or name == "hidden" or name == "style" and bool(_NO_DISPLAY.search(value))
+    return names, hidden
+
+
 def parse_page(source: str) -> Page:
     page = Page([(-1, "", "-")])
     # Open elements: name, node, skipped, main.  last[node] is the last child, for merging repeated siblings.
@@ -107,8 +135,8 @@ def parse_page(source: str) -> Page:
             continue
         if name == "br":
             text.append(" ")
-        marks = " ".join(a or b or c for a, b, c in _MARKS.findall(attributes)) if attributes else ""
-        skipped = name in SKIPPED or bool(marks and BOILERPLATE.search(marks)) or bool(attributes and _HIDDEN.search(attributes))
+        names, hidden = _attributes(attributes) if attributes else ([], False)
+        skipped = name in SKIPPED or hidden or name not in EXEMPT and any(map(_named_boilerplate, names))
         # A page header is boilerplate, the header of an article is not.
         skipped = skipped or name == "header" and not any(e[3] for e in stack)
         if name in VOID:
@@ -126,14 +154,14 @@ def parse_page(source: str) -> Page:
             continue  # inline markup
         else:
             flush() if not stack[-1][2] else None
-        main = not skipped and (name in ("article", "main") or bool(re.search(r"\bmain\b", marks)))
+        main = not skipped and (name in ("article", "main") or "main" in names)
         if main and stack[-1][2] and all(e[0] in ("nav", "header") for e in stack if e[2] and e[0]):
             inherited = False  # an article can't lie in a menu: the menu was never closed
         else:
             inherited = stack[-1][2]
         parent = stack[-1][1]
         role = "s" if skipped or inherited else "m" if main else "-"
-        key = " ".join([name, *sorted(marks.split())])
+        key = " ".join([name, *sorted(names)])
         child = last.get(parent)
         if child is None or page.nodes[child][1:] != (key, role):
             child = len(page.nodes)
@@ -173,7 +201,7 @@ def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     key: str
     role: str
@@ -195,10 +223,6 @@ class Node:
     def constant(self) -> bool:
         return self.pages >= CONSTANT_PAGES and self.low == self.high
 
-    def varying(self) -> int:
-        own = 0 if self.role == "s" or self.constant else self.chars
-        return own + sum(c.varying() for c in self.children if c.role != "s")
-
 
 def tree_of(text: str, stats: dict[int, tuple]) -> tuple[Node, list[Node]]:
     nodes: list[Node] = []
@@ -212,72 +236,179 @@ def tree_of(text: str, stats: dict[int, tuple]) -> tuple[Node, list[Node]]:
     return nodes[0], nodes
 
 
-def matching(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Size of the simple tree matching of two trees, and the matched pairs of their children."""
-    if (a.key, a.role) != (b.key, b.role):
-        return 0, []
-    if (id(a), id(b)) not in memo:
-        m, n = len(a.children), len(b.children)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m):
-            for j in range(n):
-                here = best[i][j] + matching(a.children[i], b.children[j], memo)[0]
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], here)
-        pairs, i, j = [], m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                pairs.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-        memo[id(a), id(b)] = best[m][n] + 1, pairs[::-1]
-    return memo[id(a), id(b)]
-
-
-def merge(wrapper: Node, tree: Node, memo: dict, found: dict[int, Node]) -> None:
+def _all(root: Node) -> list[Node]:
+    """All nodes, parents before children and siblings in order."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        found.append(node)
+        stack += reversed(node.children)
+    return found
+
+
+class Matcher:
+    """Simple tree matching by shapes: equal subtrees have one number, and pairs of shapes are matched once."""
+
+    def __init__(self) -> None:
+        self.shapes: dict[tuple, int] = {}
+        self.kinds: list[tuple[str, str]] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def number(self, root: Node) -> dict[int, int]:
+        """Shape of every node, by its id."""
+        own: dict[int, int] = {}
+        for node in reversed(_all(root)):
+            below = tuple(own[id(c)] for c in node.children)
+            shape = self.shapes.setdefault((node.key, node.role, below), len(self.kinds))
+            if shape == len(self.kinds):
+                self.kinds.append((node.key, node.role))
+                self.children.append(below)
+                self.sizes.append(1 + sum(self.sizes[c] for c in below))
+            own[id(node)] = shape
+        return own
+
+    def score(self, a: int, b: int) -> int | None:
+        """Nodes in the best matching of two shapes; None while it waits for shapes below."""
+        if a == b:
+            return self.sizes[a]
+        return 0 if self.kinds[a] != self.kinds[b] else self.known.get((a, b))
+
+    def settle(self, a: int, b: int) -> None:
+        """Make the scores of a pair and of all pairs below it known, without recursion."""
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if self.score(x, y) is not None:
+                stack.pop()
+                continue
+            todo = [(c, d) for c in set(self.children[x]) for d in set(self.children[y]) if self.score(c, d) is None]
+            if todo:
+                stack += todo
+                continue
+            self.known[x, y] = 1 + sum(self.score(self.children[x][i], self.children[y][j]) for i, j in self.pairs(self.children[x], self.children[y]))
+            stack.pop()
+
+    def pairs(self, xs: Sequence[int], ys: Sequence[int]) -> list[tuple[int, int]]:
+        """Positions of the best alignment of two runs of shapes in order; all their scores are known.
+
+        Equal shapes at both ends belong together in some best alignment, so only the middle is searched.
+        """
+        start = 0
+        while start < min(len(xs), len(ys)) and xs[start] == ys[start]:
+            start += 1
+        end = 0
+        while end < min(len(xs), len(ys)) - start and xs[-1 - end] == ys[-1 - end]:
+            end += 1
+        found = [(i, i) for i in range(start)]
+        middle = self._middle(np.array(xs[start : len(xs) - end]), np.array(ys[start : len(ys) - end]))
+        found += [(start + i, start + j) for i, j in middle]
+        return found + [(len(xs) - end + k, len(ys) - end + k) for k in range(end)]
+
+    def _weights(self, x: int, kinds: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.array([self.score(x, int(y)) for y in kinds])[place]
+
+    def _rows(self, xs: np.ndarray, ys: np.ndarray) -> Iterator[np.ndarray]:
+        """Best scores of each beginning of ``xs`` with every beginning of ``ys``."""
+        kinds, place = np.unique(ys, return_inverse=True)
+        cache: dict[int, np.ndarray] = {}
+        row = np.zeros(len(ys) + 1, dtype=np.int64)
+        yield row
+        for x in xs.tolist():
+            if x not in cache:
+                cache[x] = self._weights(x, kinds, place)
+            row = np.maximum.accumulate(np.maximum(row, np.concatenate([[0], row[:-1] + cache[x]])))
+            yield row
+
+    def _middle(self, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+        """Alignment by rows of best scores; long runs are halved where the best scores of both halves add up, to bound memory."""
+        found, stack = [], [(0, len(xs), 0, len(ys))]
+        while stack:
+            a, b, c, d = stack.pop()
+            if a == b or c == d:
+                continue
+            if (b - a) * (d - c) > CELLS and b - a > 1:
+                half = (a + b) // 2
+                for before in self._rows(xs[a:half], ys[c:d]):
+                    pass
+                for after in self._rows(xs[half:b][::-1], ys[c:d][::-1]):
+                    pass
+                cut = c + int(np.argmax(before + after[::-1]))
+                stack += [(a, half, c, cut), (half, b, cut, d)]
+                continue
+            best = list(self._rows(xs[a:b], ys[c:d]))
+            i, j = b - a, d - c
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((a + i, c + j))
+        return sorted(found)
+
+
+def merge(wrapper: Node, tree: Node, found: dict[int, Node]) -> None:
     """Merge ``tree`` into ``wrapper``; ``found`` maps its nodes to those of the wrapper."""
-    found[id(tree)] = wrapper
-    if tree is not wrapper:
-        wrapper.add(tree.pages, tree.low, tree.high, tree.chars)
-    _, pairs = matching(wrapper, tree, memo)
-    partner = {j: wrapper.children[i] for i, j in pairs}
-    at = 0
-    for j, child in enumerate(tree.children):
-        if j in partner:
-            at = wrapper.children.index(partner[j]) + 1
-            merge(partner[j], child, memo, found)
-        else:
-            wrapper.children.insert(at, child)
-            at += 1
-            for node in _all(child):
-                found[id(node)] = node
+    if tree is wrapper:
+        found.update((id(n), n) for n in _all(tree))
+        return
+    matcher = Matcher()
+    shapes = matcher.number(wrapper) | matcher.number(tree)
+    matcher.settle(shapes[id(wrapper)], shapes[id(tree)])
+    stack = [(wrapper, tree)]
+    while stack:
+        known, node = stack.pop()
+        found[id(node)] = known
+        known.add(node.pages, node.low, node.high, node.chars)
+        xs, ys = ([shapes[id(c)] for c in n.children] for n in (known, node))
+        for x in set(xs):
+            for y in set(ys):
+                matcher.settle(x, y)
+        partner = {j: i for i, j in matcher.pairs(xs, ys)}
+        children, at = [], 0
+        for j, child in enumerate(node.children):
+            if j in partner:
+                children += known.children[at : partner[j] + 1]
+                at = partner[j] + 1
+                stack.append((known.children[partner[j]], child))
+            else:
+                children.append(child)
+                found.update((id(n), n) for n in _all(child))
+        known.children = children + known.children[at:]
 
 
-def _all(node: Node) -> Iterator[Node]:
-    yield node
-    for child in node.children:
-        yield from _all(child)
+def _varying(root: Node) -> dict[int, int]:
+    """Characters of varying text in every subtree, by the node's id."""
+    chars: dict[int, int] = {}
+    for node in reversed(_all(root)):
+        own = 0 if node.role == "s" or node.constant else node.chars
+        chars[id(node)] = own + sum(chars[id(c)] for c in node.children if c.role != "s")
+    return chars
 
 
 def label(root: Node) -> None:
-    """Mark the nodes whose text is content."""
-    mains = [n for n in _all(root) if n.role == "m"]
-    if mains:
-        for n in mains:
-            for inner in _all(n):
-                inner.keep = inner.role != "s"
-        return
-    slot = root
-    while True:
-        whole = slot.varying()
-        narrower = [c for c in slot.children if c.role != "s" and c.children and c.varying() >= MAIN_SHARE * whole > 0]
-        if not narrower:
-            break
-        slot = narrower[0]
-    for n in _all(slot):
-        n.keep = n.role != "s" and not (n.constant and slot.varying() > 0)
+    """Mark the nodes whose text is content: the varying ones of the main elements, or else of the slot with the varying text.
+
+    Where nothing varies, as on a host with one text, constant nodes are content as well.
+    """
+    varying = _varying(root)
+    slots = [n for n in _all(root) if n.role == "m"]
+    if not slots:
+        slot = root
+        while True:
+            whole = varying[id(slot)]
+            narrower = [c for c in slot.children if c.role != "s" and c.children and varying[id(c)] >= MAIN_SHARE * whole > 0]
+            if not narrower:
+                break
+            slot = narrower[0]
+        slots = [slot]
+    some = any(varying[id(slot)] > 0 for slot in slots)
+    for slot in slots:
+        for n in _all(slot):
+            n.keep = n.role != "s" and not (n.constant and some)
 
 
 def _wrapper(rows: pd.DataFrame) -> pd.DataFrame:
@@ -289,7 +420,7 @@ def _wrapper(rows: pd.DataFrame) -> pd.DataFrame:
         tree, nodes = tree_of(row.tree, stats)
         found: dict[int, Node] = {}
         wrapper = wrapper or tree
-        merge(wrapper, tree, {}, found)
+        merge(wrapper, tree, found)
         placed.append([found[id(n)] for n in nodes])
     label(wrapper)
     keep = []
