@@ -44,6 +44,19 @@ def test_many_trees_are_dealt_in_groups(spark, monkeypatch):
     assert all(got[i].endswith(f"t{i}") and "same" not in got[i] for i in range(40))
 
 
+def test_groups_of_trees_decide_nothing(spark, monkeypatch):
+    # Every page has a tree of its own; a box that is on few pages is template whatever group its pages are in.
+    box = "<div class=x9>Subscribe and never miss a story</div>"
+    page = lambda i: f"<article><h1>t{i}</h1>{box if i % 10 == 3 else ''}{'<p>a%d</p><hr><ul><li>b%d</ul>' % (i, i) * (1 + i // 9)}<h{2 + i % 5} class=c{i % 9}>z{i}</h{2 + i % 5}></article>"
+    rows = [(i, f"http://{'few' if i >= 80 else 'many'}/{i}", page(i)) for i in range(90)] + [(90, None, ""), (91, "http://many/", None)]
+    found = []
+    for size in (3, 10, 10_000):
+        monkeypatch.setattr(h, "TREES", size)
+        found.append(texts(spark, rows))
+    assert found[0] == found[1] == found[2]
+    assert not any("Subscribe" in found[0][i] for i in range(80)) and found[0][3].startswith("t3\n\na3\n\nb3") and found[0][91] == ""
+
+
 def score(a, b):
     matcher = h.Matcher()
     shapes = matcher.number(a) | matcher.number(b)

@@ -2,7 +2,7 @@
 
 Every page is parsed once into a tree of block elements, where neighbouring siblings of one kind are one repeated node, and its text
 blocks.  Pages of a host with the same tree are summarised by Spark: per node the number of pages and
-whether its text is constant.  The distinct trees of a host are then aligned by simple tree matching into one wrapper.
+whether its text is constant.  The distinct trees of a host are then aligned by simple tree matching, in levels, into one wrapper.
 Nodes with constant text are template; the slot with the varying text is the content.  Elements whose name or class says what they are
 (menus, footers, adverts, comments, an article) need no statistics and decide first.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import join_counted, map_arrow, read
 from tidemark.session import materialize
 
-# Distinct trees of a host that are aligned together; a host with more is dealt over several groups.
+# Trees of a host that are aligned in one task; a host with more is aligned in levels, wrappers being the trees of the next one.
 TREES = 500
 # A text that is constant on so many pages of a host is template.
 CONSTANT_PAGES = 3
@@ -411,9 +411,15 @@ def label(root: Node) -> None:
             n.keep = n.role != "s" and not (n.constant and some)
 
 
-def _wrapper(rows: pd.DataFrame) -> pd.DataFrame:
-    """Labels of every tree of one group of trees."""
-    rows = rows.sort_values(["pages", "tree"], ascending=[False, True])
+_ALIGNED = (
+    "host string, part string, id string, place array<int>, tree string, pages bigint,"
+    " stats array<struct<node:int,pages:bigint,low:bigint,high:bigint,chars:bigint>>, keep array<boolean>, varies array<boolean>, has_main boolean"
+)
+
+
+def _align(rows: pd.DataFrame) -> pd.DataFrame:
+    """Align the trees of one group: where each node lies in the group's wrapper, and in the first row the wrapper itself."""
+    rows = rows.sort_values(["pages", "tree", "id"], ascending=[False, True, True])
     wrapper, placed = None, []
     for row in rows.itertuples():
         stats = {s["node"]: (s["pages"], s["low"], s["high"], s["chars"]) for s in row.stats}
@@ -423,15 +429,62 @@ def _wrapper(rows: pd.DataFrame) -> pd.DataFrame:
         merge(wrapper, tree, found)
         placed.append([found[id(n)] for n in nodes])
     label(wrapper)
-    keep = []
-    for row, nodes in zip(rows.itertuples(), placed, strict=True):
-        own_main = any(line.split(" ", 2)[1] == "m" for line in row.tree.split("\n"))
-        if any(n.role == "m" for n in _all(wrapper)) and not own_main:
-            # The host marks its articles, this page has none: only what is not template counts.
-            keep.append([n.role != "s" and not n.constant for n in nodes])
-        else:
-            keep.append([n.keep for n in nodes])
-    return pd.DataFrame({"host": rows["host"], "tree": rows["tree"], "keep": keep})
+    whole = _all(wrapper)
+    number = {id(n): i for i, n in enumerate(whole)}
+    parents = {id(c): number[id(n)] for n in whole for c in n.children}
+    more = len(rows) - 1
+    return pd.DataFrame(
+        {
+            "host": rows["host"],
+            "part": rows["part"],
+            "id": rows["id"],
+            "place": [[number[id(n)] for n in nodes] for nodes in placed],
+            "tree": ["\n".join(f"{parents.get(id(n), -1)} {n.role} {n.key}" for n in whole)] + [None] * more,
+            "pages": int(rows["pages"].sum()),
+            "stats": [
+                [
+                    {"node": i, "pages": n.pages, "low": n.low, "high": n.high, "chars": n.chars}
+                    for i, n in enumerate(whole)
+                    if n.low is not None
+                ]
+            ]
+            + [None] * more,
+            "keep": [[n.keep for n in whole]] + [None] * more,
+            "varies": [[n.role != "s" and not n.constant for n in whole]] + [None] * more,
+            "has_main": any(n.role == "m" for n in whole),
+        }
+    )
+
+
+def wrapper_labels(trees: DataFrame) -> DataFrame:
+    """``host, tree, keep`` for every row of ``trees(host, tree, pages, stats)``: which nodes hold content.
+
+    Groups of ``TREES`` trees of a host are aligned into wrappers, these again in groups, until each host has one.  A wrapper's
+    nodes add up the pages below them, so what is constant is decided once, over all pages of the host.  The labels of that
+    wrapper then go back down the levels by the places that were written on the way up.
+    """
+    source = trees.withColumn("id", F.sha2("tree", 256))
+    current, levels = source.select("host", "id", "tree", "pages", "stats"), []
+    while True:
+        parts = materialize(current.groupBy("host").agg(F.ceil(F.count("*") / TREES).cast("long").alias("parts")))
+        grouped = current.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("string"))
+        aligned = materialize(grouped.groupBy("host", "part").applyInPandas(_align, _ALIGNED))
+        levels.append(aligned)
+        wrappers = aligned.filter("tree IS NOT NULL")
+        if (parts.agg(F.max("parts")).first()[0] or 1) == 1:
+            break
+        current = wrappers.selectExpr("host", "part AS id", "tree", "pages", "stats")
+    above = wrappers.selectExpr("host", "part", "keep", "varies", "has_main")
+    for aligned in reversed(levels):
+        found = aligned.select("host", "part", "id", "place").join(above, ["host", "part"])
+        labels = found.selectExpr(
+            "host", "id", "transform(place, p -> keep[p]) AS keep", "transform(place, p -> varies[p]) AS varies", "has_main"
+        )
+        above = labels.withColumnRenamed("id", "part")
+    # Where the host marks its articles and a page has none, only what is not template counts.
+    own_main = F.col("tree").rlike(r"(?m)^-?\d+ m ")
+    keep = F.when(F.col("has_main") & ~own_main, F.col("varies")).otherwise(F.col("keep"))
+    return source.select("host", "id", "tree").join(labels, ["host", "id"]).select("host", "tree", keep.alias("keep"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -469,12 +522,7 @@ def extract(pages: DataFrame) -> DataFrame:
         "stats", F.coalesce("stats", F.array().cast("array<struct<node:int,pages:bigint,low:bigint,high:bigint,chars:bigint>>"))
     )
     trees = materialize(trees)
-    parts = trees.groupBy("host").agg(F.ceil(F.count("*") / TREES).cast("int").alias("parts"))
-    grouped = trees.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("tree"), F.col("parts")))
-    labels = grouped.groupBy("host", "part").applyInPandas(
-        lambda rows: _wrapper(rows), "host string, tree string, keep array<boolean>"
-    )
-    labels = materialize(labels.join(counted, ["host", "tree"]).withColumnRenamed("pages", "n"))
+    labels = materialize(wrapper_labels(trees).join(counted, ["host", "tree"]).withColumnRenamed("pages", "n"))
     kept = F.transform(F.filter("blocks", lambda b: F.get("keep", b["node"])), lambda b: b["text"])
     return join_counted(
         parsed.select("page_id", "url", "host", "tree", "blocks"), labels, ["host", "tree"], "n", parsed.count()
