@@ -251,3 +251,36 @@ def test_overlapping_member_import_needs_overwrite(spark):
     assert sorted(r.entity for r in pr.import_members(old, new, True).collect()) == [2, 3]
     with pytest.raises(Exception, match="already present"):
         pr.import_members(old, new, False).collect()
+
+
+def test_rejected_and_delisted_positions_leave_the_held_weights_as_they_are(spark):
+    days = ["2024-01-31", "2024-02-01", "2024-02-29", "2024-03-01", "2024-03-29", "2024-04-01", "2024-04-02"]
+    calendar = spark.createDataFrame([(d, True) for d in days], "d string, is_open boolean").selectExpr("DATE(d) AS trade_date", "is_open")
+    # up: bought at its limit, then again; stuck: suspended when it should be sold; gone: delisted while it is held; dear: below one lot.
+    targets = [("2024-01-31", e) for e in ("up", "stuck", "gone", "dear")] + [("2024-02-29", "up"), ("2024-02-29", "gone"), ("2024-03-29", "gone")]
+    targets = spark.createDataFrame([(d, e, 0.25) for d, e in targets], "d string, entity string, target_weight double").selectExpr("DATE(d) AS signal_date", "entity", "target_weight")
+    price = {"up": 10.0, "stuck": 10.0, "gone": 10.0, "dear": 9000.0}
+    rows = [
+        (e, d, price[e], e == "stuck" and d == "2024-03-01", price[e] if (e, d) == ("up", "2024-02-01") else 1e6, 0.0)
+        for e in price for d in days if not (e == "gone" and d > "2024-03-01")
+    ]
+    prices = spark.createDataFrame(rows, "entity string, d string, open double, is_suspended boolean, limit_up double, limit_down double").selectExpr("*", "DATE(d) AS trade_date")
+    securities = spark.createDataFrame([("gone", "2024-03-20")], "entity string, d string").selectExpr("entity", "DATE(d) AS delist_date", "DATE(d) AS delist_effective")
+    orders = pf.held_orders(targets, calendar, 1e6, prices, securities)
+    got = {(r.entity, str(r.execution_date)): (r.side, r.old_weight, r.new_weight, r.weight_after) for r in orders.collect()}
+    assert got == {
+        ("up", "2024-02-01"): ("buy", 0.0, 0.25, 0.0), ("up", "2024-03-01"): ("buy", 0.0, 0.25, 0.25), ("up", "2024-04-01"): ("sell", 0.25, 0.0, 0.0),
+        ("stuck", "2024-02-01"): ("buy", 0.0, 0.25, 0.25), ("stuck", "2024-03-01"): ("sell", 0.25, 0.0, 0.25), ("stuck", "2024-04-01"): ("sell", 0.25, 0.0, 0.0),
+        ("gone", "2024-02-01"): ("buy", 0.0, 0.25, 0.25), ("gone", "2024-04-01"): ("buy", 0.0, 0.25, 0.0),
+        ("dear", "2024-02-01"): ("buy", 0.0, 0.25, 0.0),
+    }
+    # The ledger of these orders tells the same story.
+    ledger = pf.execute_orders(pf.classify_orders(orders, prices, securities))
+    rejected = {(r.entity, str(r.execution_date)): r.reject_reason for r in ledger.filter("order_status = 'rejected'").collect()}
+    assert rejected == {("up", "2024-02-01"): "limit_up", ("stuck", "2024-03-01"): "suspended", ("gone", "2024-04-01"): "delisted", ("dear", "2024-02-01"): "below_board_lot"}
+    exits = pf.exits_of(pf.held_periods(orders), securities, calendar)
+    assert [(r.entity, str(r.exit_date)) for r in exits.collect()] == [("gone", "2024-03-29")]
+    returns = prices.selectExpr("entity", "trade_date", "0.1D AS ret")
+    daily = {str(r.trade_date): (round(r.gross_return, 9), r.turnover) for r in pf.target_portfolio(orders, exits, calendar, returns, "2024-01-01").collect()}
+    assert [daily[d][0] for d in days] == [0.0, 0.0, 0.05, 0.05, 0.05, 0.05, 0.0]
+    assert [daily[d][1] for d in days] == [0.0, 0.5, 0.0, 0.25, 0.0, 0.5, 0.0]

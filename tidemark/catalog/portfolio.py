@@ -133,6 +133,51 @@ cte(
        GROUP BY 1, 2, 4""",
     ["kh", "securities", "cal"],
 )
+# Orders against what is held: every execution day starts from the weights that the one before left.
+cte(
+    "kho",
+    f"""WITH RECURSIVE cand AS MATERIALIZED (
+          SELECT e.entity, s.k, s.signal_date, s.execution_date, coalesce(h.target_weight, 0)::DOUBLE AS target, p.open,
+                 coalesce(x.delist_date <= s.execution_date AND coalesce(x.delist_effective, x.delist_date) <= s.execution_date, FALSE) AS gone,
+                 coalesce(p.open > 0 AND NOT p.is_suspended, FALSE) AS trades,
+                 coalesce(p.open >= p.limit_up - 0.000001, FALSE) AS at_top, coalesce(p.open <= p.limit_down + 0.000001, FALSE) AS at_bottom
+          FROM (SELECT DISTINCT entity FROM kh) e JOIN ks s ON s.execution_date IS NOT NULL
+          LEFT JOIN kh h ON h.entity = e.entity AND h.k = s.k
+          LEFT JOIN panel p ON p.entity = e.entity AND p.trade_date = s.execution_date LEFT JOIN securities x ON x.entity = e.entity
+        ), book AS (
+          SELECT DISTINCT entity, 0::BIGINT AS k, NULL::DATE AS signal_date, NULL::DATE AS execution_date, 0::DOUBLE AS old_weight,
+                 0::DOUBLE AS new_weight, 0::DOUBLE AS weight_after FROM kh
+          UNION ALL
+          SELECT entity, k, signal_date, execution_date, old, target,
+                 CASE WHEN abs(target - old) > 1e-12 AND trades AND NOT (target > old AND (gone OR at_top)) AND NOT (target < old AND at_bottom)
+                       AND CASE WHEN target > old THEN (target - old) * {NAV} / (open * 1.0005) >= 100
+                                ELSE target * {NAV} / open <= 1e-9 OR (old - target) * {NAV} / open >= 100
+                                     OR (old * {NAV} / open) % 100 <= (old - target) * {NAV} / open + 1e-9 END
+                      THEN target ELSE old END
+          FROM (SELECT c.*, CASE WHEN c.gone THEN 0 ELSE b.weight_after END AS old FROM book b JOIN cand c ON c.entity = b.entity AND c.k = b.k + 1)
+        )
+        SELECT signal_date, execution_date, entity, old_weight, new_weight, CASE WHEN new_weight > old_weight THEN 'buy' ELSE 'sell' END AS side,
+               abs(new_weight - old_weight) * {NAV} AS intended_notional, old_weight * {NAV} AS held_notional, weight_after
+        FROM book WHERE k > 0 AND abs(new_weight - old_weight) > 1e-12""",
+    ["kh", "ks", "panel", "securities"],
+)
+cte("khc", CTES["kc"][1].replace("ko o", "kho o"), ["kho", "panel", "securities"])
+cte("khl", CTES["kl"][1].replace("FROM kc", "FROM khc"), ["khc"])
+cte("khld", CTES["kld"][1].replace("FROM kl", "FROM khl"), ["khl"])
+cte(
+    "khp",
+    """SELECT * FROM (SELECT entity, signal_date, execution_date, new_weight AS target_weight,
+                             lead(execution_date) OVER (PARTITION BY entity ORDER BY execution_date) AS next_execution
+                      FROM kho WHERE weight_after = new_weight) WHERE target_weight > 0""",
+    ["kho"],
+)
+cte("khx", CTES["kx"][1].replace("FROM kh h", "FROM khp h"), ["khp", "securities", "cal"])
+cte(
+    "khd",
+    """SELECT h.entity, h.target_weight, c.trade_date FROM khp h LEFT JOIN khx x ON x.entity = h.entity AND x.signal_date = h.signal_date
+       JOIN cal c ON c.trade_date >= h.execution_date AND c.trade_date < coalesce(x.exit_date, h.next_execution, DATE '9999-12-31')""",
+    ["khp", "khx", "cal"],
+)
 cte(
     "kd",
     """SELECT h.entity, h.signal_date, h.execution_date, h.target_weight, c.trade_date FROM kh h
@@ -150,6 +195,7 @@ cte(
                 count(*) FILTER (WHERE order_status = 'rejected') AS rejected_order_count FROM kld GROUP BY 1, 2)""",
     ["kld"],
 )
+cte("khrb", CTES["krb"][1].replace("FROM kld", "FROM khld"), ["khld"])
 cte(
     "kmg",
     f"SELECT max(trade_date) AS signal_date FROM calgap WHERE is_open AND {_IN} GROUP BY date_trunc('month', trade_date)",
@@ -218,12 +264,12 @@ cte(
                coalesce(g.gross_return, 0) - coalesce(o.turnover * 0.00075 + o.sold * 0.001, 0) AS net_return
         FROM (SELECT trade_date FROM cal WHERE trade_date >= DATE '{START}') c
         LEFT JOIN (SELECT b.trade_date, sum(h.target_weight * coalesce(r.ret, 0)) AS gross_return
-                   FROM kd h JOIN ords a ON a.trade_date = h.trade_date JOIN ords b ON b.ord = a.ord + 1
+                   FROM khd h JOIN ords a ON a.trade_date = h.trade_date JOIN ords b ON b.ord = a.ord + 1
                    LEFT JOIN kretc r ON r.entity = h.entity AND r.trade_date = b.trade_date GROUP BY 1) g ON g.trade_date = c.trade_date
         LEFT JOIN (SELECT execution_date, sum(abs(new_weight - old_weight)) AS turnover,
                           coalesce(sum(abs(new_weight - old_weight)) FILTER (WHERE side = 'sell'), 0) AS sold
-                   FROM ko GROUP BY 1) o ON o.execution_date = c.trade_date""",
-    ["cal", "kd", "ords", "kretc", "ko"],
+                   FROM kho WHERE weight_after = new_weight GROUP BY 1) o ON o.execution_date = c.trade_date""",
+    ["cal", "khd", "ords", "kretc", "kho"],
 )
 cte(
     "kcurve",
@@ -419,13 +465,36 @@ def _(t):
     return pf.with_nav(daily).selectExpr("trade_date", "portfolio_return", f"{slog('nav')} AS log_nav")
 
 
-def portfolio(t, tg=None):
+def book(t):
+    """Orders against what is held, and the forced exits of what is held."""
+    rows = t.stored("held_orders", lambda: pf.held_orders(targets(t), t.calendar, NAV, t.prices, t.securities, executable(t)))
+    return rows, pf.exits_of(pf.held_periods(rows), t.securities, t.calendar)
+
+
+def portfolio(t):
     returns = pf.daily_returns(t.prices, t.calendar)
-    return pf.target_portfolio(targets(t) if tg is None else tg, t.calendar, returns, START, signals=executable(t))
+    return pf.target_portfolio(*book(t), t.calendar, returns, START)
+
 
+def curve(t):
+    return pf.with_drawdown(pf.with_nav(portfolio(t), "net_return", NAV), NAV)
 
-def curve(t, tg=None):
-    return pf.with_drawdown(pf.with_nav(portfolio(t, tg), "net_return", NAV), NAV)
+
+@query(
+    "k14_held_orders",
+    """SELECT o.*, l.order_status, l.reject_reason, l.total_cost FROM kho o JOIN khld l ON l.entity = o.entity AND l.execution_date = o.execution_date""",
+    ["kho", "khld"],
+    doubles="old_weight new_weight intended_notional held_notional weight_after total_cost",
+)
+def _(t):
+    rows, _ = book(t)
+    ledger = pf.execute_orders(pf.classify_orders(rows, t.prices, t.securities))
+    return rows.join(ledger.select("entity", "execution_date", "order_status", "reject_reason", "total_cost"), ["entity", "execution_date"])
+
+
+@query("k14_held_exits", "SELECT * FROM khx", ["khx"], doubles="target_weight")
+def _(t):
+    return book(t)[1]
 
 
 @query(
@@ -470,21 +539,19 @@ cte(
                            avg(CASE WHEN i > 1 THEN CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END END) AS win_rate
                     FROM (SELECT *, row_number() OVER (ORDER BY trade_date) AS i FROM kcurve)),
                    (SELECT arg_max(cap_nav, trade_date) - 1 AS cap_return, arg_max(equal_nav, trade_date) - 1 AS equal_return FROM knav),
-                   (SELECT avg(one_way_turnover) AS average_turnover, max(one_way_turnover) AS max_turnover, count(*) AS rebalance_count FROM krb),
+                   (SELECT avg(one_way_turnover) AS average_turnover, max(one_way_turnover) AS max_turnover, count(*) AS rebalance_count FROM khrb),
                    (SELECT sum(total_cost) AS total_cost, sum(commission) AS commission, sum(stamp_tax) AS stamp_tax,
                            sum(slippage_cost) AS slippage_cost, count(*) FILTER (WHERE order_status = 'executed') AS executed,
-                           count(*) FILTER (WHERE order_status = 'rejected') AS rejected_order_count FROM kld),
-                   (SELECT count(*) AS forced FROM kx))""",
-    ["kcurve", "knav", "krb", "kld", "kx"],
+                           count(*) FILTER (WHERE order_status = 'rejected') AS rejected_order_count FROM khld),
+                   (SELECT count(*) AS forced FROM khx))""",
+    ["kcurve", "knav", "khrb", "khld", "khx"],
 )
 
 
 def metrics(t):
-    tg = targets(t)
-    ledger = materialize(pf.execute_orders(classified(t, tg)))
-    return pf.metrics(
-        curve(t, tg), benchmark_nav(t), pf.rebalance_summary(ledger, NAV), ledger, pf.forced_exits(tg, t.securities, t.calendar, executable(t))
-    )
+    rows, exits = book(t)
+    ledger = materialize(pf.execute_orders(pf.classify_orders(rows, t.prices, t.securities)))
+    return pf.metrics(curve(t), benchmark_nav(t), pf.rebalance_summary(ledger, NAV), ledger, exits)
 
 
 # cost_drag is the gap of two totals; next to such totals it is below one ulp.

@@ -1,6 +1,6 @@
 """Set-based portfolio analytics: schedules, orders, baskets, NAV and metrics.
 
-Weights are held from one execution day to the next; there is no cash book.
+Weights are held from one executed order to the next; there is no cash book.
 Windows without an entity key run over one row per trading day.
 """
 
@@ -100,19 +100,91 @@ def reject_reason(rules: dict = TRADING) -> str:
     )
 
 
-def classify_orders(order_rows: DataFrame, prices: DataFrame, securities: DataFrame) -> DataFrame:
+def execution_state(rows: DataFrame, prices: DataFrame, securities: DataFrame) -> DataFrame:
+    """Rows by entity and execution day with all that ``reject_reason`` looks at."""
     px = prices.selectExpr(
         "entity", "trade_date AS execution_date", "open", "is_suspended", "limit_up", "limit_down", "true AS has_price"
     )
     gone = securities.filter("delist_date IS NOT NULL").selectExpr("entity", f"{DELISTED_FROM} AS _gone")
     return (
-        order_rows.join(px, ["entity", "execution_date"], "left")
+        rows.join(px, ["entity", "execution_date"], "left")
         .join(gone, "entity", "left")
         .selectExpr("*", "_gone <= execution_date AS delisted")
-        .selectExpr(*order_rows.columns, "open", f"{reject_reason()} AS reject_reason")
     )
 
 
+def classify_orders(order_rows: DataFrame, prices: DataFrame, securities: DataFrame) -> DataFrame:
+    state = execution_state(order_rows, prices, securities)
+    return state.selectExpr(*order_rows.columns, "open", f"{reject_reason()} AS reject_reason")
+
+
+def held_orders(
+    targets: DataFrame,
+    calendar: DataFrame,
+    nav: float,
+    prices: DataFrame,
+    securities: DataFrame,
+    signals: DataFrame | None = None,
+    rules: dict = TRADING,
+) -> DataFrame:
+    """Orders against the weights that earlier orders really left, with ``weight_after``.
+
+    A rejected order leaves the weight, so the entity is ordered again at the next execution day; an executed one reaches its
+    target, and a delisted entity holds nothing.  Each entity folds its own execution days, which are as many
+    as the schedule has, so entities are independent and no list grows with the rows.
+    """
+    days = executions(targets, calendar, signals).selectExpr("*", "count(*) OVER () AS n")
+    wanted = targets.join(days.select("signal_date", "k", "n"), "signal_date")
+    wanted = wanted.groupBy("entity", "k", "n").agg(F.expr("sum(target_weight) AS weight"))
+    grid = (
+        wanted.groupBy("entity", "n")
+        .agg(F.expr("min(k) AS first"), F.expr("map_from_entries(collect_list(struct(k, weight))) AS weights"))
+        .selectExpr("entity", "weights", "explode(sequence(first, CAST(n AS INT))) AS k")
+        .selectExpr("entity", "k", "coalesce(weights[k], 0.0D) AS target")
+    )
+    state = execution_state(grid.join(days.select("k", "signal_date", "execution_date"), "k"), prices, securities)
+    for side in ("buy", "sell"):
+        state = state.selectExpr("*", f"'{side}' AS side").selectExpr("*", f"{reject_reason(rules)} AS no_{side}").drop("side")
+    folded = state.groupBy("entity").agg(
+        F.expr(
+            "sort_array(collect_list(named_struct('k', k, 'target', target, 'open', open, 'no_buy', no_buy, 'no_sell', no_sell, "
+            "'gone', coalesce(delisted, false)))) AS days"
+        )
+    )
+    lot, price = rules["lot_size"], f"(d.open * {1 + rules['slippage_bps'] / 10_000.0}D)"
+    old = "(CASE WHEN d.gone THEN 0.0D ELSE a.held END)"
+    held, wish = f"({old} * {nav}D / d.open)", f"(({old} - d.target) * {nav}D / d.open)"
+    trades = (
+        f"coalesce(CASE WHEN d.target > {old} THEN d.no_buy IS NULL AND {round_lot(f'((d.target - {old}) * {nav}D / {price})', lot)} > 0 "
+        f"ELSE d.no_sell IS NULL AND {round_sell(f'least({held}, {wish})', held, lot)} > 1e-12D END, false)"
+    )
+    changed = f"abs(d.target - {old}) > 1e-12D"
+    after = f"CASE WHEN {changed} AND {trades} THEN d.target ELSE {old} END"
+    step = f"named_struct('k', d.k, 'old', {old}, 'new', d.target, 'after', {after})"
+    none = "CAST(array() AS array<struct<k: int, old: double, new: double, after: double>>)"
+    moves = folded.selectExpr(
+        "entity",
+        f"explode(aggregate(days, named_struct('held', 0.0D, 'moves', {none}), (a, d) -> named_struct('held', {after}, "
+        f"'moves', CASE WHEN {changed} THEN array_append(a.moves, {step}) ELSE a.moves END), a -> a.moves)) AS m",
+    ).selectExpr("entity", "m.k AS k", "m.old AS old_weight", "m.new AS new_weight", "m.after AS weight_after")
+    return moves.join(days.select("k", "signal_date", "execution_date"), "k").selectExpr(
+        "signal_date", "execution_date", "entity", "old_weight", "new_weight",
+        "CASE WHEN new_weight > old_weight THEN 'buy' ELSE 'sell' END AS side",
+        f"abs(new_weight - old_weight) * {nav}D AS intended_notional",
+        f"old_weight * {nav}D AS held_notional",
+        "weight_after",
+    )
+
+
+def held_periods(order_rows: DataFrame) -> DataFrame:
+    """Weights from one executed order of ``held_orders`` to the entity's next executed one."""
+    done = order_rows.filter("weight_after = new_weight").selectExpr(
+        "entity", "signal_date", "execution_date", "new_weight AS target_weight",
+        "lead(execution_date) OVER (PARTITION BY entity ORDER BY execution_date) AS next_execution",
+    )
+    return done.filter("target_weight > 0")
+
+
 def trade_costs(side: str, notional: str, rules: dict = TRADING) -> str:
     """SQL struct of commission and stamp tax of one order."""
     n = f"abs({notional})"
@@ -176,9 +248,14 @@ def execute_orders(classified: DataFrame, rules: dict = TRADING) -> DataFrame:
 def forced_exits(
     targets: DataFrame, securities: DataFrame, calendar: DataFrame, signals: DataFrame | None = None
 ) -> DataFrame:
-    """First open day on which a held entity is known to be delisted."""
+    """First open day on which a target is known to be delisted."""
+    return exits_of(holding_periods(targets, calendar, signals), securities, calendar)
+
+
+def exits_of(periods: DataFrame, securities: DataFrame, calendar: DataFrame) -> DataFrame:
+    """First open day of a holding period on which its entity is known to be delisted."""
     gone = securities.filter("delist_date IS NOT NULL").selectExpr("entity", f"{DELISTED_FROM} AS _gone")
-    due = holding_periods(targets, calendar, signals).join(gone, "entity").selectExpr(
+    due = periods.join(gone, "entity").selectExpr(
         "entity", "signal_date", "execution_date", "next_execution", "target_weight",
         "date_sub(greatest(_gone, execution_date), 1) AS _before",
     )
@@ -327,21 +404,23 @@ def with_drawdown(curve: DataFrame, initial: float) -> DataFrame:
 
 
 def target_portfolio(
-    targets: DataFrame,
+    order_rows: DataFrame,
+    exits: DataFrame,
     calendar: DataFrame,
     returns: DataFrame,
     start: str,
     rules: dict = TRADING,
-    signals: DataFrame | None = None,
 ) -> DataFrame:
-    """Daily gross and net return of held target weights with a turnover cost drag.
+    """Daily gross and net return of the weights that ``held_orders`` and forced ``exits`` leave, with a turnover cost drag.
 
     A day's return uses the weights held before it; the drag falls on the
-    execution day.
+    execution day and counts executed orders only.
     """
     from tidemark.functions.calendar import ordinals
 
-    held = holdings(targets, calendar, signals).select("entity", "trade_date", "target_weight")
+    periods = held_periods(order_rows).join(exits.select("entity", "signal_date", "exit_date"), ["entity", "signal_date"], "left")
+    periods = periods.selectExpr("entity", "execution_date", "coalesce(exit_date, next_execution) AS until", "target_weight")
+    held = on_dates(periods, "execution_date", "until", open_days(calendar)).select("entity", "trade_date", "target_weight")
     place = ordinals(calendar)
     later = place.selectExpr("trade_date AS next_date", "ord - 1 AS ord")
     carried = (
@@ -352,9 +431,10 @@ def target_portfolio(
         .groupBy("trade_date")
         .agg(F.expr("sum(target_weight * coalesce(ret, 0.0D)) AS gross_return"))
     )
-    changes = orders(targets, calendar, 1.0, signals).groupBy(F.expr("execution_date AS trade_date")).agg(
-        F.expr("sum(intended_notional) AS turnover"),
-        F.expr("coalesce(sum(intended_notional) FILTER (WHERE side = 'sell'), 0.0D) AS sold"),
+    done = order_rows.filter("weight_after = new_weight").selectExpr("*", "abs(new_weight - old_weight) AS moved")
+    changes = done.groupBy(F.expr("execution_date AS trade_date")).agg(
+        F.expr("sum(moved) AS turnover"),
+        F.expr("coalesce(sum(moved) FILTER (WHERE side = 'sell'), 0.0D) AS sold"),
     )
     bps = rules["commission_bps"] + rules["slippage_bps"]
     days = open_days(calendar).filter(f"trade_date >= DATE'{start}'")
