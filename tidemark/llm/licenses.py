@@ -24,47 +24,132 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-# Public license wordings with markup.
-TEMPLATES = {
+# Wordings that several public licenses share.
+_NO_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+    " merchantability fitness for a particular purpose"
+)
+_DEALINGS = (
+    "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in"
+    " connection with the software or the use or other dealings in the software"
+)
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions"
+    " are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following"
+    " disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following"
+    " disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = (
+    " [[3]] neither the name of {{12}} nor the names of {{6}} may be used to endorse or promote products derived from this software without"
+    " specific prior written permission"
+)
+_BSD_DISCLAIMER = (
+    " this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties"
+    " of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect"
+    " incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss"
+    " of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability"
+    " or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of"
+    " such damage"
+)
+_ISC_USE = "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"
+_ISC_DISCLAIMER = (
+    " the software is provided as is and {{12}} disclaims all warranties with regard to this software including all implied warranties of"
+    " merchantability and fitness in no event shall {{12}} be liable for any special direct indirect or consequential damages or any"
+    " damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action"
+    " arising out of or in connection with the use or performance of this software"
+)
+
+
+def _gnu_notice(name: str, version: str) -> str:
+    return (
+        f"is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software"
+        f" foundation either version {version} of the license or at your option any later version {{{{6}}}} is distributed in the hope that it"
+        " will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+        f" see the gnu {name} for more details [[you should have received a copy of the gnu {name} along with {{{{6}}}} if not see"
+        " [[http]] [[https]] www gnu org licenses]]"
+    )
+
+
+# Whole wordings of public licenses and of the notices that they tell authors to use, with markup.
+WHOLE = {
+    "0bsd": [_ISC_USE + _ISC_DISCLAIMER],
     "apache-2.0": [
-        "licensed under the apache license version 2 0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
         " license [[you may obtain a copy of the license at {{8}}]] unless required by applicable law or agreed to in writing"
         " software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"
-        " either express or implied",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
-        " following conditions are met",
-        "[[released]] [[distributed]] [[licensed]] under the [[terms of the]] bsd [[2 clause]] [[3 clause]] license",
+        " either express or implied see the license for the specific language governing permissions and limitations under the license"
     ],
-    "cc-by-4.0": ["[[this work is]] [[released]] licensed under [[a]] [[the]] cc by 4 0 [[international]] [[license]]"],
-    "cc-by-nc-4.0": ["[[this work is]] [[released]] licensed under [[a]] [[the]] cc by nc 4 0 [[international]] [[license]]"],
-    "cc-by-sa-4.0": ["[[this work is]] [[released]] licensed under [[a]] [[the]] cc by sa 4 0 [[international]] [[license]]"],
+    "bsd-2-clause": [_BSD_TERMS + _BSD_DISCLAIMER],
+    "bsd-3-clause": [_BSD_TERMS + _BSD_NAMES + _BSD_DISCLAIMER],
     "copyright": ["copyright [[c]] [[©]] {{8}} all rights reserved"],
-    "gpl-2.0": [
-        "[[this work is]] [[this program is]] licensed under the gnu general public license version 2 [[or later]]",
-        "under the terms of the gnu general public license as published by the free software foundation either version 2 of"
-        " the license or at your option any later version",
-    ],
-    "gpl-3.0": [
-        "[[this work is]] [[this program is]] licensed under the gnu general public license version 3 [[or later]]",
-        "under the terms of the gnu general public license as published by the free software foundation either version 3 of"
-        " the license or at your option any later version",
-    ],
+    "gpl-2.0": [_gnu_notice("general public license", "2")],
+    "gpl-3.0": [_gnu_notice("general public license", "3")],
     "isc": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
-        " provided that the above copyright notice and this permission notice appear in all copies"
+        _ISC_USE + " provided that the above copyright notice and this permission notice appear in all copies" + _ISC_DISCLAIMER
     ],
+    "lgpl-2.1": [_gnu_notice("lesser general public license", "2 1")],
+    "lgpl-3.0": [_gnu_notice("lesser general public license", "3")],
     "mit": [
-        "[[released]] [[distributed]] [[licensed]] under the [[terms of the]] mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
         " documentation files the software to deal in the software without restriction including without limitation the rights"
         " to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to"
-        " whom the software is furnished to do so subject to the following conditions",
+        " whom the software is furnished to do so subject to the following conditions the above copyright notice and this"
+        " permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        + _NO_WARRANTY + " and noninfringement in no event shall {{12}} be " + _DEALINGS
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed"
+        " with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"
     ],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile"
+        " sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non"
+        " commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate"
+        " any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at"
+        " large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in"
+        " perpetuity of all present and future rights to this software under copyright law "
+        + _NO_WARRANTY + " and noninfringement in no event shall {{12}} be " + _DEALINGS
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any"
+        " damages arising from the use of this software permission is granted to anyone to use this software for any purpose including"
+        " commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of"
+        " this software must not be misrepresented you must not claim that you wrote the original software if you use this software in"
+        " a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source"
+        " versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may"
+        " not be removed or altered from any source distribution"
+    ],
+}
+# Names by which a text can say in one line what it is licensed under.
+NAMES = {
+    "apache-2.0": ["apache 2 0", "apache license [[version]] 2 0"],
+    "bsd-2-clause": ["bsd 2 clause", "2 clause bsd"],
+    "bsd-3-clause": ["bsd 3 clause", "3 clause bsd"],
+    "bsd": ["bsd"],
+    "cc-by-4.0": ["cc by 4 0 [[international]]"],
+    "cc-by-nc-4.0": ["cc by nc 4 0 [[international]]"],
+    "cc-by-sa-4.0": ["cc by sa 4 0 [[international]]"],
+    "cc0-1.0": ["cc0 1 0 [[universal]]"],
+    "gpl-2.0": ["gplv2", "[[gnu]] gpl [[version]] 2 [[0]]", "[[gnu]] gpl v2", "gnu general public license [[version]] 2 [[0]]", "gnu general public license v2"],
+    "gpl-3.0": ["gplv3", "[[gnu]] gpl [[version]] 3 [[0]]", "[[gnu]] gpl v3", "gnu general public license [[version]] 3 [[0]]", "gnu general public license v3"],
+    "isc": ["isc"],
+    "lgpl-2.1": ["lgplv2 1", "gnu lesser general public license [[version]] 2 1"],
+    "lgpl-3.0": ["lgplv3", "gnu lesser general public license [[version]] 3 [[0]]"],
+    "mit": ["mit"],
+    "mpl-2.0": ["mpl 2 0", "mozilla public license [[version]] 2 0"],
+}
+
+
+def notices(label: str, names: list[str]) -> list[str]:
+    """Templates of one-line notices: the machine-readable tag, and "licensed under ..." with each name."""
+    tag = "spdx license identifier " + re.sub(r"[-.]", " ", label) + " [[only]] [[or later]]"
+    free = [f"licensed under [[the]] [[a]] [[terms of the]] {n} [[license]] [[or later]]" for n in names]
+    named = [f"under the [[terms of the]] {n} license" for n in names]
+    return [tag, *free, *named]
+
+
+TEMPLATES = {
+    label: [*WHOLE.get(label, []), *(notices(label, NAMES[label]) if label in NAMES else [])] for label in sorted({*WHOLE, *NAMES})
 }
 
 # Bytes outside words become spaces: everything in ASCII but digits and a-z.
