@@ -1,9 +1,9 @@
 """Merkle fingerprints of documents.
 
-The tree of a text: root <- sections (cut at empty lines) <- paragraphs (lines), each node the SHA-256 of its children's
-hashes and each paragraph that of its text.  Equal roots mean equal texts, and comparing two trees level by level shows where
-texts differ.  Below the paragraphs lie tiles, runs of at most four words that end with a sentence or line; the share of common tiles
-is the likeness of two fingerprints.
+The tree of a text: root <- sections (cut at empty lines) <- paragraphs (lines) <- leaves, runs of at most four words that end with
+a sentence or line.  A leaf is the SHA-256 of its text, every other node that of its children's hashes.  Equal roots mean equal
+texts.  Branches are aligned by hash and not by place, so an inserted line is one edit; the share of common leaves is the likeness
+of two trees.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
 
-# Tiles cover a text without gaps; possessive parts keep matching linear.
-TILE = r"(?:[^ \t\n\x0B\f\r.!?]++[ \t\x0B\f\r]++){0,3}+[^ \t\n\x0B\f\r.!?]*+[.!?]*+[ \t\n\x0B\f\r]*+"
+# Leaves cover a paragraph without gaps; possessive parts keep matching linear.
+LEAF = r"(?:[^ \t\n\x0B\f\r.!?]++[ \t\x0B\f\r]++){0,3}+[^ \t\n\x0B\f\r.!?]*+[.!?]*+[ \t\n\x0B\f\r]*+"
 # Texts of so many bytes share a bucket of neighbours on average; there are at most MAX_BUCKETS of them.
 BUCKET_BYTES = 4 << 20
 MAX_BUCKETS = 1 << 15
@@ -24,40 +24,47 @@ MAX_BUCKETS = 1 << 15
 LAST_ID = -(1 << 63)
 
 
-def paragraphs(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+def leaves(text: Column) -> Column:
+    """Leaf hashes by section and paragraph."""
+    hashed = lambda p: F.transform(F.filter(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda t: t != F.lit("")), lambda t: F.sha2(t, 256))
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), hashed))
 
 
-def root(text: Column) -> Column:
-    """Root hash, lowercase hex."""
-    section = lambda s: F.sha2(F.array_join(paragraphs(s), ""), 256)
-    return F.sha2(F.array_join(F.transform(F.split(text, "\n\n", -1), section), ""), 256)
+def _up(children: Column) -> Column:
+    return F.sha2(F.array_join(children, ""), 256)
 
 
-def tiles(text: Column) -> Column:
-    """Distinct tile hashes."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(TILE), F.lit(0)), lambda t: t != F.lit(""))
-    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
+def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the tree of the text column: ``name_root, name_sections, name_paragraphs`` and ``name_leaves`` (distinct, 64 bits each)."""
+    down = df.withColumn(f"{name}_tree", leaves(F.coalesce(F.col(text), F.lit(""))))
+    nodes = down.withColumns(
+        {
+            f"{name}_by_section": F.transform(f"{name}_tree", lambda s: F.transform(s, _up)),
+            f"{name}_leaves": F.array_distinct(F.transform(F.flatten(F.flatten(f"{name}_tree")), lambda t: F.xxhash64(t))),
+        }
+    ).drop(f"{name}_tree")
+    nodes = nodes.withColumns(
+        {f"{name}_sections": F.transform(f"{name}_by_section", _up), f"{name}_paragraphs": F.flatten(f"{name}_by_section")}
+    ).drop(f"{name}_by_section")
+    return nodes.withColumn(f"{name}_root", _up(F.col(f"{name}_sections")))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Dice share of common tiles of the columns ``a_tiles, b_tiles``; one for equal roots."""
-    common = F.size(F.array_intersect(f"{a}_tiles", f"{b}_tiles"))
+    """Dice share of common leaves of two trees; one for equal roots."""
+    common = F.size(F.array_intersect(f"{a}_leaves", f"{b}_leaves"))
     return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), F.lit(1.0)).otherwise(
-        F.coalesce(F.try_divide(2.0 * common, F.size(f"{a}_tiles") + F.size(f"{b}_tiles")), F.lit(0.0))
+        F.coalesce(F.try_divide(2.0 * common, F.size(f"{a}_leaves") + F.size(f"{b}_leaves")), F.lit(0.0))
     )
 
 
-def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name_root, name_paragraphs, name_tiles`` of the text column."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({f"{name}_root": root(t), f"{name}_paragraphs": paragraphs(t), f"{name}_tiles": tiles(t)})
+def differing(a: str, b: str, level: str = "paragraphs") -> Column:
+    """Distinct hashes of the nodes of ``a`` that are nowhere in ``b``, in order; ``level`` is sections, paragraphs or leaves."""
+    return F.array_except(f"{a}_{level}", f"{b}_{level}")
 
 
-def differing(a: str, b: str) -> Column:
-    """Positions (from 0) of the paragraphs of ``a`` whose hash differs from that of ``b`` at the same place."""
-    flags = F.expr(f"transform({a}_paragraphs, (p, i) -> IF(p <=> get({b}_paragraphs, i), NULL, i))")
-    return F.array_compact(flags)
+def first_difference(a: str, b: str) -> Column:
+    """Position (from 0) of the first paragraph of ``a`` that is nowhere in ``b``; null if there is none."""
+    return F.array_position(F.col(f"{a}_paragraphs"), F.get(differing(a, b), F.lit(0))) - 1
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -120,8 +127,20 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(likeness("own", "edited"), 9).alias("near_edited"),
         F.round(likeness("own", "next"), 9).alias("near_next"),
         F.size("own_paragraphs").cast("long").alias("n_paragraphs"),
-        F.array_min(differing("own", "edited")).cast("long").alias("first_edit"),
+        first_difference("own", "edited").cast("long").alias("first_edit"),
         F.size(differing("own", "edited")).cast("long").alias("n_edits"),
+        F.size(differing("edited", "own")).cast("long").alias("n_inserted"),
+        F.size(differing("own", "edited", "sections")).cast("long").alias("n_sections_changed"),
+    )
+
+
+_LEAF_SQL = LEAF.replace("++", "+").replace("}+", "}").replace("*+", "*")
+
+
+def _leaves_sql(column: str) -> str:
+    return (
+        f"list_transform(string_split({column}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: "
+        f"list_transform(list_filter(regexp_extract_all(p, '{_LEAF_SQL}'), lambda t: t <> ''), lambda t: sha256(t))))"
     )
 
 
@@ -133,25 +152,30 @@ WITH docs AS (
   FROM docs
 ), edited AS (
   SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) AS edited FROM nexts
-), trees AS (
-  SELECT *,
-    sha256(array_to_string(list_transform(string_split(text, chr(10) || chr(10)),
-      lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS own_root,
-    sha256(array_to_string(list_transform(string_split(edited, chr(10) || chr(10)),
-      lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS edited_root,
-    string_split(text, chr(10)) AS own_p, string_split(edited, chr(10)) AS edited_p,
-    list_distinct(list_filter(regexp_extract_all(text, '(?:[^ \t\n\x0B\f\r.!?]+[ \t\x0B\f\r]+){0,3}[^ \t\n\x0B\f\r.!?]*[.!?]*[ \t\n\x0B\f\r]*'), lambda t: t <> '')) AS own_t,
-    list_distinct(list_filter(regexp_extract_all(edited, '(?:[^ \t\n\x0B\f\r.!?]+[ \t\x0B\f\r]+){0,3}[^ \t\n\x0B\f\r.!?]*[.!?]*[ \t\n\x0B\f\r]*'), lambda t: t <> '')) AS edited_t,
-    list_distinct(list_filter(regexp_extract_all(next_text, '(?:[^ \t\n\x0B\f\r.!?]+[ \t\x0B\f\r]+){0,3}[^ \t\n\x0B\f\r.!?]*[.!?]*[ \t\n\x0B\f\r]*'), lambda t: t <> '')) AS next_t
-  FROM edited
+), leaves AS (
+  SELECT *, @own AS own_tree, @edited AS edited_tree, @next AS next_tree FROM edited
+), paragraphs AS (
+  SELECT *, list_transform(own_tree, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '')))) AS own_by,
+    list_transform(edited_tree, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '')))) AS edited_by FROM leaves
+), sections AS (
+  SELECT *, list_transform(own_by, lambda s: sha256(array_to_string(s, ''))) AS own_s,
+    list_transform(edited_by, lambda s: sha256(array_to_string(s, ''))) AS edited_s,
+    flatten(own_by) AS own_p, flatten(edited_by) AS edited_p, list_distinct(flatten(flatten(own_tree))) AS own_t,
+    list_distinct(flatten(flatten(edited_tree))) AS edited_t, list_distinct(flatten(flatten(next_tree))) AS next_t
+  FROM paragraphs
 ), edits AS (
-  SELECT *, list_filter(range(1, len(own_p) + 1), lambda i: own_p[i] IS DISTINCT FROM edited_p[i]) AS changed FROM trees
+  SELECT *, list_filter(range(1, len(own_p) + 1), lambda i: NOT list_contains(edited_p, own_p[i])) AS changed FROM sections
 )
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, own_root AS fingerprint, edited_root AS edited_fingerprint,
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, sha256(array_to_string(own_s, '')) AS fingerprint,
+  sha256(array_to_string(edited_s, '')) AS edited_fingerprint,
   round(CASE WHEN text = edited THEN 1.0::DOUBLE WHEN len(own_t) + len(edited_t) = 0 THEN 0.0::DOUBLE
     ELSE 2.0::DOUBLE * len(list_intersect(own_t, edited_t)) / (len(own_t) + len(edited_t)) END, 9) AS near_edited,
   round(CASE WHEN text = next_text THEN 1.0::DOUBLE WHEN len(own_t) + len(next_t) = 0 THEN 0.0::DOUBLE
     ELSE 2.0::DOUBLE * len(list_intersect(own_t, next_t)) / (len(own_t) + len(next_t)) END, 9) AS near_next,
-  len(own_p) AS n_paragraphs, list_min(changed) - 1 AS first_edit, len(changed) AS n_edits
+  len(own_p) AS n_paragraphs, list_min(changed) - 1 AS first_edit, len(list_distinct(list_transform(changed, lambda i: own_p[i]))) AS n_edits,
+  len(list_distinct(list_filter(edited_p, lambda p: NOT list_contains(own_p, p)))) AS n_inserted,
+  len(list_distinct(list_filter(own_s, lambda s: NOT list_contains(edited_s, s)))) AS n_sections_changed
 FROM edits
 """
+for _name, _column in (("own", "text"), ("edited", "edited"), ("next", "next_text")):
+    ORACLE = ORACLE.replace(f"@{_name} ", f"{_leaves_sql(_column)} ")
