@@ -81,6 +81,16 @@ def _(t):
     return rl.artifact_groups(t.runs, t.artifacts)
 
 
+@query(
+    "o5_artifact_rows",
+    """SELECT a.run_id, r.kind, r.status, regexp_replace(path, '/[^/]*$', '') AS directory, split_part(path, '/', -1) AS file_name, path,
+              row_count, created_at FROM artifacts a LEFT JOIN runs r ON r.run_id = a.run_id""",
+    ["runs", "artifacts"],
+)
+def _(t):
+    return rl.artifact_rows(t.runs, t.artifacts)
+
+
 def _finger_sql(table: str, source: str, dates: list[str], names: list[str]) -> str:
     cells = ["CAST(count(*) AS VARCHAR)"]
     for c in dates:

@@ -59,6 +59,15 @@ def recent_runs(runs: DataFrame, limit: int, formal: bool = False) -> DataFrame:
     )
 
 
+def artifact_rows(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Every artifact with its run's kind and the directory it is grouped by: all members of the groups, as rows and not as lists."""
+    rows = artifacts.selectExpr(
+        "run_id", "regexp_replace(path, '/[^/]*$', '') AS directory", "element_at(split(path, '/'), -1) AS file_name", "path",
+        "row_count", "created_at",
+    )
+    return rows.join(runs.select("run_id", "kind", "status"), "run_id", "left")
+
+
 def artifact_groups(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """One row per (run, kind, directory); members stay in the artifact table.
 
