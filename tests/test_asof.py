@@ -1,6 +1,9 @@
 """Visibility edges: late and early exits, revisions, leakage."""
 
+import random
+from collections import Counter
 from datetime import date as D
+from datetime import timedelta
 
 from tidemark.functions import calendar as cal
 from tidemark.operators import asof
@@ -96,3 +99,25 @@ def test_rows_visible_later_do_not_change_a_result(spark):
     full = fx.price_factors(prices, ["return_20d", "volatility_20d"]).filter(cut).orderBy("trade_date").collect()
     early = fx.price_factors(prices.filter(cut), ["return_20d", "volatility_20d"]).orderBy("trade_date").collect()
     assert full == early
+
+
+def test_spans_count_like_rows_per_date(spark):
+    """Overlapping, touching, repeated, empty and open intervals, null members; against one row per interval and date."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        a = D(2026, 1, 1) + timedelta(days=rng.randrange(60))
+        b = None if rng.random() < 0.2 else a + timedelta(days=rng.randrange(0, 15))
+        entity, late = rng.choice([None, 1, 2, 3, 4]), a + timedelta(days=3) if rng.random() < 0.2 else None
+        rows += [(entity, rng.choice(["X", "Y", None]), a, None, late, b, None, None)] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, INTERVAL.replace("in_date", "index_code string, in_date", 1))
+    wanted = [D(2026, 1, 1) + timedelta(days=d) for d in range(-3, 90) if d % 7 < 5]
+    dates = spark.createDataFrame([(d,) for d in wanted], "d date")
+    every = {(r.trade_date, r.index_code, r.entity) for r in asof.intervals_on_dates(df, dates).collect() if r.entity is not None}
+    counts = asof.active_counts(df, ["index_code"], "entity", dates, "n").collect()
+    assert {(r.trade_date, r.index_code): r.n for r in counts} == Counter((d, i) for d, i, _ in every)
+    total = asof.active_counts(df, [], "entity", dates, "n").collect()
+    assert {r.trade_date: r.n for r in total} == Counter(d for d, _ in {(d, e) for d, _, e in every})
+    active = [(r.trade_date, r.entity) for r in asof.active_on_dates(df, ["entity"], dates).collect()]
+    assert len(active) == len(set(active)) and set(active) == {(d, e) for d, _, e in every}
+    assert asof.active_counts(df.limit(0), ["index_code"], "entity", dates, "n").count() == 0

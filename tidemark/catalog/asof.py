@@ -192,6 +192,26 @@ def _(t):
     )
 
 
+@query(
+    "d11_member_counts",
+    f"""SELECT trade_date, index_code, count(DISTINCT entity) AS member_count
+        FROM ({interval_dates_sql("members", "t.entity, t.index_code", "cal")}) GROUP BY trade_date, index_code""",
+    ["members", "cal"],
+)
+def _(t):
+    return asof.active_counts(t.members, ["index_code"], "entity", open_days(t.calendar), "member_count")
+
+
+@query(
+    "d11_industry_counts",
+    f"""SELECT trade_date, standard, industry_l1, count(DISTINCT entity) AS member_count
+        FROM ({interval_dates_sql("industries", "t.entity, t.standard, t.industry_l1", "cal")}) GROUP BY trade_date, standard, industry_l1""",
+    ["industries", "cal"],
+)
+def _(t):
+    return asof.active_counts(t.industries, ["standard", "industry_l1"], "entity", open_days(t.calendar), "member_count")
+
+
 @query(
     "d11_industries_on_all_dates",
     interval_dates_sql("industries", "t.entity, t.industry_l1, t.industry_l2", "cal"),

@@ -122,30 +122,98 @@ def snapshot_summary(frames: dict[str, DataFrame]) -> DataFrame:
 # ---- many dates at once -------------------------------------------------
 
 
-def on_dates(df: DataFrame, start: str, until: str | None, dates: DataFrame, out: str = "trade_date") -> DataFrame:
-    """One row per requested date in the half-open range [start, until).
+def spans(df: DataFrame, start: str, until: str | None, dates: DataFrame) -> DataFrame:
+    """The half-open range [start, until) of each row as its first and last position (``_first, _last``) in the sorted list of dates.
 
-    Each row looks up its first and last position in the sorted list of dates
-    and emits exactly the dates between them, so no range join is planned and
-    nothing but the result is produced.  ``start`` and ``until`` are SQL text;
-    a NULL ``until`` means still open.
+    Rows without a requested date in their range are left out.  ``start`` and ``until`` are SQL text; a NULL ``until`` means still open.
+    One row per interval, whatever the number of dates: joins and aggregates that need no date work on these, see :func:`merge_spans`
+    and :func:`count_spans`, and :func:`expand` comes last.
     """
-    wanted = dates.selectExpr(f"{dates.columns[0]} AS trade_date", "true AS is_open").filter("trade_date IS NOT NULL").distinct()
+    wanted = _wanted(dates)
     days = dense_days(wanted, ["upto"])
     first = days.selectExpr("day AS _d1", "upto AS _before")
-    last = days.selectExpr("day AS _d2", "upto AS _last")
+    last = days.selectExpr("day AS _d2", "upto AS _end")
     keyed = df.selectExpr("*", f"{start} AS _from", f"{until or 'CAST(NULL AS DATE)'} AS _until").withColumns(
         {"_k1": day_key("date_sub(_from, 1)", wanted), "_k2": day_key("date_sub(_until, 1)", wanted)}
     )
     # An open end reaches to the last requested position.
-    placed = (
+    return (
         keyed.join(first, F.expr("_k1 = _d1"))
         .join(last, F.expr("_k2 = _d2"), "left")
-        .withColumn("_last", F.when(F.col("_until").isNull(), wanted.agg(F.expr("count(*)")).scalar()).otherwise(F.col("_last")))
+        .withColumn("_last", F.when(F.col("_until").isNull(), wanted.agg(F.expr("count(*)")).scalar()).otherwise(F.col("_end")))
         .filter("_last > _before")
-        .selectExpr(*df.columns, "explode(sequence(_before + 1, _last)) AS _ord")
+        .selectExpr(*[f"`{c}`" for c in df.columns], "_before + 1 AS _first", "_last")
+    )
+
+
+def _wanted(dates: DataFrame) -> DataFrame:
+    return dates.selectExpr(f"{dates.columns[0]} AS trade_date", "true AS is_open").filter("trade_date IS NOT NULL").distinct()
+
+
+def merge_spans(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _first, _last``: the spans of equal keys joined where they overlap or touch, so that no position occurs twice for a key.
+
+    Sweeps over the intervals of a key, not over its dates.
+    """
+    by = ", ".join(f"`{k}`" for k in keys)
+    opens = f"coalesce(_first > 1 + max(_last) OVER (PARTITION BY {by} ORDER BY _first, _last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)"
+    numbered = placed.selectExpr(*[f"`{k}`" for k in keys], "_first", "_last", f"{opens} AS _opens").selectExpr(
+        "*", f"sum(CAST(_opens AS INT)) OVER (PARTITION BY {by} ORDER BY _first, _last ROWS UNBOUNDED PRECEDING) AS _run"
+    )
+    return numbered.groupBy(*keys, "_run").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).drop("_run")
+
+
+def count_spans(placed: DataFrame, by: list[str], dates: DataFrame, out: str = "row_count") -> DataFrame:
+    """``by, trade_date, out``: the number of spans on each requested date, for dates with at least one.
+
+    A span adds one at its first position and takes it back after its last; equal steps are summed before the shuffle, and the running total holds
+    from one step to the next.  Only the totals meet the dates, so nothing has a row per span and date.
+    """
+    steps = (
+        placed.selectExpr(*[f"`{c}`" for c in by], "inline(array(struct(_first AS _at, 1L AS _step), struct(_last + 1 AS _at, -1L AS _step)))")
+        .groupBy(*by, "_at")
+        .agg(F.sum("_step").alias("_step"))
     )
-    return placed.join(ordinals(wanted, out, "_ord"), "_ord").drop("_ord")
+    keys = f"PARTITION BY {', '.join(f'`{c}`' for c in by)} " if by else ""
+    totals = steps.selectExpr(
+        *[f"`{c}`" for c in by], f"sum(_step) OVER ({keys}ORDER BY _at ROWS UNBOUNDED PRECEDING) AS `{out}`", "_at AS _first",
+        f"lead(_at) OVER ({keys}ORDER BY _at) - 1 AS _last",
+    )
+    return expand(totals.filter(f"`{out}` > 0"), dates)
+
+
+def expand(placed: DataFrame, dates: DataFrame, out: str = "trade_date") -> DataFrame:
+    """One row per position of each span, with its date."""
+    columns = [f"`{c}`" for c in placed.columns if c not in ("_first", "_last")]
+    rows = placed.selectExpr(*columns, "explode(sequence(_first, _last)) AS _ord")
+    return rows.join(ordinals(_wanted(dates), out, "_ord"), "_ord").drop("_ord")
+
+
+def on_dates(df: DataFrame, start: str, until: str | None, dates: DataFrame, out: str = "trade_date") -> DataFrame:
+    """One row per requested date in the half-open range [start, until).
+
+    Each row looks up its first and last position in the sorted list of dates
+    and emits exactly the dates between them, so no range join is planned and
+    nothing but the result is produced.  ``start`` and ``until`` are SQL text;
+    a NULL ``until`` means still open.
+    """
+    return expand(spans(df, start, until, dates), dates, out)
+
+
+def keys_on_dates(df: DataFrame, keys: list[str], start: str, until: str | None, dates: DataFrame) -> DataFrame:
+    """Distinct ``keys, trade_date`` of the ranges; made distinct as merged spans, before there are rows per date."""
+    return expand(merge_spans(spans(df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), start, until, dates), keys), dates)
+
+
+def active_on_dates(intervals: DataFrame, keys: list[str], dates: DataFrame) -> DataFrame:
+    """Distinct ``keys, trade_date`` with an active interval."""
+    return keys_on_dates(intervals, keys, VISIBLE_FROM, VISIBLE_UNTIL, dates)
+
+
+def active_counts(intervals: DataFrame, by: list[str], member: str, dates: DataFrame, out: str) -> DataFrame:
+    """Distinct members of each ``by`` on each requested date."""
+    placed = spans(intervals.filter(f"`{member}` IS NOT NULL"), VISIBLE_FROM, VISIBLE_UNTIL, dates)
+    return count_spans(merge_spans(placed, [*by, member]), by, dates, out)
 
 
 def intervals_on_dates(intervals: DataFrame, dates: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import open_days
 from tidemark.functions.ranks import first_per_key, largest_group, with_average_rank
-from tidemark.operators.asof import DELISTED_FROM, intervals_on_dates, latest_revisions, on_dates
+from tidemark.operators.asof import DELISTED_FROM, active_on_dates, intervals_on_dates, keys_on_dates, latest_revisions, on_dates
 from tidemark.params import FACTOR_ORDER, FACTOR_PARAMS
 from tidemark.session import materialize
 from tidemark.sources.history import History
@@ -128,7 +128,7 @@ def calculation_universe(
 ) -> DataFrame:
     """Distinct ``entity, trade_date`` to compute: members on each date minus the delisted."""
     base = members if index_code is None else members.filter(F.col("index_code") == index_code)
-    active = intervals_on_dates(base, dates).select("entity", "trade_date").distinct()
+    active = active_on_dates(base, ["entity"], dates)
     if include_delisted:
         return active
     return active.join(_delistings(securities), "entity", "left").filter(
@@ -138,14 +138,14 @@ def calculation_universe(
 
 def listed_universe(securities: DataFrame, dates: DataFrame) -> DataFrame:
     """All listed, not yet delisted securities on each date."""
-    return on_dates(securities, "list_date", DELISTED_FROM, dates).select("entity", "trade_date").distinct()
+    return keys_on_dates(securities, ["entity"], "list_date", DELISTED_FROM, dates)
 
 
 def flag_factors(
     universe: DataFrame, prices: DataFrame, securities: DataFrame, st_status: DataFrame, dates: DataFrame
 ) -> DataFrame:
     """0/1 flags for every member; a missing price row counts as suspended."""
-    st = intervals_on_dates(st_status, dates).select("entity", "trade_date").distinct().selectExpr("*", "1.0D AS _st")
+    st = active_on_dates(st_status, ["entity"], dates).selectExpr("*", "1.0D AS _st")
     px = prices.selectExpr("entity", "trade_date", "CAST(coalesce(is_suspended, false) AS DOUBLE) AS _susp")
     return (
         universe.join(st, ["entity", "trade_date"], "left")
