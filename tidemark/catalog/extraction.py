@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from tidemark.catalog.registry import cte, query
 from tidemark.functions.columns import normalize_text
 from tidemark.operators import extraction as ex
-from tidemark.session import materialize
+from tidemark.session import materialize, shared_dir
+from tidemark.sources import snapshots, upserts
 
 # Titles of the derived announcements: real keywords in varying case, and texts without one.
 WORDS = [
@@ -115,6 +118,23 @@ def _(t):
     return ex.upsert(*stores(t), overwrite=True)
 
 
+@query(
+    "m3_stored_upsert",
+    "SELECT source_tag, announcement_id, entity, sha256(title) AS text_hash FROM announcements",
+    ["announcements"],
+)
+def _(t):
+    """The same upsert into a bucketed table, in batches of which one is delivered twice."""
+    existing, rows = stores(t)
+    path = f"{shared_dir(t.spark)}/announcements-{uuid.uuid4().hex}"
+    key = ["source_tag", "announcement_id"]
+    upserts.upsert_at(existing, path, key, "text_hash", stream="old", batch=0)
+    halves = [rows.filter(f"pmod(announcement_id, 2) = {i}") for i in range(2)]
+    for batch, half in [(0, halves[0]), (1, halves[1]), (0, halves[0])]:
+        upserts.upsert_at(half, path, key, "text_hash", overwrite=True, stream="new", batch=batch)
+    return snapshots.read(t.spark, path, rows.schema)
+
+
 _WINDOW = ("1997-01-01", "2000-12-31", "1999-06-07")
 
 

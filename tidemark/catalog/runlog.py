@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from tidemark.catalog.registry import cte, query
 from tidemark.catalog.universe import names_sql
 from tidemark.operators import runlog as rl
+from tidemark.session import shared_dir
+from tidemark.sources import snapshots
 
 BEFORE = "1999-06-07"
 _AT = "coalesce(finished_at, started_at)"
@@ -127,6 +133,19 @@ def _(t):
     return a.unionByName(b).unionByName(c)
 
 
+@query("o6_stored_fingerprint", "SELECT * FROM fingers WHERE table_name = 'announcements'", ["fingers"])
+def _(t):
+    """Announcements stored year by year; each append adds the digest of its own group."""
+    rows, spark = t.announcements, t.spark
+    path = f"{shared_dir(spark)}/announcements-{uuid.uuid4().hex}"
+    years = sorted((r[0] for r in rows.selectExpr("year(publish_time)").distinct().collect()), key=lambda y: (y is not None, y))
+    for year in years:
+        part = rows.filter(F.expr("year(publish_time)").eqNullSafe(F.lit(year)))
+        snapshots.add(part, snapshots.current(spark, path), ["publish_time"])
+        finger = rl.stored_fingerprint(spark, path, rows.schema, "announcements")
+    return finger if years else rl.table_fingerprint(rows, "announcements")
+
+
 @query(
     "o7_snapshot_id",
     "SELECT sha256(string_agg(table_name || ':' || fingerprint, '|' ORDER BY table_name)) AS snapshot_id, count(*) AS table_count FROM fingers",

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.universe import set_fingerprint
-
 from tidemark.functions.ranks import first_per_key
+from tidemark.operators.universe import set_fingerprint
+from tidemark.sources import digests, snapshots
 
 FINISHED = "coalesce(finished_at, started_at)"
 # Columns a table fingerprint looks at.
@@ -99,10 +99,29 @@ def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
     aggs = ["count(*) AS row_count"]
     for c in dates:
         aggs += [f"CAST(min({c}) AS STRING) AS {c}_min", f"CAST(max({c}) AS STRING) AS {c}_max"]
-    out = df.agg(*[F.expr(a) for a in aggs])
-    for c in sources:
+    return _hashed(df.agg(*[F.expr(a) for a in aggs]), {c: df.select(c) for c in sources}, table)
+
+
+def stored_fingerprint(spark: SparkSession, path: str, schema, table: str) -> DataFrame:
+    """:func:`table_fingerprint` of the newest version of a table with versions, from its groups' digests.
+
+    Only groups without a digest are read; after an append these are the new ones.
+    """
+    kinds = dict(spark.createDataFrame([], schema).dtypes)
+    dates, sources = [c for c in DATE_COLUMNS if c in kinds], [c for c in SOURCE_COLUMNS if c in kinds]
+    snapshot = snapshots.current(spark, path)
+    digests.refresh(spark, snapshot, schema, dates, sources)
+    rows = digests.merged(spark, snapshot)
+    aggs = ["CAST(coalesce(sum(row_count), 0) AS BIGINT) AS row_count"]
+    for c in dates:
+        aggs += [f"CAST({f}(CAST({v} AS {kinds[c]})) FILTER (WHERE name = '{c}') AS STRING) AS {c}_{f}" for f, v in (("min", "low"), ("max", "high"))]
+    return _hashed(rows.agg(*[F.expr(a) for a in aggs]), {c: rows.filter(F.col("name") == c).select(F.col("member").alias(c)) for c in sources}, table)
+
+
+def _hashed(out: DataFrame, sources: dict[str, DataFrame], table: str) -> DataFrame:
+    for c, values in sources.items():
         # All distinct names, as an order-free fingerprint of their set.
-        names = set_fingerprint(df.filter(f"{c} IS NOT NULL"), [], c, "names").select("names")
+        names = set_fingerprint(values.filter(f"{c} IS NOT NULL"), [], c, "names").select("names")
         out = out.select("*", names.scalar().alias(f"{c}_values"))
     cells = [f"coalesce(CAST({c} AS STRING), '')" for c in out.columns]
     material = f"concat_ws('|', '{table}', {', '.join(cells)})"

@@ -24,10 +24,12 @@ from tidemark.session import materialize
 # Keys of a filter block: 256 bits, of which a key sets eight.
 BLOCK_KEYS = 16
 WORDS = 4
+# Column, and so folder, of a bucketed table's buckets.
+BUCKET = "tidemark_bucket"
 
 
 # Name of the group that a row was read from.
-GROUP_OF_ROW = "regexp_extract(_metadata.file_path, '/groups/([0-9a-f]+)/', 1) AS group"
+GROUP_OF_ROW = "regexp_extract(_metadata.file_path, '.*/groups/(.+)/[^/]+$', 1) AS group"
 
 
 class Conflict(RuntimeError):
@@ -36,22 +38,28 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Group:
-    """One written folder: its rows, the least and greatest value of some columns as text, and its key filter, if any."""
+    """One written folder: its rows, the least and greatest value of some columns as text, its key filter and its bucket, if any."""
 
     name: str
     rows: int
     low: dict[str, str | None] = field(default_factory=dict)
     high: dict[str, str | None] = field(default_factory=dict)
     blocks: int = 0
+    bucket: int | None = None
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Version 0 is the table before its first commit."""
+    """Version 0 is the table before its first commit.
+
+    ``batches`` holds the last batch of each stream that the version contains, ``buckets`` the number of buckets of a bucketed table.
+    """
 
     path: str
     version: int
     groups: tuple[Group, ...]
+    batches: dict[str, int] = field(default_factory=dict)
+    buckets: int = 0
 
     def read(self, spark: SparkSession, schema, groups: Sequence[Group] | None = None) -> DataFrame:
         """Rows of all or of some groups; no groups give no rows."""
@@ -61,13 +69,13 @@ class Snapshot:
         return spark.read.schema(schema).parquet(*[f"{self.path}/groups/{g.name}" for g in chosen])
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    at, files = _files(spark, f"{path}/versions")
+    at, files = file_system(spark, f"{path}/versions")
     if not files.exists(at):
         return []
     names = (status.getPath().getName() for status in files.listStatus(at))
@@ -85,22 +93,25 @@ def current(spark: SparkSession, path: str, version: int | None = None) -> Snaps
     if version == 0:
         return Snapshot(path, 0, ())
     text = "".join(r[0] for r in spark.read.text(_manifest(path, version), wholetext=True).collect())
-    return Snapshot(path, version, tuple(Group(**g) for g in json.loads(text)["groups"]))
+    found = json.loads(text)
+    return Snapshot(path, version, tuple(Group(**g) for g in found["groups"]), found["batches"], found["buckets"])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     return bool(versions(spark, path))
 
 
-def publish(spark: SparkSession, base: Snapshot, groups: Sequence[Group]) -> Snapshot:
-    """Make ``groups`` the version after ``base``; all their files are written already."""
-    aside, files = _files(spark, f"{base.path}/versions/.{uuid.uuid4().hex}")
-    target, _ = _files(spark, _manifest(base.path, base.version + 1))
+def publish(spark: SparkSession, base: Snapshot, groups: Sequence[Group], batches: dict[str, int] | None = None, buckets: int = 0) -> Snapshot:
+    """Make ``groups`` the version after ``base``; all their files are written already.  ``batches`` are added to those of ``base``."""
+    after = Snapshot(base.path, base.version + 1, tuple(groups), base.batches | (batches or {}), buckets or base.buckets)
+    aside, files = file_system(spark, f"{base.path}/versions/.{uuid.uuid4().hex}")
+    target, _ = file_system(spark, _manifest(base.path, base.version + 1))
     out = files.create(aside, False)
-    out.write(bytearray(json.dumps({"groups": [asdict(g) for g in groups]}).encode()))
+    manifest = {"groups": [asdict(g) for g in after.groups], "batches": after.batches, "buckets": after.buckets}
+    out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
     _rename_once(spark, aside, target)
-    return Snapshot(base.path, base.version + 1, tuple(groups))
+    return after
 
 
 def _rename_once(spark: SparkSession, source, target) -> None:
@@ -239,6 +250,20 @@ def write_group(df: DataFrame, path: str, bounds: Sequence[str] = (), keys: Sequ
     return Group(name, found["rows"], {c: found[f"low_{c}"] for c in bounds}, {c: found[f"high_{c}"] for c in bounds}, blocks)
 
 
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> list[Group]:
+    """Write rows as one group per bucket of their keys, in one job; no version lists them yet."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    at = f"{path}/groups/{name}"
+    df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(at)
+    # Counted from the files' footers; one number a bucket.
+    counts = spark.read.schema(f"{BUCKET} INT").parquet(at).groupBy(BUCKET).count().collect()
+    return [Group(f"{name}/{BUCKET}={b}", n, bucket=b) for b, n in sorted(tuple(r) for r in counts)]
+
+
 def replace(df: DataFrame, path: str, bounds: Sequence[str] = (), keys: Sequence[str] = (), base: Snapshot | None = None, dropped: Sequence[Group] | None = None) -> Snapshot:
     """Publish ``df`` in place of the ``dropped`` groups of ``base``, by default of all; ``df`` may read them, as their files stay.
 
@@ -269,15 +294,22 @@ def expire(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     known = versions(spark, path)
     old, kept = known[:-keep], known[-keep:]
     used = {g.name for v in kept for g in current(spark, path, v).groups}
+    folders = {name.split("/")[0] for name in used}
     gone = []
     for v in old:
-        at, files = _files(spark, _manifest(path, v))
+        at, files = file_system(spark, _manifest(path, v))
         files.delete(at, False)
     for part in ("groups", "keys"):
-        at, files = _files(spark, f"{path}/{part}")
+        at, files = file_system(spark, f"{path}/{part}")
         for status in files.listStatus(at) if files.exists(at) else []:
             name = status.getPath().getName()
-            if name not in used:
+            if name not in folders:
                 files.delete(status.getPath(), True)
                 gone.append(name)
+            elif name not in used:  # written as buckets, some of which are in use
+                for bucket in files.listStatus(status.getPath()):
+                    inner = f"{name}/{bucket.getPath().getName()}"
+                    if bucket.isDirectory() and inner not in used:
+                        files.delete(bucket.getPath(), True)
+                        gone.append(inner)
     return sorted(set(gone))
