@@ -1,11 +1,13 @@
 """Benchmark decontamination by template windows.
 
 Texts are canonicalised into templates: numbers, units and names become typed placeholders, all other words are lower-cased and stripped
-of punctuation.  Letter case and place do not tell a name for certain, so every text has three forms: without names (a copy in
-any letter case), with the capitalised words inside sentences as names, and with all capitalised words as names (names that open a
-sentence).  A run of name words is one slot.  Windows of five template words are hashed; windows with fewer than two plain words say
-nothing and are left out; an item that has no other windows is searched for word by word, with its own numbers and names.  A document is a candidate for an item when it holds at least 0.8 of the item's windows, each in some form.
-Names that are exchanged and also written without capitals, or in capitals only, are not seen as names.
+of punctuation.  A number with its unit (``120km``, ``50%``, ``$5``) is two words, as if written apart; in scripts without spaces every
+code point is a word.  Letter case and place do not tell a name for certain, so every text has four forms: without names (a copy in
+any letter case), with the capitalised words inside sentences as names, with all capitalised words as names (names that open a
+sentence), and with words of other capitals (NASA, McDonald) as names too.  A run of name words is one slot.  Windows of five template words are hashed; windows with
+fewer than two plain words say nothing and are left out; an item that has no other windows is searched for word by word, with its own numbers and names.  A document is
+a candidate for an item when it holds at least 0.8 of the item's windows, each in some form.
+Names that are exchanged in a text without capitals, or in capitals only, are not seen as names.
 Candidates are aligned word by word: equal values of the item's slots must have equal values in the text within each type, so a question with
 exchanged numbers or names is caught, while a text that only shares the phrasing is not.
 """
@@ -32,7 +34,9 @@ SIMILARITY = 0.8
 PLAIN_WORDS = 2
 # Benchmarks of up to so many distinct windows are sent to the tasks as a filter; larger ones are joined by shuffle only.
 FILTER_WINDOWS = 1_000_000
+# Codes of words are kept for so many words of at most so many characters.
 WORDS = 150_000
+KEPT_CHARS = 64
 
 # Unit and number words.
 UNITS = frozenset(
@@ -46,44 +50,78 @@ NUMBER_WORDS = frozenset(
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
 BREAK = "\x00"
-PLAIN, NUMBER, UNIT, NAME, SKIP = range(5)
+# MEASURE is a number with its unit, CAPITALS a word with other capitals than its first, BARRIER the end of a text among others.
+PLAIN, NUMBER, UNIT, NAME, SKIP, MEASURE, CAPITALS, BARRIER = range(8)
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[$€£¥]?[+-]?\d+(?:[.,:/]\d+)*(%|[^\W\d_]{1,3})?")
+_MEASURE = re.compile(r"[^\w$€£¥]*([$€£¥]?)(\d+(?:[.,:/]\d+)*)(%|°?[^\W\d_]{1,12}(?:/[^\W\d_]{1,3})?|)[^\w%]*")
+# Blocks of scripts that are written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, Kana, Han).
+_SPACELESS = re.compile("[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U000323AF]")
+_ENDS = (".", "!", "?", ":", "。", "！", "？")
 # Low bits of a word's code: 0-2 kind without names, 3-5 kind with names, 6 ends a sentence, 7 ends in a letter or digit, so that a name
 # may go on.  The rest is the hash of the plain word.
 _FLAGS = 8
-# Forms of a text: no word is a name; capitalised words inside sentences are names; all capitalised words are names.
-NO_NAMES, INNER_NAMES, ALL_NAMES = FORMS = range(3)
+# Forms of a text: no word is a name; capitalised words inside sentences are names; all capitalised words are names; words of other capitals too.
+NO_NAMES, INNER_NAMES, ALL_NAMES, WIDE_NAMES = FORMS = range(4)
 # Form of items without template windows: all words, also numbers and units, are plain.
-LITERAL = 3
+LITERAL = 4
 _BITS = 20
-_PLACEHOLDER = np.array([0, 0x51ED270B9F1, 0x2545F4914F7, 0x9E3779B97F5, 0], np.uint64)
+_PLACEHOLDER = np.array([0, 0x51ED270B9F1, 0x2545F4914F7, 0x9E3779B97F5, 0, 0, 0, 0], np.uint64)
 _POWERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)]
 
 
-class WordCodes(dict):
-    """Code of a word between white space."""
+def measure(word: str) -> tuple[str, str] | None:
+    """Number and unit of a word that holds both."""
+    found = _MEASURE.fullmatch(word)
+    unit = found and (found[1] or found[3])
+    return (found[2], unit) if unit and unit.lower() in UNITS and not (found[1] and found[3]) else None
+
 
-    def __missing__(self, word: str) -> int:
+class WordCodes(dict):
+    """Code of a word between white space; None is the barrier between texts."""
+
+    def __missing__(self, word: str | None) -> int:
+        if word is None:
+            code = 1 << 6 | BARRIER << 3 | BARRIER
+        elif word.isalpha():
+            code = self.plain(word, word) | 1 << 7
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            code = self.plain(word, word[:-1]) | (word[-1] in _ENDS) << 6
+        else:
+            code = self.other(word)
         if len(self) >= WORDS:
             self.clear()
-        bare = _STRIP.sub("", word)
+        if word is None or len(word) <= KEPT_CHARS:
+            self[word] = code
+        return code
+
+    def plain(self, word: str, bare: str) -> int:
+        """Hash and kinds of a word that is no number in digits."""
         low = bare.lower()
-        ends = word == BREAK or word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
-        if word in UNITS:
+        if low in UNITS:
             first = later = UNIT
-        elif not bare:
-            first = later = SKIP
-        elif _NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
+        elif low in NUMBER_WORDS:
             first = later = NUMBER
-        elif low in UNITS:
-            first = later = UNIT
         else:
-            # A capital marks a name; words all in capitals are plain.
-            first, later = PLAIN, NAME if bare[0].isupper() and bare[1:] == low[1:] and len(bare) > 1 else PLAIN
-        code = xxhash.xxh64_intdigest(low) >> _FLAGS << _FLAGS | word[-1:].isalnum() << 7 | ends << 6 | later << 3 | first
-        self[word] = code
-        return code
+            first = later = PLAIN
+            if low != bare and len(bare) > 1:
+                later = NAME if bare[0] != low[0] and bare[1:] == low[1:] else CAPITALS
+        return xxhash.xxh64_intdigest(low) >> _FLAGS << _FLAGS | later << 3 | first
+
+    def other(self, word: str) -> int:
+        bare = _STRIP.sub("", word)
+        ends = word == BREAK or word.rstrip("\"')]}»”’")[-1:] in _ENDS
+        if word in UNITS:
+            code = xxhash.xxh64_intdigest(word) >> _FLAGS << _FLAGS | UNIT << 3 | UNIT
+        elif not bare:
+            code = SKIP << 3 | SKIP
+        elif measure(word):
+            code = MEASURE << 3 | MEASURE
+        elif _NUMBER.fullmatch(bare):
+            code = xxhash.xxh64_intdigest(bare.lower()) >> _FLAGS << _FLAGS | NUMBER << 3 | NUMBER
+        else:
+            code = self.plain(word, bare)
+        return code | word[-1:].isalnum() << 7 | ends << 6
 
 
 def codes_of() -> WordCodes:
@@ -93,22 +131,45 @@ def codes_of() -> WordCodes:
     return kept.codes
 
 
+def split_words(text: str) -> list[str]:
+    """Words between white space, line ends as words of their own, and single code points of scripts without spaces."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        text = _SPACELESS.sub(r" \g<0> ", text)
+    return text.replace("\n", f" {BREAK} ").split()
+
+
 class Template:
-    """Words of a text without those that are only punctuation, and its forms."""
+    """Words of a text, or of texts with barriers between them, without those that are only punctuation, and their forms."""
 
-    def __init__(self, text: str, codes: WordCodes) -> None:
-        words = text.replace("\n", f" {BREAK} ").split()
+    def __init__(self, words: list[str | None], codes: WordCodes) -> None:
         code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+        split = np.flatnonzero(code & np.uint64(7) == MEASURE)
+        if len(split):
+            parts = [measure(words[i]) for i in split]
+            last = code[split] & np.uint64(3 << 6)
+            code[split] = np.array([codes[number] for number, _ in parts], np.uint64)
+            units = np.array([codes[unit.lower()] for _, unit in parts], np.uint64) & ~np.uint64(3 << 6)
+            code = np.insert(code, split + 1, units | last)
         ends = (code >> np.uint64(6) & np.uint64(1)) == 1
         opens = np.concatenate(([True], ends[:-1])) if len(code) else ends
-        kind = (code & np.uint64(7)).astype(np.int64)
+        kind = (code & np.uint64(7)).astype(np.int8)
         keep = kind != SKIP
         # The words of a name follow each other without punctuation.
         joins = (code >> np.uint64(7) & np.uint64(1)) == 1
         self.goes_on = np.concatenate(([False], (joins & keep)[:-1]))[keep] if len(code) else ends
+        code = code[keep]
         self.kind, self.opens = kind[keep], opens[keep]
-        self.capital = (code[keep] >> np.uint64(3) & np.uint64(7)) == NAME
-        self.value = code[keep] >> np.uint64(_FLAGS)
+        later = code >> np.uint64(3) & np.uint64(7)
+        self.capital, self.capitals = later == NAME, later == CAPITALS
+        self.value = code >> np.uint64(_FLAGS)
+
+    def names(self, form: int) -> np.ndarray:
+        """Marks of the words that are names in a form."""
+        if form == WIDE_NAMES:
+            return self.capital | self.capitals
+        return self.capital if form == ALL_NAMES else self.capital & ~self.opens
 
     def form(self, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Template word hashes, kinds, value hashes and first words of the tokens of a form; a run of name words is one token."""
@@ -116,7 +177,7 @@ class Template:
         if form == LITERAL:
             kind = np.full(len(kind), PLAIN)
         elif form != NO_NAMES:
-            names = self.capital if form == ALL_NAMES else self.capital & ~self.opens
+            names = self.names(form)
             kind = np.where(names, NAME, kind)
             inside = names & np.concatenate(([False], names[:-1])) & self.goes_on if len(names) else names
             if inside.any():
@@ -128,46 +189,69 @@ class Template:
                 value = joined
         return np.where(kind == PLAIN, value, _PLACEHOLDER[kind]), kind, value, first
 
-    def windows(self, form: int, size: int) -> np.ndarray:
-        """Window hashes of a form for the search; without those that the form without names has as well."""
-        if form in (NO_NAMES, LITERAL):
-            return windows(*self.form(form)[:2], size)
-        kind = self.kind
-        names = self.capital if form == ALL_NAMES else self.capital & ~self.opens
-        kind = np.where(names, NAME, kind)
-        words = np.where(kind == PLAIN, self.value, _PLACEHOLDER[kind])
-        keep = ~(names & np.concatenate(([False], names[:-1])) & self.goes_on) if len(names) else names
-        words, kind = words[keep], kind[keep]
-        return windows(words, kind, size, kind == NAME)
-
-
-def windows(words: np.ndarray, kind: np.ndarray, size: int, needed: np.ndarray | None = None) -> np.ndarray:
-    """Signed window hashes by start; zero where a window has too few plain words.
+    def search(self, form: int, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Text numbers and window hashes of a form, without those that an earlier form has as well.
 
-    ``needed``: only the windows that hold a word with this mark, without the places of the others.
-    """
+        ``seen``: marks of the low bits of word values; windows with another plain word are left out.
+        """
+        kind, value, needed = self.kind, self.value, None
+        text = np.cumsum(kind == BARRIER)
+        if form == LITERAL:
+            kind = np.where(kind == BARRIER, kind, PLAIN)
+        elif form != NO_NAMES:
+            names = self.names(form)
+            marks = self.capitals if form == WIDE_NAMES else names
+            if not marks.any():
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            first = ~(names & np.concatenate(([False], names[:-1])) & self.goes_on)
+            start = np.flatnonzero(first)
+            # A token stands for a name of one or more words; only windows with a marked one are new.
+            needed = np.logical_or.reduceat(marks & names, start)
+            kind, value, text = np.where(names, NAME, kind)[start], value[start], text[start]
+        n = len(kind) - size + 1
+        if n <= 0 or not size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        plain = kind == PLAIN
+        bad = kind == BARRIER
+        if seen is not None:
+            bad = bad | plain & ~seen[(value & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
+        good = (_inside(bad, size) == 0) & (_inside(plain, size) >= PLAIN_WORDS)
+        if needed is not None:
+            good &= _inside(needed, size) > 0
+        at = np.flatnonzero(good)
+        words = np.where(plain, value, _PLACEHOLDER[kind])
+        return text[at], hashes(words, at, size)
+
+
+def _inside(marks: np.ndarray, size: int) -> np.ndarray:
+    """Marks in each window."""
+    total = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
+    return total[size:] - total[:-size]
+
+
+def hashes(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Signed hashes of the windows that start at ``at``."""
+    out = np.full(len(at), size, np.uint64)
+    for i, power in enumerate(_POWERS[:size]):
+        part = words[at + i]
+        out += (part ^ part >> np.uint64(29)) * np.uint64(power)
+    return ((out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def windows(words: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
+    """Signed window hashes by start; zero where a window has too few plain words."""
     n = len(words) - size + 1
     if n <= 0 or not size:
         return np.zeros(0, np.int64)
-    plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-    good = plain[size:] - plain[:-size] >= PLAIN_WORDS
-    mixed = words ^ words >> np.uint64(29)
-    if needed is not None:
-        marks = np.concatenate(([0], np.cumsum(needed)))
-        at = np.flatnonzero(good & (marks[size:] > marks[:-size]))
-        parts = [mixed[at + i] for i in range(size)]
-    else:
-        parts = [mixed[i : i + n] for i in range(size)]
-    out = np.full(len(parts[0]), size, np.uint64)
-    for part, power in zip(parts, _POWERS, strict=False):
-        out += part * np.uint64(power)
-    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return (out if needed is not None else np.where(good, out, np.uint64(0))).view(np.int64)
+    at = np.flatnonzero(_inside(kind == PLAIN, size) >= PLAIN_WORDS)
+    out = np.zeros(n, np.int64)
+    out[at] = hashes(words, at, size)
+    return out
 
 
 def item_windows(text: str, codes: WordCodes) -> set[tuple[int, int, int, int]]:
     """``form, size, slot, hash``: the windows of the coarsest form that has whole windows are the slots, each with its hash in every form."""
-    item = Template(text, codes)
+    item = Template(split_words(text), codes)
     forms = []
     for form in FORMS:
         words, kind, _, first = item.form(form)
@@ -207,38 +291,54 @@ def _item_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _document_windows(sizes: list[tuple[int, int]], wanted: np.ndarray | None):
+def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Low bits of the values of the items' words."""
+    codes, found = codes_of(), np.zeros(1 << _BITS, bool)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found[(Template(split_words(text or ""), codes).value & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found))], names=["low"])
+
+
+def _document_windows(sizes: list[tuple[int, int]], wanted: np.ndarray | None, words: np.ndarray | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = codes_of()
-        low = np.int64((1 << _BITS) - 1)
+        codes, low, seen_words = codes_of(), np.int64((1 << _BITS) - 1), None
         if wanted is not None:
-            seen = np.zeros(1 << _BITS, bool)
+            seen, seen_words = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool)
             seen[wanted & low] = True
+            seen_words[words] = True
         for batch in batches:
-            ids, keys, hashes = [], [], []
-            for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                doc_template = Template(text.as_py(), codes)
-                for form, size in sizes:
-                    found = doc_template.windows(form, size)
-                    if wanted is not None and len(wanted):
-                        found = found[seen[found & low]]
-                        at = np.searchsorted(wanted, found)
-                        found = found[wanted[np.minimum(at, len(wanted) - 1)] == found]
-                    found = np.unique(found[found != 0])
-                    ids.append(np.full(len(found), doc, np.int64))
-                    keys.append(np.full(len(found), key, np.int64))
-                    hashes.append(found)
-            ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(hashes)], names=["id", "h", "hash"])
+            # All texts of a batch in one template: per-text calls would cost more than the windows.
+            every: list[str | None] = []
+            for text in batch.column(1):
+                every += split_words(text.as_py())
+                every.append(None)
+            template = Template(every, codes)
+            del every
+            texts, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for form, size in sizes:
+                text, found = template.search(form, size, seen_words)
+                keep = found != 0
+                if wanted is not None and len(wanted):
+                    keep &= seen[found & low]
+                    at = np.flatnonzero(keep)
+                    keep[at] = wanted[np.minimum(np.searchsorted(wanted, found[at]), len(wanted) - 1)] == found[at]
+                texts.append(text[keep])
+                values.append(found[keep])
+            text, found = np.concatenate(texts), np.concatenate(values)
+            order = np.lexsort((found, text))
+            text, found = text[order], found[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
+            rows = pa.array(text[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(found[new])], names=["id", "h", "hash"])
 
     return run
 
 
 def align(item: str, text: str, codes: WordCodes) -> tuple[str, int]:
     """``exact``, ``reparameterised`` or ``inconsistent``, and the number of changed slots, at the best place of the text."""
-    a, t = Template(item, codes), Template(text, codes)
+    a, t = Template(split_words(item), codes), Template(split_words(text), codes)
     ranked = []
     templates = any(windows(*f[:2], min(WINDOW, len(f[0]))).any() for f in map(a.form, FORMS))
     for form in FORMS if templates else [LITERAL]:
@@ -292,7 +392,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     largest long for rows without one; rows with equal doc_id are one document, rows without one are
     documents of their own.  ``rows``: every row is a document, and ``h``, the hash of its text, is the second column.  ``similarity`` is the share of the item's
     distinct windows found in the document in any form.  ``kind`` is exact or reparameterised.  Items of fewer than five words are one window of their length;
-    items without a window of two plain words are found only word by word.  Items of one word, null and empty texts match nothing.
+    items without a window of two plain words are found only word by word.  Items of one word (in scripts without spaces: of one
+    code point), null and empty texts match nothing.
     """
     key = text_hash() if rows else F.when(F.col("doc_id").isNull(), text_hash()).otherwise(F.lit(0))
     source = docs.select(
@@ -301,11 +402,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     own = materialize(map_arrow(items, _item_windows, "item_id long, form int, size int, slot int, hash long").distinct())
     sizes = sorted(tuple(r) for r in own.select("form", "size").distinct().collect())  # at most WINDOW numbers a form
-    wanted = None
+    wanted = words = None
     keys = own.select("hash").distinct()
     if keys.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in keys.collect()], np.int64))
-    found = map_arrow(source, _document_windows(sizes, wanted), "id long, h long, hash long")
+        # At most 2 ** _BITS numbers.
+        words = np.array([r[0] for r in map_arrow(items.select("text"), _item_words, "low long").distinct().collect()], np.int64)
+    found = map_arrow(source, _document_windows(sizes, wanted, words), "id long, h long, hash long")
     total = own.groupBy("item_id").agg(F.count_distinct("slot").alias("total"))
     hits = (
         found.distinct()
