@@ -6,11 +6,16 @@ from types import SimpleNamespace
 import pytest
 
 from tidemark.operators import factors as fx
+from tidemark.plans.views import Tables
 
 DAYS = [date(2020, 1, 6) + timedelta(7 * i) for i in range(12)]
 MEMBERS = "entity long, index_code string, in_date date, in_effective date, out_date date, out_effective date"
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 @pytest.mark.parametrize("include_delisted", [True, False])
 def test_rows_in_the_universe_equal_a_join_with_its_dates(spark, include_delisted):
     d = DAYS
@@ -44,3 +49,20 @@ def test_price_factors_of_members_list_no_dates_of_members(spark):
     # No stored table of members and dates, and none made here.
     assert "sequence(" not in plan and not any("stage-" in str(leaves.apply(i)) for i in range(leaves.size()))
     assert out.groupBy("factor_name").count().count() == 3 and out.filter("entity > 3").count() == 0
+
+
+def test_the_panel_is_shuffled_once(spark):
+    t = Tables(spark, "/nowhere")
+    t.raw = lambda name: spark.createDataFrame(
+        [(s % 5, date(1996, 1, 1) + timedelta(s % 40), 2.0 + s % 3, 10.0 + s, 0.1, 0.2, "R" if s % 4 else "N") for s in range(200)],
+        "l_suppkey long, l_shipdate date, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string",
+    )
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert exchanges(t._panel().repartition(buckets, "entity")) == 1
+    t.stored = lambda name, build, *_: build()
+    got = t.panel.filter("entity = 1 AND trade_date = DATE'1996-01-01'").first()
+    own = [(2.0 + s % 3, 10.0 + s) for s in range(200) if s % 5 == 1 and s % 40 < 7]
+    close = sum(p * 0.9 for _, p in own) / sum(q for q, _ in own)
+    assert got.close == pytest.approx(close) and got.limit_up == pytest.approx(close * 1.1) and got.high == max(p / q for q, p in own)
+    assert t.panel.columns == ["entity", "trade_date", "open", "high", "low", "close", "volume", "amount", "adj_factor", "is_suspended",
+                               "limit_up", "limit_down", "pe_ttm", "pb", "total_mv", "float_mv"]
