@@ -80,13 +80,16 @@ def set_fingerprint(df: DataFrame, groups: list[str], member: str, out: str = "f
 
 def first_available(candidates: list[tuple[str, DataFrame]]) -> DataFrame:
     """Per date, the rows of the first non-empty source: ``trade_date, entity, universe_source``."""
-    rows = None
+    rows = priorities = None
     for i, (name, df) in enumerate(candidates):
         part = df.select("trade_date", "entity").distinct().selectExpr(
             "trade_date", "entity", f"{i} AS priority", f"'{name}' AS universe_source"
         )
         rows = part if rows is None else rows.unionByName(part)
-    best = rows.groupBy("trade_date").agg(F.expr("min(priority) AS priority"))
+        # A source's dates need no distinct entities: they combine map-side to one row per date and task.
+        found = df.selectExpr("trade_date", f"{i} AS priority")
+        priorities = found if priorities is None else priorities.unionByName(found)
+    best = priorities.groupBy("trade_date").agg(F.expr("min(priority) AS priority"))
     return rows.join(best, ["trade_date", "priority"]).drop("priority")
 
 
