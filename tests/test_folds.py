@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import pytest
 
@@ -54,6 +55,40 @@ def test_percentile(spark, window, least):
     assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
 
 
+@pytest.mark.parametrize("window,least", [(252, 20), (12, 2), (7, 1), (1, 1), (30, 3)])
+def test_percentile_of_some_dates_sees_all_earlier_values(spark, window, least):
+    _, df = table(spark, window, [0, 1, 5, 40, 700], None)
+    params = {**FACTOR_PARAMS, "valuation_window": window, "valuation_min_observations": least}
+    days = [date(2020, 1, 1) + timedelta(i) for i in (0, 8, 12, 70, 330, 990, 1000, 1390, 5000)]
+    dates = spark.createDataFrame([(d,) for d in [*days, days[3], None]], "trade_date date")
+    some = fx.history_percentile(df, "pe_ttm", "p", params, dates)
+    whole = fx.history_percentile(df, "pe_ttm", "p", params)
+    got = sorted((r.entity, r.trade_date, r.p) for r in some.collect())
+    assert got == sorted((r.entity, r.trade_date, r.p) for r in whole.collect() if r.trade_date in days)
+    assert got or window == 1
+
+
+def test_factors_of_some_dates_rank_only_their_values(spark, monkeypatch):
+    seen = []
+    real = fx.history_percentile
+    monkeypatch.setattr(fx, "history_percentile", lambda *a: seen.append(real(*a)) or seen[-1])
+    _, df = table(spark, 3, [40, 700, 300], None)
+    tables = SimpleNamespace(
+        valuations=df.select("entity", "trade_date", "pe_ttm"),
+        members=spark.createDataFrame(
+            [(e, "X", date(2019, 1, 1), None, None, None) for e in range(2)],
+            "entity long, index_code string, in_date date, in_effective date, out_date date, out_effective date",
+        ),
+        securities=spark.createDataFrame([], "entity long, delist_date date, delist_effective date"),
+    )
+    day = date(2020, 3, 1)
+    got = fx.all_factors(tables, spark.createDataFrame([(day,)], "trade_date date"), ["pe_ttm_percentile"])
+    ranked = {(r.entity, r.trade_date): r.pe_ttm_percentile for r in seen[0].collect()}
+    assert {d for _, d in ranked} <= {day}
+    whole = {(r.entity, r.trade_date): r.p for r in real(df, "pe_ttm", "p").collect()}
+    assert {(r.entity, r.trade_date): r.factor_value for r in got.collect()} == {k: v for k, v in whole.items() if k[0] < 2 and k[1] == day}
+
+
 def test_no_rows_and_plans_without_long_lists(spark):
     _, df = table(spark, 1, [0], None)
     assert fx.history_percentile(df, "pe_ttm", "p").count() == 0 and fx.price_factors(df, ["max_drawdown_60d"]).count() == 0
